@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, ngram_jaccard, token_counts
+from . import byte_bpe, ngram_jaccard, substring_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +27,15 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_components(_table(spark, sf_dir, "documents"), ngram_jaccard.Likeness(3, 90))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), 20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_token_counts": op4_token_counts,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op8_substring_dedup": op8_substring_dedup,
 }
 
 #: Queries without an entry are tested against brute force in tests/llm.
