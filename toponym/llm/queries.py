@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_sliced, byte_bpe, chat_format, language_id, ngram_jaccard, substring_dedup, token_counts
+from . import bit_sliced, byte_bpe, chat_format, language_id, ngram_jaccard, substring_dedup, token_counts, warc
+from .common import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +51,13 @@ def op6_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_sliced.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    warc.register(spark)
+    path = shared_dir(spark)
+    warc.page_records(_table(spark, sf_dir, "pages")).write.format("warc").mode("append").save(path)
+    return warc.read_pages(spark, path)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), 20)
 
@@ -61,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_bit_sliced": op6_bit_sliced,
+    "op7_warc": op7_warc,
     "op8_substring_dedup": op8_substring_dedup,
 }
 
