@@ -223,12 +223,12 @@ def remove_repeats(docs: DataFrame, window: int = 20, key: str = "doc_id", text:
     probes = rows.select("key", "tie", "text").mapInArrow(_probe(window, n), ROW)
     hits = probes.repartition(n, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_hits, "key long, tie int, place int")
     hits = written(hits.groupBy("key", "tie").agg(F.collect_list("place").alias("places")))
-    near = rows.select("key", "tie", "text").where(may_be_in(hits, "key")).join(hits, ["key", "tie"])
+    near = may_be_in(rows.select("key", "tie", "text"), hits, "key").where("may").drop("may").join(hits, ["key", "tie"])
     passages = near.mapInArrow(_extend(window, 4 * n), ROW)
     repeats = passages.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeats, RUNS)
     repeats = written(repeats.groupBy("key", "tie").agg(F.flatten(F.collect_list("runs")).alias("runs")))
-    may = may_be_in(repeats, "key")
-    whole = rows.where(~may).withColumn("runs", F.lit(None).cast("array<int>")).select("id", "text", "runs")
-    cut = rows.where(may).join(repeats, ["key", "tie"], "left").select("id", "text", "runs")
+    marked = may_be_in(rows, repeats, "key")
+    whole = marked.where(~F.col("may")).withColumn("runs", F.lit(None).cast("array<int>")).select("id", "text", "runs")
+    cut = marked.where("may").join(repeats, ["key", "tie"], "left").select("id", "text", "runs")
     out = whole.unionByName(cut).mapInArrow(_keep(window), f"id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
     return out.select(F.col("id").alias(key), "n_words", "n_removed", "kept_sha256", *([F.col("kept").alias("kept_text")] if with_text else []))

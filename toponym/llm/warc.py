@@ -294,9 +294,10 @@ def page_records(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("target_uri"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("payload_digest"), payload.alias("payload"))
     big = rows.where(F.col("payload_bytes") >= least)
     first = big.groupBy("payload_digest").agg(F.max("key").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "keeper")
-    may = may_be_in(first, "payload_digest") & (F.col("payload_bytes") >= least)
-    single = rows.where(~may).withColumn("keeper", F.lit(None).cast(pages.schema[key].dataType))
-    several = rows.where(may).join(first, "payload_digest", "left")
+    marked = may_be_in(rows, first, "payload_digest")
+    may = F.col("may") & (F.col("payload_bytes") >= least)
+    single = marked.where(~may).withColumn("keeper", F.lit(None).cast(pages.schema[key].dataType))
+    several = marked.where(may).join(first, "payload_digest", "left")
     every = single.unionByName(several)
     revisit = F.col("keeper").isNotNull() & ~F.col("key").eqNullSafe(F.col("keeper"))
     urn = lambda c: F.concat(F.lit(URN), F.coalesce(F.col(c).cast("string"), F.lit("")))
