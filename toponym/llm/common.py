@@ -44,7 +44,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
         part = np.cumsum(size) // limit
         at = np.flatnonzero(np.diff(part)) + 1
         for lo, hi in zip([0, *at.tolist()], [*at.tolist(), batch.num_rows], strict=True):
-            yield batch.slice(lo, hi - lo)
+            # a copy: pyarrow's ascii_lower misreads arrays that begin inside another
+            yield batch.take(pa.array(np.arange(lo, hi)))
 
 
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
