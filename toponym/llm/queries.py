@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_sliced, byte_bpe, chat_format, language_id, ngram_jaccard, substring_dedup, token_counts, warc
+from . import bit_sliced, byte_bpe, chat_format, decontamination, language_id, ngram_jaccard, substring_dedup, token_counts, warc
 from .common import shared_dir
 
 
@@ -62,6 +62,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), 20)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_chat_format": op2_chat_format,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bit_sliced": op6_bit_sliced,
     "op7_warc": op7_warc,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_decontamination": op9_decontamination,
 }
 
 #: Queries without an entry are tested against brute force in tests/llm.
