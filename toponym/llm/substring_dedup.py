@@ -147,14 +147,24 @@ def _extend(window: int, buckets: int):
             found = [[b, 0, *pack(keys, ties, doc[chosen[p]], place[chosen[p]], value[chosen[p]])] for b, p in _dealt(bucket[chosen])]
             rest = np.flatnonzero(~is_first)
             if len(rest):
-                found.append([int(keys[0] % buckets), 1, *pack(keys, ties, doc[rest], place[rest], None)])
+                found.append([int(keys[doc[rest[0]]] % buckets), 1, *pack(keys, ties, doc[rest], place[rest], None)])
             yield _rows(found)
 
     return extend
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, tie, runs) of passages that have an equal one before them. Rows come by bucket."""
+def _repeats(groups: int):
+    """Rows of passages that have an equal one before them, dealt by a hash of their document. Rows come by bucket."""
+
+    def dealt(key: np.ndarray, tie: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(key):
+            return
+        order = np.lexsort((place, tie, key))
+        key, tie, place = key[order], tie[order], place[order]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (tie[1:] != tie[:-1])])
+        doc = np.cumsum(new) - 1
+        group = (mix(key.view(np.uint64)) % np.uint64(groups)).astype(np.int32)
+        yield _rows([[g, 0, *pack(key[new], tie[new], doc[part], place[part], None)] for g, part in _dealt(group)])
 
     def settle(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         if not held:
@@ -165,21 +175,41 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.concatenate([[True], h[1:] != h[:-1]])
         start = np.flatnonzero(head)[np.cumsum(head) - 1]
         late = (key != key[start]) | (tie != tie[start]) | (place != place[start])
-        key, tie, place = key[late], tie[late], place[late]
-        order = np.lexsort((place, tie, key))
-        yield runs(key[order], tie[order], place[order])
+        yield from dealt(key[late], tie[late], place[late])
+
+    def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["bucket"] != bucket:
+                    yield from settle(held)
+                    bucket, held = row["bucket"], []
+                key, tie, place = unpack(row)
+                if row["kind"] == 1:
+                    yield from dealt(key, tie, place)
+                else:
+                    held.append((np.frombuffer(row["hashes"], np.uint64), key, tie, place))
+        yield from settle(held)
+
+    return repeats
 
-    bucket, held = None, []
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, tie, runs) of each document, from rows that come by group."""
+
+    def settle(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if held:
+            key, tie, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((place, tie, key))
+            yield runs(key[order], tie[order], place[order])
+
+    group, held = None, []
     for batch in batches:
         for row in batch.to_pylist():
-            if row["bucket"] != bucket:
+            if row["bucket"] != group:
                 yield from settle(held)
-                bucket, held = row["bucket"], []
-            key, tie, place = unpack(row)
-            if row["kind"] == 1:
-                yield runs(key, tie, place)
-            else:
-                held.append((np.frombuffer(row["hashes"], np.uint64), key, tie, place))
+                group, held = row["bucket"], []
+            held.append(unpack(row))
     yield from settle(held)
 
 
@@ -225,8 +255,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, key: str = "doc_id", text:
     hits = written(hits.groupBy("key", "tie").agg(F.collect_list("place").alias("places")))
     near = may_be_in(rows.select("key", "tie", "text"), hits, "key").where("may").drop("may").join(hits, ["key", "tie"])
     passages = near.mapInArrow(_extend(window, 4 * n), ROW)
-    repeats = passages.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeats, RUNS)
-    repeats = written(repeats.groupBy("key", "tie").agg(F.flatten(F.collect_list("runs")).alias("runs")))
+    repeats = passages.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeats(n), ROW)
+    repeats = written(repeats.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather, RUNS))
     marked = may_be_in(rows, repeats, "key")
     whole = marked.where(~F.col("may")).withColumn("runs", F.lit(None).cast("array<int>")).select("id", "text", "runs")
     cut = marked.where("may").join(repeats, ["key", "tie"], "left").select("id", "text", "runs")
