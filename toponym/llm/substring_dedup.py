@@ -32,7 +32,7 @@ from .filters import may_be_in
 from .packed import FIELDS, NAMES, pack, runs, unpack
 
 #: Text of one slice; of equal passages in a slice one is sent.
-SLICE = 16 << 20
+SLICE = 8 << 20
 ROW = f"bucket int, kind int, {FIELDS}"
 RUNS = "key long, tie int, runs array<int>"
 
