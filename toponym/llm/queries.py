@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_sliced, byte_bpe, chat_format, decontamination, language_id, ngram_jaccard, substring_dedup, token_counts, warc
+from . import bit_sliced, byte_bpe, chat_format, decontamination, language_id, ngram_jaccard, secret_scan, substring_dedup, token_counts, warc
 from .common import shared_dir
 
 
@@ -66,6 +66,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secret_scan.train(secret_scan.labelled_findings(spark))
+    return secret_scan.findings(_table(spark, sf_dir, "documents"), forest)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_chat_format": op2_chat_format,
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc": op7_warc,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontamination": op9_decontamination,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 #: Queries without an entry are tested against brute force in tests/llm.
