@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Rows of an index block, and queries of a query block.
-BLOCK = 8192
+BLOCK = 16_384
 QUERIES = 128
 BLOCKS = "dims int, block int, low long, least long, ids binary, slices binary, rest binary"
 
@@ -59,25 +59,27 @@ def _index(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"dims": [values.shape[1]], "block": [group["block"].iat[0]], "low": [low], "least": [int(sums.max())], "ids": [group["id"].to_numpy(np.int64).tobytes()], "slices": [maps.tobytes()], "rest": [_bitmaps(sums.max() - sums).tobytes()]})
 
 
-def add_slices(addends: list[tuple[int, np.ndarray]], depth: int) -> np.ndarray:
-    """The slices of a sum below 2 ** depth, from (weight, slice) addends: three slices of one weight become a sum and a carry until one is left."""
-    waiting: list[list[np.ndarray]] = [[] for _ in range(depth)]
-    for weight, bitmap in addends:
-        waiting[weight].append(bitmap)
-    out = np.zeros((depth, len(addends[0][1]) if addends else 0), np.uint64)
-    for weight, line in enumerate(waiting):
+def add_slices(addends: list[tuple[int, np.ndarray]], depth: int, words: int) -> np.ndarray:
+    """The slices of a sum below 2 ** depth, from (weight, [slice, word]) addends: three slices of one weight become a sum and a carry until one is left."""
+    waiting: list[list[np.ndarray]] = [[] for _ in range(depth + 1)]
+    for weight, bitmaps in addends:
+        waiting[weight].append(bitmaps)
+    out = np.zeros((depth, words), np.uint64)
+    for weight in range(depth):
+        line = np.concatenate(waiting[weight]) if waiting[weight] else out[:0]
         while len(line) > 1:
             third = len(line) // 3
             if third:
                 # all groups of three in one bitmap operation
-                a, b, c = (np.stack(line[i * third : (i + 1) * third]) for i in range(3))
+                a, b, c = line[:third], line[third : 2 * third], line[2 * third : 3 * third]
                 half = a ^ b
-                line, carries = line[3 * third :] + list(half ^ c), (a & b) | (half & c)
+                waiting[weight + 1].append((a & b) | (half & c))
+                half ^= c
+                line = np.concatenate([half, line[3 * third :]]) if len(line) > 3 * third else half
             else:
-                line, carries = [line[0] ^ line[1]], [line[0] & line[1]]
-            if weight + 1 < depth:
-                waiting[weight + 1].extend(carries)
-        if line:
+                waiting[weight + 1].append(line[:1] & line[1:])
+                line = line[:1] ^ line[1:]
+        if len(line):
             out[weight] = line[0]
     return out
 
@@ -108,11 +110,11 @@ def score_slices(maps: np.ndarray, rest: np.ndarray, query: np.ndarray, low: int
     """
     base = min(0, int(query.min()))
     v = query - base
-    weights = [(int(x), maps[j]) for j, x in enumerate(v) if x] + ([(-base, rest)] if base else [])
-    addends = [(s + b, bitmap[b]) for w, bitmap in weights for s in range(w.bit_length()) if w >> s & 1 for b in range(len(bitmap))]
-    most = sum(w * ((1 << len(bitmap)) - 1) for w, bitmap in weights)
-    depth = max(1, most.bit_length())
-    slices = add_slices(addends, depth) if addends else np.zeros((1, maps.shape[2]), np.uint64)
+    bits, words = maps.shape[1:]
+    addends = [(s + b, maps[(v >> s & 1).astype(bool), b]) for s in range(int(v.max()).bit_length()) for b in range(bits)]
+    addends += [(s + b, rest[b : b + 1]) for s in range((-base).bit_length()) if -base >> s & 1 for b in range(len(rest))]
+    most = int(v.sum()) * ((1 << bits) - 1) - base * ((1 << len(rest)) - 1)
+    slices = add_slices(addends, max(1, most.bit_length()), words)
     return slices, base * least + low * int(v.sum()) + base * low * len(query)
 
 
