@@ -1,0 +1 @@
+"""The queries over the star-schema tables."""

@@ -1,0 +1 @@
+"""Snapshots arrive as whole files, so there is no stream to process; new archives are found by `sources.snapshot.newest_archive`."""
