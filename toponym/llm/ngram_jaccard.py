@@ -164,7 +164,6 @@ def _components(index: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame
         rows = index.withColumn("comp", F.col("node"))
         if comps is not None:
             rows = index.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            rows = written(rows)
         # the first leader has the fewest tokens of its own, later ones are drawn by a hash
         order = F.struct(F.col("alone"), F.col("node")) if not turn else F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"))
         leaders = rows.groupBy("token").agg(
@@ -174,7 +173,6 @@ def _components(index: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame
         lead = open_.select("token", "size", F.col("leader.node").alias("a"), F.col("leader.n").alias("n_a"), F.col("leader.comp").alias("comp_a"))
         minor = rows.join(lead, "token").where("comp <> comp_a")
         if turn:
-            minor = written(minor)
             work = minor.agg(F.count("*").alias("rows"), F.sum("size").alias("pairs")).first()
             if not work["rows"]:
                 break
@@ -211,7 +209,7 @@ def jaccard_components(docs: DataFrame, like: Likeness = Likeness(), key: str =
     unkeyed = rows.where("key is null")  # cannot be asked for by key
     texts = semi_join(rows, written(wanted), "key").unionByName(unkeyed)
     sets = written(texts.mapInArrow(_sets(like), "node long, n int, grams array<long>, second array<int>, third array<int>").dropDuplicates(["node"]))
-    comps = _components(written(crowded), sets, like)
+    comps = _components(index, sets, like)
     out = sketch.select("key", "node", "n")
     if comps is None:
         joined = out.join(nodes.select("node", F.col("least").alias("component")), "node", "left")
