@@ -201,7 +201,7 @@ def _pass(rows: DataFrame, block: list[tuple], rate: float, kind: str) -> DataFr
                 yield batch
                 continue
             found = [[*old, *({"item_id": items.ids[i], "start": a, "past": b, "edits": e} for i, a, b, e in more)] for old, more in zip(batch.column("found").to_pylist(), new, strict=True)]
-            yield pa.record_batch([batch.column("row"), batch.column("text"), pa.array(found, batch.schema.field("found").type)], names=["row", "text", "found"])
+            yield pa.record_batch([batch.column("row"), batch.column("text"), pa.array(found, batch.schema.field("found").type)], schema=batch.schema)
 
     return rows.mapInArrow(run, rows.schema)
 
