@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_sliced, byte_bpe, chat_format, decontamination, language_id, ngram_jaccard, secret_scan, substring_dedup, token_counts, warc
+from . import bit_sliced, byte_bpe, chat_format, decontamination, language_id, ngram_jaccard, oracles, secret_scan, substring_dedup, token_counts, warc
 from .common import shared_dir
 
 
@@ -85,4 +85,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: Queries without an entry are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(oracles.SQL)
