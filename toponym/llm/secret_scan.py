@@ -1,6 +1,6 @@
 """Secret scan: candidates by a pattern, false positives removed by a random forest. DataFrame functions only.
 
-Candidates are runs of at least LEAST characters that keys are written with, holding a digit. Their features are length, character
+Candidates are runs of at least LEAST letters, digits and signs that keys are written with, holding a digit. Their features are length, character
 transitions, dictionary coverage, path and neighbouring words. The forest is trained by Spark ML on labelled findings
 (before, candidate, after, path, label) and applied as a nested CASE expression, so scanning is one projection without a shuffle.
 
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEAST = 12
-CANDIDATE = r"[A-Za-z0-9+/_=\-]{12,}"
+CANDIDATE = r"[A-Za-z0-9+/_\-]{12,}(?:={1,2}(?![A-Za-z0-9=]))?"
 #: Characters before and after a candidate that are looked at.
 BEFORE, AFTER = 40, 12
 TREES, DEPTH, SEED = 15, 5, 5
@@ -176,7 +176,8 @@ def scan(docs: DataFrame, forest: list, text: str = "text", path: str = "source"
     where = F.coalesce(F.col(path), F.lit("")) if path in docs.columns else F.lit("")
 
     def judge(value: Column, i: Column) -> Column:
-        before = F.substring(F.get("parts", i), -BEFORE, BEFORE)
+        # what stands before may be a candidate itself, such as a long name
+        before = F.substring(F.concat(F.coalesce(F.get("candidates", i - 1), F.lit("")), F.get("parts", i)), -BEFORE, BEFORE)
         after = F.substring(F.get("parts", i + 1), 1, AFTER)
         judged = F.transform(F.array(features(value, before, after, where)), lambda f: score(forest, f))[0]
         return F.when(value.rlike("[0-9]"), F.transform(F.array(judged), lambda s: F.when(s >= least, F.struct(value.alias("secret"), s.alias("score"))))[0])
