@@ -4,8 +4,8 @@ Documents are sets of distinct word n-grams. Two link when 100 * |A and B| >= pe
 global order of tokens they share one of the first n - ceil(percent * n / 100) + 1 tokens of each (their prefixes). Candidates
 must share such a token in each of three orders:
 
-* order 1 puts tokens with a hash in the lowest `region` of the hash range first, rare ones before frequent ones (their
-  document frequencies are counted over all data), and the rest after them by hash. Tokens that no other document has need no index entry;
+* order 1 puts rare tokens before frequent ones, by the number of documents that hold them, counted over all data up to HEAVY, and by hash among equals. Tokens that no
+  other document has need no index entry, and a document with a whole prefix of them has no partner at all;
 * orders 2 and 3 are by other hashes of the token.
 
 Candidates of order 1 are read from an inverted index. To keep a large group of copies or near copies from growing into all its
@@ -28,16 +28,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import expand, hash_words, mix, rolling, slices, split_words, written
+from .common import hash_words, mix, rolling, slices, split_words, written
 from .components import connected_components
 from .filters import semi_join
+from .packed import FIELDS, NAMES, pack, unpack
 
 #: Leader rounds at most before the step over all remaining pairs.
 ROUNDS = 6
 #: Nodes that a task remembers in order to send the tokens of copies once; it forgets them all when there are more.
 REMEMBERED = 500_000
+#: Document frequencies are told apart up to this one. A token that so many documents of one slice hold is not counted further, so
+#: a token of a third of all documents does not gather in one task.
+HEAVY = 64
+#: Text of one slice.
+SLICE = 8 << 20
+ROW = f"bucket int, kind int, {FIELDS}"
 
 
 @dataclass(frozen=True)
@@ -47,11 +53,6 @@ class Likeness:
     width: int = 3
     percent: int = 90
 
-    @property
-    def region(self) -> float:
-        """Part of the hash range whose tokens order 1 puts first: somewhat more than a prefix holds."""
-        return min(1.0, 1.25 * (100 - self.percent) / 100)
-
     def prefix(self, n):
         """Tokens of a set of n that at least one has to be shared of, in any order."""
         return n - (self.percent * n + 99) // 100 + 1
@@ -78,31 +79,149 @@ def _identity(grams: np.ndarray) -> tuple[int, int]:
 
 
 def _sketch(like: Likeness):
-    """Rows (key, node, check, n, n_region, tokens): tokens only the first time that a task meets a node."""
-    bound = np.uint64(min(int(like.region * 2.0**64), 2**64 - 1))
+    """Rows (key, node, check, n)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in slices(batches, "text"):
-            nodes, checks, sizes, inner, tokens = [], [], [], [], []
+            nodes, checks, sizes = [], [], []
             for grams in shingle_sets(batch.column(1), like.width):
-                n = len(grams)
-                first = int(np.searchsorted(grams, bound, side="right"))
-                node, check = _identity(grams) if n else (None, None)
-                nodes.append(node), checks.append(check), sizes.append(n), inner.append(first)
-                if n and node not in seen:
+                node, check = _identity(grams) if len(grams) else (None, None)
+                nodes.append(node), checks.append(check), sizes.append(len(grams))
+            yield pa.record_batch([batch.column(0), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(sizes, pa.int32())], names=["key", "node", "check", "n"])
+
+    return sketch
+
+
+def _rows(found: list[list]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+    columns = list(zip(*found, strict=True)) if found else [[]] * 7
+    return pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "kind", *NAMES])
+
+
+def _parts(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket with the places of its entries, in their order."""
+    order = np.argsort(bucket, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+        if len(part):
+            yield int(bucket[part[0]]), part
+
+
+def _by_node(node: np.ndarray, size: np.ndarray, level: np.ndarray, token: np.ndarray, groups: int, kind: int) -> Iterator[pa.RecordBatch]:
+    """Entries dealt by a hash of their node."""
+    if not len(node):
+        return
+    order = np.lexsort((level, node))  # packed places must not fall within a node
+    node, size, level, token = node[order], size[order], level[order], token[order]
+    new = np.concatenate([[True], node[1:] != node[:-1]])
+    doc = np.cumsum(new) - 1
+    group = (mix(node.view(np.uint64)) % np.uint64(groups)).astype(np.int32)
+    yield _rows([[g, kind, *pack(node[new], size[new], doc[p], level[p], token[p])] for g, p in _parts(group)])
+
+
+def _tokens(like: Likeness, buckets: int, groups: int):
+    """Tokens of the nodes of a slice, dealt by hash (kind 1); tokens that HEAVY of them hold once to their bucket (kind 0) and with their nodes to the groups (kind 2)."""
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in slices(batches, "text", SLICE):
+            nodes, sets = [], []
+            for grams in shingle_sets(batch.column(0), like.width):
+                node = _identity(grams)[0] if len(grams) else None
+                if node is not None and node not in seen:
                     seen.add(node)
-                    tokens.append(grams[: max(first, like.prefix(n))].view(np.int64))
-                else:
-                    tokens.append(None)
+                    nodes.append(node), sets.append(grams)
             if len(seen) > REMEMBERED:
                 seen.clear()
-            yield pa.record_batch(
-                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(sizes, pa.int32()), pa.array(inner, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))],
-                names=["key", "node", "check", "n", "n_region", "tokens"],
-            )
-
-    return sketch
+            if not nodes:
+                continue
+            node, size = np.array(nodes, np.int64), np.array([len(g) for g in sets], np.int32)
+            flat, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+            bucket = ((flat >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+            token = (bucket.astype(np.uint64) << np.uint64(32)) | (flat & np.uint64(0xFFFFFFFF))
+            values, count = np.unique(token, return_counts=True)
+            heavy = values[count >= HEAVY]
+            is_heavy = np.isin(token, heavy) if len(heavy) else np.zeros(len(token), bool)
+            none = np.zeros(1, np.int64)
+            found = [[int(b), 0, *pack(none, none, np.zeros(len(p), np.int64), np.zeros(len(p), np.int64), heavy[p].astype(np.uint32))] for b, p in _parts((heavy >> np.uint64(32)).astype(np.int32))]
+            light = np.flatnonzero(~is_heavy)
+            found += [[b, 1, *pack(node, size, doc[light[p]], np.zeros(len(p), np.int64), token[light[p]].astype(np.uint32))] for b, p in _parts(bucket[light])]
+            yield _rows(found)
+            at = np.flatnonzero(is_heavy)
+            yield from _by_node(node[doc[at]], size[doc[at]], np.full(len(at), HEAVY), token[at], groups, 2)
+
+    return tokens
+
+
+def _shared(groups: int):
+    """Of the tokens of a bucket those that several nodes hold, with how many (at most HEAVY), dealt by node. Rows come by bucket."""
+
+    def settle(bucket: int, heavy: list, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        token, node, size = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((node, token))
+        token, node, size = token[order], node[order], size[order]
+        # copies of a node that several tasks sent count once
+        once = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])
+        token, node, size = token[once], node[once], size[once]
+        _, of, count = np.unique(token, return_inverse=True, return_counts=True)
+        level = np.minimum(count[of], HEAVY)
+        if heavy:
+            level[np.isin(token, np.concatenate(heavy))] = HEAVY
+        keep = level > 1
+        yield from _by_node(node[keep], size[keep], level[keep], token[keep].astype(np.uint64) | (np.uint64(bucket) << np.uint64(32)), groups, 2)
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, heavy, held = -1, [], []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["kind"] == 2:
+                    node, size, level = unpack(row)
+                    yield from _by_node(node, size, level, np.frombuffer(row["hashes"], np.uint64), groups, 2)
+                    continue
+                if row["bucket"] != bucket:
+                    yield from settle(bucket, heavy, held)
+                    bucket, heavy, held = row["bucket"], [], []
+                token = np.frombuffer(row["hashes"], np.uint32)
+                if row["kind"] == 0:
+                    heavy.append(token)
+                else:
+                    held.append((token, *unpack(row)[:2]))
+        yield from settle(bucket, heavy, held)
+
+    return shared
+
+
+def _prefixes(like: Likeness):
+    """(token, node, n, alone): the prefix tokens of order 1 that other nodes hold too; alone: tokens of the node's own. Rows come by group."""
+
+    def settle(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        node, size, level, token = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((token, level, node))
+        node, size, level, token = node[order], size[order], level[order], token[order]
+        once = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])
+        node, size, token = node[once], size[once], token[once]
+        first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        count = np.diff(np.append(first, len(node)))
+        place = np.arange(len(node)) - np.repeat(first, count)
+        n = size.astype(np.int64)
+        alone = n - np.repeat(count, count)
+        keep = place + alone < like.prefix(n)
+        yield pa.record_batch([pa.array(token[keep].view(np.int64)), pa.array(node[keep]), pa.array(size[keep]), pa.array(alone[keep])], names=["token", "node", "n", "alone"])
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["bucket"] != group:
+                    yield from settle(held)
+                    group, held = row["bucket"], []
+                held.append((*unpack(row), np.frombuffer(row["hashes"], np.uint64)))
+        yield from settle(held)
+
+    return prefixes
 
 
 def _sets(like: Likeness):
@@ -130,19 +249,13 @@ def _near(like: Likeness, n: Column, m: Column) -> Column:
     return (n * 100 >= m * like.percent) & (m * 100 >= n * like.percent)
 
 
-def _index(tokens: DataFrame, nodes: DataFrame, like: Likeness) -> DataFrame:
-    """(token, node, n, alone) for the prefix tokens of order 1 that more than one document has; alone: tokens of the node's region that no other has."""
-    counted = tokens.groupBy("token").count().where("count > 1")
-    shared = tokens.join(counted, "token").groupBy("node", "token").agg(F.max("count").alias("count"))
-    bound = min(int(like.region * 2**31), 2**31 - 1)  # of the upper 31 bits of the token, which is unsigned
-    outside = (F.shiftrightunsigned("token", 33) > bound).cast("int")
-    per = Window.partitionBy("node")
-    n = F.col("n")
-    rows = shared.withColumn("outside", outside).join(nodes.select("node", "n", "n_region"), "node")
-    rows = rows.withColumn("alone", F.greatest(F.lit(0), F.col("n_region") - F.sum(1 - F.col("outside")).over(per)))
-    rows = rows.withColumn("place", F.row_number().over(per.orderBy("outside", "count", "token")))
-    prefix = n - F.floor((n * like.percent + 99) / 100) + 1
-    return rows.where(F.col("place") + F.col("alone") <= prefix).select("token", "node", "n", "alone")
+def _index(rows: DataFrame, like: Likeness) -> DataFrame:
+    """(token, node, n, alone) for the prefix tokens of order 1 that more than one node has."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # entries go to the buckets of their tokens, and what is shared comes back by node
+    tokens = rows.select("text").mapInArrow(_tokens(like, 4 * n, n), ROW)
+    shared = tokens.repartition(n, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_shared(n), ROW)
+    return shared.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_prefixes(like), "token long, node long, n int, alone long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
@@ -198,12 +311,11 @@ def jaccard_components(docs: DataFrame, like: Likeness = Likeness(), key: str =
     """One row per row of docs: key, n_shingles, component. Runs jobs; intermediate tables go to the shared folder."""
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    sketch = written(rows.mapInArrow(_sketch(like), f"key {kind}, node long, check long, n int, n_region int, tokens array<long>"))
-    nodes = sketch.where("n > 0").groupBy("node").agg(F.min("key").alias("least"), F.max("n").alias("n"), F.max("n_region").alias("n_region"), F.min("check").alias("low"), F.max("check").alias("high"))
+    sketch = written(rows.mapInArrow(_sketch(like), f"key {kind}, node long, check long, n int"))
+    nodes = sketch.where("n > 0").groupBy("node").agg(F.min("key").alias("least"), F.min("check").alias("low"), F.max("check").alias("high"))
     # two different sets with one 64-bit hash must not become one node
-    nodes = written(nodes.where(F.when(F.col("low") != F.col("high"), F.raise_error(F.lit("two sets have one hash"))).otherwise(F.lit(True)).cast("boolean")).select("node", "least", "n", "n_region"))
-    tokens = sketch.where("tokens is not null").select("node", F.explode("tokens").alias("token"))
-    index = written(_index(tokens, nodes, like))
+    nodes = written(nodes.where(F.when(F.col("low") != F.col("high"), F.raise_error(F.lit("two sets have one hash"))).otherwise(F.lit(True)).cast("boolean")).select("node", "least"))
+    index = written(_index(rows, like))
     crowded = index.join(index.groupBy("token").count().where("count > 1"), "token", "left_semi")
     wanted = crowded.select("node").distinct().join(nodes, "node").where("least is not null").select(F.col("least").alias("key")).distinct()
     unkeyed = rows.where("key is null")  # cannot be asked for by key
