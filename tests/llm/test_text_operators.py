@@ -40,8 +40,8 @@ def test_bpe_is_tiktoken(spark, docs, ranks):
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rows = docs.select("doc_id", "text").unionByName(odd_rows(spark).select("doc_id", "text"))
     texts = sorted((str(r["doc_id"]), library.encode_ordinary(r["text"] or ""), r["text"] or "") for r in rows.collect())
-    for chunk in (byte_bpe.CHUNK_BYTES, 3000):
-        got = sorted((str(r["doc_id"]), list(r["ids"]), r["decoded"].decode(), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in byte_bpe.encode(rows, ranks, public_tokenizers.PATTERN, whole=True, chunk_bytes=chunk).collect())
+    for chunk, words in ((byte_bpe.CHUNK_BYTES, byte_bpe.KEPT_WORDS), (3000, 2000), (3000, 0)):
+        got = sorted((str(r["doc_id"]), list(r["ids"]), r["decoded"].decode(), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in byte_bpe.encode(rows, ranks, public_tokenizers.PATTERN, whole=True, chunk_bytes=chunk, kept_words=words).collect())
         assert got == sorted((k, ids, t, len(ids), sha(" ".join(map(str, ids))), sha(t)) for k, ids, t in texts)
     assert byte_bpe.encode(rows.limit(0), ranks, public_tokenizers.PATTERN).isEmpty()
 

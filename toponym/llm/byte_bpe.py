@@ -5,8 +5,8 @@ whose concatenation has the lowest rank in a literal map, which is cut into buck
 `decoded` concatenates the pieces of ids by a literal vocabulary.
 
 `encode` applies it to a table without a shuffle: each task reads texts until their sum passes `chunk_bytes`, lists
-the distinct words of that chunk once, has Spark encode one row per distinct word, and puts the texts together again. A task is the
-unit of recovery and holds one chunk at a time, whatever the number of rows.
+the distinct words that it has not met, has Spark encode one row for each, and puts the texts together again. A task is the
+unit of recovery; it holds one such piece of text and about `kept_words` words, whatever the number of rows.
 
 Null text counts as empty (no ids, empty bytes). Repeated rows are encoded each by itself. Other columns of the input
 are not read; an empty table gives an empty result.
@@ -19,6 +19,7 @@ import hashlib
 import json
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 
 #: Buckets of the literal rank map.
 BUCKETS = 1 << 15
-#: Text that shares one list of distinct words.
-CHUNK_BYTES = 8 << 20
+#: Text that is held while its words are listed.
+CHUNK_BYTES = 4 << 20
+#: Distinct words that a task keeps from chunk to chunk; with more it begins a new list.
+KEPT_WORDS = 500_000
 #: Rows of one Arrow batch of distinct words.
 WORD_ROWS = 10_000
 #: A rank above any other, for pairs that do not merge.
@@ -115,12 +118,12 @@ def decoded(ids: Column, vocab: Column) -> Column:
     return F.encode(text, "ISO-8859-1")
 
 
-def _split(pattern: str, chunk_bytes: int, key_type: pa.DataType):
-    """Rows (key, word, codes): of each chunk first its distinct words, then its texts as places in that list."""
+def _split(pattern: str, chunk_bytes: int, kept_words: int, key_type: pa.DataType):
+    """Rows (chunk, key, word, codes): of each piece of text first the words that are new to the task's list, then the texts as places in that list."""
 
-    def emit(keys: list[pa.Array], codes: list[bytes], words: dict[str, int], chunk: int) -> Iterator[pa.RecordBatch]:
+    def emit(keys: list[pa.Array], codes: list[bytes], words: dict[str, int], known: int, chunk: int) -> Iterator[pa.RecordBatch]:
         names = ["chunk", "key", "word", "codes"]
-        listed = [w.encode() for w in words]
+        listed = [w.encode() for w in islice(words, known, None)]
         for lo in range(0, len(listed), WORD_ROWS):
             part = listed[lo : lo + WORD_ROWS]
             yield pa.record_batch([pa.array([chunk] * len(part), pa.int32()), pa.nulls(len(part), key_type), pa.array(part, pa.binary()), pa.nulls(len(part), pa.binary())], names=names)
@@ -134,16 +137,18 @@ def _split(pattern: str, chunk_bytes: int, key_type: pa.DataType):
         from .common import slices
 
         find = regex.compile(pattern).findall
-        keys, codes, words, held, chunk = [], [], {}, 0, 0
+        keys, codes, words, known, held, chunk = [], [], {}, 0, 0, 0
         for batch in slices(batches, "text", 1 << 20):
             keys.append(batch.column(0))
             for text in batch.column(1).to_pylist():
                 held += len(text)
                 codes.append(np.array([words.setdefault(w, len(words)) for w in find(text)], np.int32).tobytes())
             if held >= chunk_bytes:
-                yield from emit(keys, codes, words, chunk)
-                keys, codes, words, held, chunk = [], [], {}, 0, chunk + 1
-        yield from emit(keys, codes, words, chunk)
+                yield from emit(keys, codes, words, known, chunk)
+                keys, codes, known, held = [], [], len(words), 0
+                if known > kept_words:
+                    words, known, chunk = {}, 0, chunk + 1
+        yield from emit(keys, codes, words, known, chunk)
 
     return split
 
@@ -183,7 +188,7 @@ def _assemble(whole: bool):
     return assemble
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text", whole: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text", whole: bool = False, chunk_bytes: int = CHUNK_BYTES, kept_words: int = KEPT_WORDS) -> DataFrame:
     """One row per row of docs: key, n_tokens, ids_sha256 (of decimal ids joined by a blank), decoded_sha256 (of the decoded bytes).
 
     Texts are split by `pattern`, each match is merged separately, and there are no special tokens. whole: also ids
@@ -193,7 +198,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
 
     kind = docs.schema[key].dataType
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    parts = rows.mapInArrow(_split(pattern, chunk_bytes, to_arrow_type(kind)), f"chunk int, key {kind.simpleString()}, word binary, codes binary")
+    parts = rows.mapInArrow(_split(pattern, chunk_bytes, kept_words, to_arrow_type(kind)), f"chunk int, key {kind.simpleString()}, word binary, codes binary")
     ids = F.when(F.col("word").isNotNull(), bpe_ids(F.decode("word", "ISO-8859-1"), rank_map(ranks)))
     coded = parts.withColumn("ids", ids).select("chunk", "key", "word", "codes", F.size("ids").alias("n_ids"), F.array_join("ids", " ").alias("id_text"), F.when(F.col("word").isNotNull(), decoded(F.col("ids"), vocabulary(ranks))).alias("decoded"))
     out = coded.mapInArrow(_assemble(whole), f"key {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, id_text string, decoded binary")
