@@ -273,6 +273,7 @@ def _components(index: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame
     """(node, comp) of the nodes that have a link; None if none has."""
     links: DataFrame | None = None
     comps: DataFrame | None = None
+    new_links = True
     for turn in range(ROUNDS + 1):
         rows = index.withColumn("comp", F.col("node"))
         if comps is not None:
@@ -289,7 +290,7 @@ def _components(index: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame
             work = minor.agg(F.count("*").alias("rows"), F.sum("size").alias("pairs")).first()
             if not work["rows"]:
                 break
-            last = turn == ROUNDS or work["pairs"] <= 4 * work["rows"]
+            last = turn == ROUNDS or not new_links or work["pairs"] <= 4 * work["rows"]
         else:
             last = False
         if last:
@@ -300,7 +301,8 @@ def _components(index: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = written(_verified(pairs, sets, like))
         links = found if links is None else links.union(found)
-        if not found.isEmpty():
+        new_links = not found.isEmpty()
+        if new_links:
             comps = connected_components(links)
         if last:
             break
