@@ -244,9 +244,10 @@ def _sets(like: Likeness):
     return sets
 
 
-def _near(like: Likeness, n: Column, m: Column) -> Column:
-    """Sets of n and m tokens can link by their sizes."""
-    return (n * 100 >= m * like.percent) & (m * 100 >= n * like.percent)
+def _near(like: Likeness, a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+    """Sets can link by their sizes and by how many tokens they have that no other node holds; a, b: (n, alone)."""
+    most = F.least(a[0] - a[1], b[0] - b[1])
+    return most * 100 >= (a[0] + b[0] - most) * like.percent
 
 
 def _index(rows: DataFrame, like: Likeness) -> DataFrame:
@@ -281,10 +282,10 @@ def _components(index: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame
         # the first leader has the fewest tokens of its own, later ones are drawn by a hash
         order = F.struct(F.col("alone"), F.col("node")) if not turn else F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"))
         leaders = rows.groupBy("token").agg(
-            F.min(F.struct(order.alias("order"), F.struct("node", "n", "comp").alias("it"))).getField("it").alias("leader"), F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")
+            F.min(F.struct(order.alias("order"), F.struct("node", "n", "alone", "comp").alias("it"))).getField("it").alias("leader"), F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")
         )
         open_ = leaders.where("low <> high")
-        lead = open_.select("token", "size", F.col("leader.node").alias("a"), F.col("leader.n").alias("n_a"), F.col("leader.comp").alias("comp_a"))
+        lead = open_.select("token", "size", F.col("leader.node").alias("a"), F.col("leader.n").alias("n_a"), F.col("leader.alone").alias("alone_a"), F.col("leader.comp").alias("comp_a"))
         minor = rows.join(lead, "token").where("comp <> comp_a")
         if turn:
             work = minor.agg(F.count("*").alias("rows"), F.sum("size").alias("pairs")).first()
@@ -294,10 +295,11 @@ def _components(index: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame
         else:
             last = False
         if last:
-            other = rows.select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
-            pairs = minor.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b")).join(other, "token").where((F.col("comp_a") != F.col("comp_b")) & _near(like, F.col("n_a"), F.col("n_b")))
+            other = rows.select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("alone").alias("alone_a"), F.col("comp").alias("comp_a"))
+            pairs = minor.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("alone").alias("alone_b"), F.col("comp").alias("comp_b")).join(other, "token")
+            pairs = pairs.where((F.col("comp_a") != F.col("comp_b")) & _near(like, (F.col("n_a"), F.col("alone_a")), (F.col("n_b"), F.col("alone_b"))))
         else:
-            pairs = minor.where(_near(like, F.col("n"), F.col("n_a"))).select("a", F.col("node").alias("b"))
+            pairs = minor.where(_near(like, (F.col("n"), F.col("alone")), (F.col("n_a"), F.col("alone_a")))).select("a", F.col("node").alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = written(_verified(pairs, sets, like))
         links = found if links is None else links.union(found)
