@@ -132,6 +132,18 @@ def test_repeated_passages(spark, docs, window):
     assert substring_dedup.remove_repeats(rows.limit(0), window).isEmpty()
 
 
+def test_repeated_rows_are_one_document(spark):
+    """Rows that repeat key and text lose nothing to each other, in one slice or in several."""
+    w = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(w)), (1, " ".join(w)), (2, " ".join(["a", "b", *w[10:40], "c"])), (2, " ".join(["a", "b", *w[10:40], "c"])), (3, " ".join([*w[:25], "x", *w[:25]])), (3, " ".join([*w[:25], "x", *w[:25]]))]
+    rows += [(4, " ".join(f"v{i}" for i in range(30)))] * 3 + [(None, " ".join(f"u{i}" for i in range(25)))] * 2 + [(5, " ".join(f"z{i % 30}" for i in range(60)))] * 2
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = substring_dedup.remove_repeats(df, 20).collect()
+        assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == repeats(rows, 20)
+    assert {r["n_removed"] for r in got if r["doc_id"] in (None, 1, 4)} == {0}
+
+
 def test_language_of_held_out_and_mixed_texts(spark, docs):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

@@ -139,13 +139,16 @@ def _extend(window: int, buckets: int):
             value, other = rolling(h, window)[at], rolling(mix(h, 5), window)[at]
             place = at - starts[doc]
             keys, ties = batch.column("key").to_numpy(), batch.column("tie").to_numpy()
-            _, first = np.unique(value, return_index=True)
+            _, first, group = np.unique(value, return_index=True, return_inverse=True)
             is_first = np.zeros(len(at), bool)
             is_first[first] = True
             bucket = (other % np.uint64(buckets)).astype(np.int32)
             chosen = np.flatnonzero(is_first)
             found = [[b, 0, *pack(keys, ties, doc[chosen[p]], place[chosen[p]], value[chosen[p]])] for b, p in _dealt(bucket[chosen])]
+            # rows that repeat key and text are one document: a passage at the first one's own place is not another
             rest = np.flatnonzero(~is_first)
+            ahead = first[group[rest]]
+            rest = rest[(keys[doc[rest]] != keys[doc[ahead]]) | (ties[doc[rest]] != ties[doc[ahead]]) | (place[rest] != place[ahead])]
             if len(rest):
                 found.append([int(keys[doc[rest[0]]] % buckets), 1, *pack(keys, ties, doc[rest], place[rest], None)])
             yield _rows(found)
