@@ -41,6 +41,22 @@ def test_archives_round_trip(spark):
     assert warc.read_pages(spark, empty).isEmpty()
 
 
+def test_archives_are_appended_and_overwritten(spark):
+    warc.register(spark)
+    path = shared_dir(spark)
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"page {i}") for i in range(6)], "page_id long, url string, html string")
+
+    def write(rows, mode):
+        warc.page_records(rows).write.format("warc").mode(mode).save(path)
+        return sorted(r["page_id"] for r in warc.read_pages(spark, path).collect())
+
+    assert write(pages.where("page_id < 2"), "append") == [0, 1]
+    assert write(pages.where("page_id between 2 and 3"), "append") == [0, 1, 2, 3]
+    assert write(pages.limit(0), "append") == [0, 1, 2, 3]
+    assert write(pages.where("page_id > 3"), "overwrite") == [4, 5]
+    assert write(pages.where("page_id = 1"), "append") == [1, 4, 5]
+
+
 def test_archives_of_other_programs(spark, tmp_path):
     warc.register(spark)
     records = [warc.record("response", f"urn:{i}", "http://x", None, hashlib.sha1(bytes([i]) * n).hexdigest(), n, bytes([i]) * n) for i, n in enumerate((0, 10, 20_000))]

@@ -1,7 +1,8 @@
 """Web archives (WARC 1.1) as a Spark data source.
 
-Writing: each task writes its own archives, a gzip member per record; the commit lists the finished ones in a manifest, so what a
-lost or repeated task left behind is never read. The member header tells the member's length (extra field `sl`).
+Writing: each task writes its own archives, a gzip member per record; each commit lists its finished ones in a manifest of its own, so what a
+lost or repeated task left behind is never read, and what is appended stands beside what was written before. A commit that overwrites
+removes the older manifests and their archives once its own is written. The member header tells the member's length (extra field `sl`).
 
 Reading: the driver plans partitions of whole files of about PARTITION bytes. Predicates on record_type, record_id, target_uri, refers_to and payload_digest are
 pushed down; a reader inflates a record up to the end of its headers, tests them, and jumps over the rest of a record that is
@@ -36,7 +37,8 @@ PUSHED = {"record_type", "record_id", "target_uri", "refers_to", "payload_digest
 #: Bytes after which a task begins another archive, and that a read partition holds.
 ROLL = 128 << 20
 PARTITION = 64 << 20
-MANIFEST = "_manifest.json"
+#: A manifest is named MANIFEST-<uuid>.json; `_manifest.json` is that of an older version.
+MANIFEST = "_manifest"
 #: Payload bytes of one Arrow batch, and how much is read at a time.
 BATCH = 8 << 20
 STEP = 4096
@@ -50,6 +52,17 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def _manifests(system: fs.FileSystem, base: str) -> list[str]:
+    """Paths of the manifests of all commits."""
+    found = system.get_file_info(fs.FileSelector(base, allow_not_found=True))
+    return sorted(x.path for x in found if x.type == fs.FileType.File and x.base_name.startswith((f"{MANIFEST}-", f"{MANIFEST}.")) and x.base_name.endswith(".json"))
+
+
+def _listed(system: fs.FileSystem, manifest: str) -> list[tuple[str, int]]:
+    with system.open_input_stream(manifest, compression=None) as f:
+        return [(name, size) for name, size in json.loads(f.read())]
+
+
 def member(data: bytes) -> bytes:
     """A gzip member whose header tells its own length and that of the data."""
     pack = zlib.compressobj(3, zlib.DEFLATED, -15)
@@ -77,8 +90,8 @@ class _Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path.rstrip("/")
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite = path.rstrip("/"), overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         system, base = _open(self.path)
@@ -104,8 +117,17 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         system, base = _open(self.path)
         system.create_dir(base, recursive=True)
-        with system.open_output_stream(f"{base}/{MANIFEST}", compression=None) as f:
+        older = _manifests(system, base) if self.overwrite else []
+        # a reader must not find half a manifest: the name comes last
+        name = f"{MANIFEST}-{uuid.uuid4().hex}.json"
+        with system.open_output_stream(f"{base}/{name}.new", compression=None) as f:
             f.write(json.dumps([x for m in messages if m for x in m.files]).encode())
+        system.move(f"{base}/{name}.new", f"{base}/{name}")
+        for manifest in older:
+            archives = _listed(system, manifest)
+            system.delete_file(manifest)
+            for archive, _ in archives:
+                system.delete_file(f"{base}/{archive}")
 
     def abort(self, messages: list) -> None:
         system, base = _open(self.path)
@@ -186,9 +208,9 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         system, base = _open(self.path)
-        if system.get_file_info(f"{base}/{MANIFEST}").type == fs.FileType.File:
-            with system.open_input_stream(f"{base}/{MANIFEST}", compression=None) as f:
-                found = [(f"{base}/{name}", size) for name, size in json.loads(f.read())]
+        manifests = _manifests(system, base)
+        if manifests:
+            found = [(f"{base}/{name}", size) for m in manifests for name, size in _listed(system, m)]
         else:
             found = [(x.path, x.size) for x in system.get_file_info(fs.FileSelector(base, recursive=True)) if x.path.endswith((".warc", ".warc.gz"))]
         parts, now, size = [], [], 0
@@ -273,7 +295,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"], self.options.get("payload", "true").lower() != "false")
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:
