@@ -189,6 +189,33 @@ def test_chat_round_trip_and_rewriting(spark):
     assert chat_format.digests(chat_format.format_turns(df.limit(0))).isEmpty()
 
 
+def test_chat_templates_that_depend_on_old_turns(spark):
+    turns = [("system", "be brief"), *((("user", "assistant")[t % 2], f"t{t}") for t in range(99))]
+    df = spark.createDataFrame([(1, t, *x) for t, x in enumerate(turns)], "conv_id long, turn long, role string, text string")
+
+    def numbered(turns):
+        return "".join(f"{n}[{r}]{x};" for n, (r, x) in enumerate(turns))
+
+    def strict(turns):
+        assert turns[0][0] == "system" and all(r == ("user", "assistant")[n % 2] for n, (r, _) in enumerate(turns[1:]))
+        return numbered(turns)
+
+    def system_last(turns):
+        return numbered(turns[1:]) + turns[0][1]
+
+    def far_back(turns):  # from 80 turns on the first one is left out
+        return numbered(turns[len(turns) >= 80 :])
+
+    for template in (strict, system_last, far_back):
+        shown = ""
+        for n, r in enumerate(chat_format.format_turns(df, template).orderBy("turn").collect(), 1):
+            whole = template(turns[:n])
+            at = next((i for i, (a, b) in enumerate(zip(whole, shown)) if a != b), min(len(whole), len(shown)))
+            assert (r["at"], r["piece"], r["rewrote"]) == (at, whole[at:], at < len(shown))
+            shown = whole
+        assert n == len(turns)
+
+
 def edits(item, text):
     row = [0] * (len(text) + 1)
     for i, a in enumerate(item, 1):

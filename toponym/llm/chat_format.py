@@ -5,10 +5,10 @@ another and each output is compared with the one before: what the outputs share
 a piece's text lies is found by rendering the turn with two probe texts: what both renderings share at the front and at the
 back is the template's. An output that does not begin with the whole output before it shows a template that rewrites history.
 
-Results have a row per turn, so that a conversation of any length streams through its task: conv, turn, at (where the piece
+Results have a row per turn: conv, turn, at (where the piece
 starts in the output), piece, first and past (the text within the piece), loss (the text counts for training), rewrote.
-Up to `CONTEXT` turns a prefix is rendered whole; of longer ones the last `CONTEXT` turns are rendered, which finds rewriting no
-farther back than that. `digests` reads conversations back from such rows.
+Every prefix is rendered whole, however long, so rewriting is found at any distance; a task holds the turns of one conversation and the
+outputs of its last turn, and the work of a conversation grows with the square of its turns. `digests` reads conversations back from such rows.
 
 Turns are sorted by turn, then role and text (null first), so ties and repeated rows have one order. Null role or text counts as
 empty. Null conversation ids are one conversation with a null id. An empty table gives an empty result; other columns are not read.
@@ -17,17 +17,18 @@ empty. Null conversation ids are one conversation with a null id. An empty table
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Render = Callable[[list[tuple[str, str]]], str]
-#: Turns that a rendered prefix holds at most.
-CONTEXT = 64
+#: Turns of at most SHORT characters whose rendering `render_marked` remembers, as each is rendered again with every later prefix.
+REMEMBERED = 32_768
+SHORT = 1000
 #: Strings that mark turns in this or another common template.
 CONTROL = ("<|im_start|>", "<|im_end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _MARK = re.compile("(?=" + "|".join(map(re.escape, CONTROL)) + ")(.)", re.S)
@@ -43,9 +44,16 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(lambda m: "\\" if m[1] == "\\" else "", text)
 
 
+def _marked(role: str, text: str) -> str:
+    return f"<|im_start|>{escape(role)}\n{escape(text)}<|im_end|>\n"
+
+
+_remembered = lru_cache(REMEMBERED)(_marked)
+
+
 def render_marked(turns: list[tuple[str, str]]) -> str:
     """The standard template: marks around each turn, its role on the first line, control strings escaped."""
-    return "".join(f"<|im_start|>{escape(role)}\n{escape(text)}<|im_end|>\n" for role, text in turns)
+    return "".join(_remembered(r, t) if len(r) + len(t) <= SHORT else _marked(r, t) for r, t in turns)
 
 
 def read_marked(piece: str, first: int, past: int) -> tuple[str, str]:
@@ -54,7 +62,13 @@ def read_marked(piece: str, first: int, past: int) -> tuple[str, str]:
 
 
 def _common(a: str, b: str) -> int:
-    return len(b) if a.startswith(b) else len(os.path.commonprefix((a, b)))
+    if a.startswith(b):
+        return len(b)
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:  # a and b are equal up to lo, and differ before or at hi
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
+    return lo
 
 
 def locate(render: Render, before: list[tuple[str, str]], turn: tuple[str, str], shown: str | None = None) -> tuple[str, int, str, int, int]:
@@ -93,17 +107,12 @@ def format_turns(turns: DataFrame, render: Render = render_marked, learn: str =
     kinds = [to_arrow_type(kind), to_arrow_type(order), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        now, before, shown, past_context = object(), [], "", 0
+        now, before, shown = object(), [], ""
         for conv_id, number, speaker, said in _turns(batches):
             if conv_id != now:
-                now, before, shown, past_context = conv_id, [], "", 0
-            if len(before) >= CONTEXT:
-                # forget the first turn of the context; what it added to the output is behind
-                rest = render(before[1:])
-                past_context += len(shown) - len(rest)
-                before, shown = before[1:], rest
+                now, before, shown = conv_id, [], ""
             out, at, piece, first, past = locate(render, before, (speaker, said), shown)
-            yield conv_id, number, at + past_context, piece, first, past, speaker == learn, at < len(shown)
+            yield conv_id, number, at, piece, first, past, speaker == learn, at < len(shown)
             before.append((speaker, said))
             shown = out
 
