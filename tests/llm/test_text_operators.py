@@ -264,3 +264,15 @@ def test_secrets(spark):
     plan = secret_scan.findings(df, forest)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
     assert secret_scan.findings(df.limit(0), forest).isEmpty() and secret_scan.redacted(df.limit(0), forest).isEmpty()
+
+
+def test_secrets_without_digits_or_with_signs(spark):
+    forest = secret_scan.train(secret_scan.labelled_findings(spark))
+    secrets = ["kQzXwRvTbNmLpGhJ", "QmZtXvKpLwRbNcJdFgHs", "xqzvkjwpbtrmgdhc", "Xk9$pQ.v!T2@wz#Lm", "aB.cD$eF!gH@jKzQ"]
+    rnd = random.Random(6)
+    secrets += ["".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (16, 18, 20, 24, 32)]
+    texts = [f'the password = "{x}" is old' for x in secrets] + [f"api_key={x}\nnext" for x in secrets]
+    plain = ["no digit in anticonstitutionally long words", "Token: anticonstitutionally long", "see www.example.com/documentation/introduction", "the secret Geschwindigkeitsbegrenzung and unconstitutionally internationalization", 'password = "your_password_value_here"']
+    df = spark.createDataFrame([(i, t, "src0") for i, t in enumerate(texts + plain)], "doc_id long, text string, source string")
+    clean = [r["text"] for r in secret_scan.redacted(df, forest).orderBy("doc_id").collect()]
+    assert clean == [t.replace(x, "[SECRET]") for t, x in zip(texts, 2 * secrets, strict=True)] + plain

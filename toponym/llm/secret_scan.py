@@ -1,10 +1,11 @@
 """Secret scan: candidates by a pattern, false positives removed by a random forest. DataFrame functions only.
 
-Candidates are runs of at least LEAST letters, digits and signs that keys are written with, holding a digit. Their features are length, character
+Candidates are runs of at least LEAST letters, digits and signs that keys are written with; a value assigned to a word that speaks
+for a secret may hold other signs of passwords too (SIGNS). Whether one is a secret, with or without a digit, is left to the forest. Features are length, character
 transitions, dictionary coverage, path and neighbouring words. The forest is trained by Spark ML on labelled findings
 (before, candidate, after, path, label) and applied as a nested CASE expression, so scanning is one projection without a shuffle.
 
-`labelled_findings` makes the standard training rows from templates and a seed: BOTH rows of either label. A table of reviewed
+`labelled_findings` makes the standard training rows from templates and a seed: BOTH rows of either label, and a third as many of values without a digit or with signs. A table of reviewed
 findings with the same columns can take their place.
 
 Null text has no candidates and stays null; a null path counts as empty. A text is cut and put together again by the same pattern,
@@ -23,7 +24,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEAST = 12
-CANDIDATE = r"[A-Za-z0-9+/_\-]{12,}(?:={1,2}(?![A-Za-z0-9=]))?"
+KEY = r"[A-Za-z0-9+/_\-]{12,}(?:={1,2}(?![A-Za-z0-9=]))?"
+#: Signs of passwords that keys have not.
+SIGNS = r".$!@#%^&*~?"
 #: Characters before and after a candidate that are looked at.
 BEFORE, AFTER = 40, 12
 TREES, DEPTH, SEED = 15, 5, 5
@@ -42,10 +45,15 @@ DICTIONARY = (
 #: Words before a candidate that speak for a secret, and against one. (Fixed values.)
 FOR = r"token|secret|passw(?:or)?d|passwd|pwd|api[_\-]?key|access[_\-]?key|private[_\-]?key|auth|bearer|credential|apikey"
 AGAINST = r"sha-?\d*|md5|commit|checksum|digest|etag|uuid|guid|isbn|issn|card|phone|order|invoice|version|build|example|dummy|sample|revision|base64|image|http|www"
+#: A value with such signs, where it is assigned to a word of FOR; a full stop or question mark at its end belongs to the sentence.
+ASSIGNED = rf"(?<=(?i:{FOR})[A-Za-z_]{{0,8}}[\"']?[ ]{{0,2}}(?::=|=>|[=:])[ ]{{0,2}}[\"'`]?)"
+#: The cheap tests of a place come first, as looking back is dear.
+SIGNED = rf"(?<![A-Za-z0-9+/_\-{SIGNS}])(?=[A-Za-z0-9+/_\-{SIGNS}]{{12}})(?=[A-Za-z0-9+/_\-]*[{SIGNS}]){ASSIGNED}"
+CANDIDATE = rf"{SIGNED}[A-Za-z0-9+/_\-{SIGNS}]{{11,}}[A-Za-z0-9+/_\-$!@#%^&*~]|{KEY}"
 #: Parts of a path that speak for placeholders, and for settings. (Fixed values.)
 TEST_PATH = r"(?i)test|example|sample|fixture|mock|doc"
 SETTINGS_PATH = r"(?i)env|conf|settings|\.ya?ml|\.json|\.ini|\.properties|secret"
-FEATURES = ("length", "digits", "upper", "transitions", "distinct", "dictionary", "hex", "only_digits", "vowels", "assigned", "for", "against", "quoted", "glued", "test_path", "settings_path")
+FEATURES = ("length", "digits", "upper", "transitions", "distinct", "dictionary", "hex", "only_digits", "vowels", "assigned", "for", "against", "quoted", "glued", "test_path", "settings_path", "signs")
 
 
 def _share(c: Column, pattern: str) -> Column:
@@ -75,6 +83,7 @@ def features(c: Column, before: Column, after: Column, path: Column) -> Column:
         flag(after.rlike("^[@.]") | before.rlike("[@.]$")),
         flag(path.rlike(TEST_PATH)),
         flag(path.rlike(SETTINGS_PATH)),
+        _share(c, f"[{SIGNS}]"),
     )
 
 
@@ -95,7 +104,6 @@ def labelled_findings(spark: SparkSession, both: int = BOTH, seed: int = SEED) -
         kind = rnd.random()
         value = draw(hexes, rnd.choice((16, 20, 24, 32, 40, 64))) if kind < 0.6 else draw(alnum, rnd.randint(16, 44)) if kind < 0.9 else draw(alnum + "+/_-", rnd.randint(16, 60))
         value = value.upper() if rnd.random() < 0.15 else value
-        value = value if any(x.isdigit() for x in value) else value + "7"
         rows.append((prose() + assign(keys), value, rnd.choice(("\" ", "' ", " ", "\n", "\"!!", ";")) + word(), rnd.choice(paths), 1.0))
     for n in range(both):
         before, after, path = prose(), " " + word(), rnd.choice((*paths, "tests/test_x.py", "docs/guide.md", "examples/run.sh"))
@@ -122,6 +130,22 @@ def labelled_findings(spark: SparkSession, both: int = BOTH, seed: int = SEED) -
             value = "_".join(rnd.choice(DICTIONARY) for _ in range(3)) + "_" + draw("0123456789", rnd.randint(1, 4))
         value = value if len(value) >= LEAST else value + "-" + draw("0123456789", LEAST)
         rows.append((before, value, after, path, 0.0))
+    # secrets without a digit or with signs, and long words, names and addresses that are none; drawn last, so that the rows above stay as they are
+    letters, signs = alnum[:52], "$!@#%^&*~?."
+    for n in range(both // 3):
+        value = draw(letters, rnd.randint(12, 32)) if n % 3 == 0 else draw(letters[26:], rnd.randint(12, 24)) if n % 3 == 1 else ""
+        while not value or n % 3 == 2 and not any(x in signs for x in value[1:-1]):
+            value = draw(alnum + 2 * signs, rnd.randint(12, 30)).strip(".?") + draw(alnum, 1)
+        rows.append((prose() + assign(keys), value, rnd.choice(("\"", "'", "", "\n", "\";", ";")) + " " + word(), rnd.choice(paths), 1.0))
+    for n in range(both // 3):
+        value = ""
+        while len(value) < LEAST:
+            value += word()
+        name = lambda sep, many: sep.join(rnd.choice(DICTIONARY) for _ in range(many))
+        before, value = prose() + (assign(keys) if n % 2 else ""), odd_case(value) if n % 6 < 2 else name(rnd.choice("_-/."), 4) if n % 6 < 4 else word() + "." + value + rnd.choice(("@", ".")) + name(".", 2)
+        if n % 12 == 1:  # prose that goes on after such a word
+            before = prose() + rnd.choice(keys) + rnd.choice((" ", ": ", ", "))
+        rows.append((before, value, " " + word(), rnd.choice(paths), 0.0))
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([dict(zip(("before", "candidate", "after", "path", "label"), r, strict=True)) for r in rows])), "array<struct<before:string,candidate:string,after:string,path:string,label:double>>")))
 
 
@@ -169,25 +193,26 @@ def score(forest: list, f: Column) -> Column:
 
 def scan(docs: DataFrame, forest: list, text: str = "text", path: str = "source", least: float = 0.5) -> DataFrame:
     """docs with `parts` (the text around the candidates) and `found`: array<struct<secret,score>>, null entries where a candidate is none of them."""
-    # most texts have no digit, and are not cut at all
-    c = F.when(F.col(text).rlike("[0-9]"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    parts = F.when(F.col(text).rlike("[0-9]"), F.split(text, CANDIDATE, -1)).otherwise(F.array(F.col(text)))
+    c = F.coalesce(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), F.array().cast("array<string>"))
+    parts = F.coalesce(F.split(text, CANDIDATE, -1), F.array(F.col(text)))
     rows = docs.withColumns({"candidates": c, "parts": parts})
     where = F.coalesce(F.col(path), F.lit("")) if path in docs.columns else F.lit("")
 
     def judge(value: Column, i: Column) -> Column:
-        # what stands before may be a candidate itself, such as a long name
-        before = F.substring(F.concat(F.coalesce(F.get("candidates", i - 1), F.lit("")), F.get("parts", i)), -BEFORE, BEFORE)
+        # what stands before may be candidates itself, such as long words: as many as BEFORE characters can hold
+        back = [x for k in range(-(-BEFORE // LEAST), 0, -1) for x in (F.get("candidates", i - k), F.get("parts", i - k + 1))]
+        before = F.substring(F.concat(*(F.coalesce(x, F.lit("")) for x in back)), -BEFORE, BEFORE)
         after = F.substring(F.get("parts", i + 1), 1, AFTER)
-        judged = F.transform(F.array(features(value, before, after, where)), lambda f: score(forest, f))[0]
-        return F.when(value.rlike("[0-9]"), F.transform(F.array(judged), lambda s: F.when(s >= least, F.struct(value.alias("secret"), s.alias("score"))))[0])
+        judged = F.transform(F.transform(F.array(before), lambda b: features(value, b, after, where)), lambda f: score(forest, f))[0]
+        return F.transform(F.array(judged), lambda s: F.when(s >= least, F.struct(value.alias("secret"), s.alias("score"))))[0]
 
     return rows.withColumn("found", F.transform("candidates", judge))
 
 
 def findings(docs: DataFrame, forest: list, key: str = "doc_id", **options) -> DataFrame:
     """One row per secret: key, number (the candidate's place among the text's candidates), length, secret_sha256, score."""
-    rows = scan(docs, forest, **options).select(key, F.posexplode("found").alias("number", "it")).where("it is not null")
+    # outer, as otherwise Spark infers a filter on the size of `found` and puts the patterns into it once for each use
+    rows = scan(docs, forest, **options).select(key, F.posexplode_outer("found").alias("number", "it")).where("it is not null")
     return rows.select(key, "number", F.length("it.secret").alias("length"), F.sha2(F.col("it.secret").cast("binary"), 256).alias("secret_sha256"), F.round("it.score", 6).alias("score"))
 
 
