@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,11 +19,10 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors see, under spark.checkpoint.dir; a local one only where that is unset."""
+    """A new folder that driver and executors see, under spark.checkpoint.dir or what setCheckpointDir was given."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
     if base is None:
-        base = tempfile.mkdtemp(prefix="toponym-")
-        spark.sparkContext.setCheckpointDir(base)
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -35,6 +34,21 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(work: Callable) -> Callable:
+    """A function over the batches of a task that gives free memory back at its end: workers are used again by other operators."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return run
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the text column of each holds about `limit` bytes; a longer single text stays whole."""
     for batch in batches:
