@@ -10,7 +10,8 @@ Each task pairs one block of rows with one block of queries; the blocks meet by
 block. Nothing is broadcast.
 
 Vectors that are null, empty, or hold null or non-finite components take no part, nor do null ids. Vectors meet only queries of
-their own length. Rows that repeat id and vector are one row. Rows with the id of a query are not its candidates. An empty table, or fewer rows than k,
+their own length. Rows with the id of a query are not its candidates; every other row is one, also if it repeats an id, or an id and its vector (of rows that
+repeat both, k stand for all of them, as more cannot be results). Queries that share an id are one query, with the best of the results of all. An empty table, or fewer rows than k,
 gives fewer results. Other columns are not read.
 """
 
@@ -25,9 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import released
+
 #: Rows of an index block, and queries of a query block.
 BLOCK = 16_384
-QUERIES = 128
+QUERIES = 1024
 BLOCKS = "dims int, block int, low long, least long, ids binary, slices binary, rest binary"
 
 
@@ -119,7 +122,7 @@ def score_slices(maps: np.ndarray, rest: np.ndarray, query: np.ndarray, low: int
 
 
 def _search(k: int):
-    """(query_id, query, vec_id, score): the best k of a block for each query of a query block."""
+    """(query_id, vec_id, score): the best k of a block for each query of a query block."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,7 +131,7 @@ def _search(k: int):
                 words = (len(ids) + 63) // 64
                 rest = np.frombuffer(row["rest"], np.uint64).reshape(-1, words)
                 maps = np.frombuffer(row["slices"], np.uint64).reshape(row["dims"], -1, words)
-                out: list[list] = [[], [], [], []]
+                out: list[list] = [[], [], []]
                 for item in row["queries"]:
                     slices, offset = score_slices(maps, rest, np.array(item["q"], np.int64), row["low"], row["least"])
                     free = np.zeros(64 * words, np.uint8)
@@ -136,25 +139,26 @@ def _search(k: int):
                     at = choose(slices, np.packbits(free, bitorder="little").view(np.uint64), k)
                     bits = (slices[:, at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)
                     score = (bits.astype(np.int64) << np.arange(len(slices))[:, None]).sum(axis=0) + offset
-                    for column, value in zip(out, ([item["id"]] * len(at), [item["hash"]] * len(at), ids[at].tolist(), score.tolist()), strict=True):
+                    for column, value in zip(out, ([item["id"]] * len(at), ids[at].tolist(), score.tolist()), strict=True):
                         column += value
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in out], names=["query_id", "query", "vec_id", "score"])
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
 
-    return search
+    return released(search)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where is_query holds, its k best other rows. Runs a counting job. The key has to be a whole number."""
     rows = vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), quantised(F.col(vec), scale).alias("q"), is_query.alias("asks"))
-    rows = rows.where("q is not null").dropDuplicates(["id", "q"]).withColumns({"dims": F.size("q"), "hash": F.xxhash64("id", "q")})
-    sizes = rows.agg(F.count("*").alias("rows"), F.count_if(F.coalesce("asks", F.lit(False))).alias("queries")).first()
+    rows = rows.where("q is not null").groupBy("id", "q").agg(F.max(F.coalesce("asks", F.lit(False))).alias("asks"), F.count("*").alias("times"))
+    rows = rows.select("id", "q", "asks", F.size("q").alias("dims"), F.explode(F.sequence(F.lit(1), F.least("times", F.lit(k)))).alias("copy")).withColumn("hash", F.xxhash64("id", "q", "copy"))
+    sizes = rows.agg(F.count("*").alias("rows"), F.count_if("asks").alias("queries")).first()
     n_blocks, n_queries = -(-sizes["rows"] // BLOCK) or 1, -(-sizes["queries"] // QUERIES) or 1
     number = lambda n: F.pmod(F.xxhash64("hash", F.lit(n)), F.lit(n)).cast("int")
     index = rows.select("dims", number(n_blocks).alias("block"), "id", "q").groupBy("dims", "block").applyInPandas(_index, BLOCKS)
     index = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
-    asked = rows.where("asks").select("dims", number(n_queries).alias("part"), F.struct("id", "hash", "q").alias("query")).groupBy("dims", "part").agg(F.collect_list("query").alias("queries"))
+    asked = rows.where("asks").select("dims", number(n_queries).alias("part"), F.struct("id", "q").alias("query")).groupBy("dims", "part").agg(F.collect_list("query").alias("queries"))
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     pairs = index.join(asked.hint("shuffle_hash"), ["dims", "block", "part"]).select("dims", "low", "least", "ids", "slices", "rest", "queries")
-    found = pairs.mapInArrow(_search(k), "query_id long, query long, vec_id long, score long")
-    best = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
+    found = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
