@@ -7,7 +7,8 @@ removes the older manifests and their archives once its own is written. The memb
 Reading: the driver plans partitions of whole files of about PARTITION bytes. Predicates on record_type, record_id, target_uri, refers_to and payload_digest are
 pushed down; a reader inflates a record up to the end of its headers, tests them, and jumps over the rest of a record that is
 not wanted. With option `payload` = `false` no payload is inflated. Archives of other programs are read too: uncompressed, or gzip members without
-that field, which have to be inflated to find their end.
+that field, which have to be inflated to find their end. A SHA-1 digest is given as bare lower-case hexadecimal digits however it is written; other digests stay as they are. A response
+without an end of its HTTP headers has no payload.
 
 Null urls have no target header. Null payloads are empty. Rows that repeat an id are records of their own. An empty table
 writes no record and reads as an empty table; a record that cannot be parsed raises an error.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -68,9 +70,21 @@ def member(data: bytes) -> bytes:
     pack = zlib.compressobj(3, zlib.DEFLATED, -15)
     body = pack.compress(data) + pack.flush()
     size = 10 + 2 + 12 + len(body) + 8
+    if max(size, len(data)) >> 32:  # the field has 32 bits; without it the record is read to its end
+        return b"\x1f\x8b\x08\0\0\0\0\0\0\xff" + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
     return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, size, len(data)) + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
+def bare_digest(digest: str | None) -> str | None:
+    """A SHA-1 digest, in base 32 or hexadecimal, as lower-case hexadecimal digits; any other as it is."""
+    kind, _, value = (digest or "").partition(":")
+    if kind.lower() == "sha1" and re.fullmatch("[A-Za-z2-7]{32}", value):
+        return base64.b32decode(value.upper()).hex()
+    if kind.lower() == "sha1" and re.fullmatch("[0-9A-Fa-f]{40}", value):
+        return value.lower()
+    return digest
+
+
 def record(kind: str, record_id: str, uri: str | None, refers_to: str | None, digest: str, payload_bytes: int, payload: bytes) -> bytes:
     """A response with its payload, or a revisit with the HTTP headers alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {payload_bytes}\r\n\r\n".encode()
@@ -240,7 +254,7 @@ class WarcReader(DataSourceReader):
                     digest = head.get("warc-payload-digest")
                     bare = lambda x: x and x.strip("<>")
                     row = {"record_type": head.get("warc-type"), "record_id": bare(head.get("warc-record-id")), "target_uri": head.get("warc-target-uri"), "refers_to": bare(head.get("warc-refers-to"))}
-                    row["payload_digest"] = base64.b32decode(digest.partition(":")[2]).hex() if digest else None
+                    row["payload_digest"] = bare_digest(digest)
                     if self.wanted(row):
                         yield row | self.content(m, length, head)
                     at = m.next(length)
@@ -255,6 +269,8 @@ class WarcReader(DataSourceReader):
         while past < 0 and len(m.data) < m.body + length:
             m.need(min(len(m.data) + STEP, m.body + length))
             past = m.data.find(b"\r\n\r\n", m.body)
+        if not m.body <= past <= m.body + length - 4:
+            past = m.body + length - 4
         http = m.data[m.body : past].decode("latin-1").lower()
         told = next((int(x.partition(":")[2]) for x in http.split("\r\n") if x.startswith("content-length:")), None)
         own = m.body + length - past - 4
