@@ -1,17 +1,17 @@
 """Secret scan: candidates by a pattern, false positives removed by a random forest. DataFrame functions only.
 
 Candidates are runs of at least LEAST letters, digits and signs that keys are written with; a value assigned to a word that speaks
-for a secret may hold other signs of passwords too (SIGNS). Whether one is a secret, with or without a digit, is left to the forest. Features are length, character
-transitions, dictionary coverage, path and neighbouring words. The forest is trained by Spark ML on labelled findings
-(before, candidate, after, path, label) and applied as a nested CASE expression, so scanning is one projection without a shuffle.
+for a secret may hold other signs of passwords too (SIGNS); a private key with its marks, a signed token of three parts and a password in an address are one candidate each.
+Whether one is a secret, with or without a digit, is left to the forest. Features are length, character
+transitions, dictionary coverage, path, neighbouring words, and the beginnings of public key formats. The forest is trained by Spark ML on labelled findings
+(before, candidate, after, path, label), on at most MOST of them, and applied as a nested CASE expression, so scanning is one projection without a shuffle.
 
-`labelled_findings` makes the standard training rows from templates and a seed: BOTH rows of either label, and a third as many of values without a digit or with signs. A table of reviewed
-findings with the same columns can take their place.
+`labelled_findings` makes the standard training rows from templates and a seed: BOTH rows of either label, and a third as many of values without a digit, with signs, or of the
+formats above. A table of reviewed findings with the same columns can take their place.
 
 Null text has no candidates and stays null; a null path counts as empty. A text is cut and put together again by the same pattern,
 so all else of it is kept as it is. Equal secrets of a text are findings of their own, in order of place. Repeated rows are scanned each by itself. An empty
-table gives an empty result. Columns to carry along are never named by the scan, only its own beside them, which replace columns of
-the same name.
+table gives an empty result. Long texts are read whole. The rows to carry along travel in one struct, so that their names cannot clash.
 """
 
 from __future__ import annotations
@@ -30,8 +30,9 @@ SIGNS = r".$!@#%^&*~?"
 #: Characters before and after a candidate that are looked at.
 BEFORE, AFTER = 40, 12
 TREES, DEPTH, SEED = 15, 5, 5
-#: Training rows of each label.
+#: Training rows of each label that are made, and rows that the forest is trained on at most, chosen by a hash.
 BOTH = 600
+MOST = 100_000
 #: Words of placeholders and ordinary identifiers. (Fixed values.)
 DICTIONARY = (
     "access account address admin api app attribute author base board build cache change chapter class client code commit common "
@@ -49,11 +50,17 @@ AGAINST = r"sha-?\d*|md5|commit|checksum|digest|etag|uuid|guid|isbn|issn|card|ph
 ASSIGNED = rf"(?<=(?i:{FOR})[A-Za-z_]{{0,8}}[\"']?[ ]{{0,2}}(?::=|=>|[=:])[ ]{{0,2}}[\"'`]?)"
 #: The cheap tests of a place come first, as looking back is dear.
 SIGNED = rf"(?<![A-Za-z0-9+/_\-{SIGNS}])(?=[A-Za-z0-9+/_\-{SIGNS}]{{12}})(?=[A-Za-z0-9+/_\-]*[{SIGNS}]){ASSIGNED}"
-CANDIDATE = rf"{SIGNED}[A-Za-z0-9+/_\-{SIGNS}]{{11,}}[A-Za-z0-9+/_\-$!@#%^&*~]|{KEY}"
+#: A private key from its first to its last mark, a signed token, and the password of an address (before its host).
+PEM = r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY-----[^\-]++-----END [A-Z0-9 ]{0,30}PRIVATE KEY-----"
+SIGNED_TOKEN = r"(?<![A-Za-z0-9+/_\-])eyJ[A-Za-z0-9_\-]{5,}\.[A-Za-z0-9_\-]{5,}\.[A-Za-z0-9_\-]{5,}"
+IN_ADDRESS = r"(?<=:)(?!//)(?<=://[^\s:/@]{1,64}:)[^\s:/@]{6,}(?=@)"
+CANDIDATE = rf"{PEM}|{SIGNED_TOKEN}|{IN_ADDRESS}|{SIGNED}[A-Za-z0-9+/_\-{SIGNS}]{{11,}}[A-Za-z0-9+/_\-$!@#%^&*~]|{KEY}"
+#: How keys of public formats begin. (Fixed values.)
+KNOWN = r"^(?:gh[pousr]_|github_pat_|glpat-|npm_|[sr]k_live_|sk-|AKIA|ASIA|AIza|xox[abprs]-|eyJ[A-Za-z0-9_\-]+\.|-----BEGIN )"
 #: Parts of a path that speak for placeholders, and for settings. (Fixed values.)
 TEST_PATH = r"(?i)test|example|sample|fixture|mock|doc"
 SETTINGS_PATH = r"(?i)env|conf|settings|\.ya?ml|\.json|\.ini|\.properties|secret"
-FEATURES = ("length", "digits", "upper", "transitions", "distinct", "dictionary", "hex", "only_digits", "vowels", "assigned", "for", "against", "quoted", "glued", "test_path", "settings_path", "signs")
+FEATURES = ("length", "digits", "upper", "transitions", "distinct", "dictionary", "hex", "only_digits", "vowels", "assigned", "for", "against", "quoted", "glued", "test_path", "settings_path", "signs", "known", "in_address")
 
 
 def _share(c: Column, pattern: str) -> Column:
@@ -84,6 +91,8 @@ def features(c: Column, before: Column, after: Column, path: Column) -> Column:
         flag(path.rlike(TEST_PATH)),
         flag(path.rlike(SETTINGS_PATH)),
         _share(c, f"[{SIGNS}]"),
+        flag(c.rlike(KNOWN)),
+        flag(before.rlike(r"://[^\s:/@]+:$")),
     )
 
 
@@ -146,6 +155,27 @@ def labelled_findings(spark: SparkSession, both: int = BOTH, seed: int = SEED) -
         if n % 12 == 1:  # prose that goes on after such a word
             before = prose() + rnd.choice(keys) + rnd.choice((" ", ": ", ", "))
         rows.append((before, value, " " + word(), rnd.choice(paths), 0.0))
+    urlsafe = alnum + "_-"
+    for n in range(both // 3):  # keys of public formats, wherever they stand, and names that begin like them
+        before, after = (prose() + (assign(keys) if rnd.random() < 0.5 else rnd.choice(("", "uses ", "\"", "Bearer "))), rnd.choice(("", "\"", "'", ",", "\n", ".")) + " " + word())
+        kind = n % 6
+        if kind == 0:
+            value = rnd.choice(("ghp_", "gho_", "ghs_", "glpat-", "npm_")) + draw(alnum, 36)
+        elif kind == 1:
+            value = rnd.choice(("sk_live_", "rk_live_", "sk-")) + draw(alnum, rnd.choice((24, 32, 48)))
+        elif kind == 2:
+            value = rnd.choice(("AKIA", "ASIA")) + draw(alnum[:26] + "0123456789", 16) if n % 4 < 2 else "AIza" + draw(urlsafe, 35)
+        elif kind == 3:
+            value = "eyJ" + ".".join(draw(urlsafe, k) for k in (rnd.randint(15, 40), rnd.randint(30, 120), 43))
+        elif kind == 4:
+            name = rnd.choice(("RSA ", "EC ", "OPENSSH ", ""))
+            value = f"-----BEGIN {name}PRIVATE KEY-----\n" + "\n".join(draw(alnum + "+/", 64) for _ in range(rnd.randint(2, 12))) + f"\n-----END {name}PRIVATE KEY-----"
+        else:
+            before, value, after = prose() + rnd.choice(("postgres", "https", "redis", "amqp", "mysql")) + "://" + word() + ":", draw(alnum + "$!#%^&*~", rnd.randint(8, 24)), "@" + word() + ".example.com"
+        rows.append((before, value, after, rnd.choice(paths), 1.0))
+    for n in range(both // 6):
+        value = rnd.choice(("sk-", "npm_", "sk_live_", "ghp_")) + rnd.choice("-_").join(rnd.choice(DICTIONARY) for _ in range(3))
+        rows.append((prose(), value, " " + word(), rnd.choice(paths), 0.0))
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([dict(zip(("before", "candidate", "after", "path", "label"), r, strict=True)) for r in rows])), "array<struct<before:string,candidate:string,after:string,path:string,label:double>>")))
 
 
@@ -160,13 +190,14 @@ def _parsed(lines: list[str]) -> tuple:
     return int(feature), float(bound), left, _parsed(lines)
 
 
-def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> list:
-    """The forest's trees, from labelled findings."""
+def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, most: int = MOST) -> list:
+    """The forest's trees, from labelled findings, at most `most` of them, drawn by a hash."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
     tail = F.substring(F.col("before"), -BEFORE, BEFORE)
-    rows = findings.select(array_to_vector(features(F.col("candidate"), tail, F.substring("after", 1, AFTER), F.col("path"))).alias("features"), "label").coalesce(1)
+    rows = findings.select(array_to_vector(features(F.col("candidate"), tail, F.substring("after", 1, AFTER), F.col("path"))).alias("features"), "label", F.xxhash64("before", "candidate", "after", "path").alias("order"))
+    rows = rows.orderBy("order").limit(most).drop("order")
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(rows)
     lines = [x for x in forest.toDebugString.splitlines()[1:] if x.strip()]
     out = []
@@ -192,18 +223,19 @@ def score(forest: list, f: Column) -> Column:
 
 
 def scan(docs: DataFrame, forest: list, text: str = "text", path: str = "source", least: float = 0.5) -> DataFrame:
-    """docs with `parts` (the text around the candidates) and `found`: array<struct<secret,score>>, null entries where a candidate is none of them."""
-    c = F.coalesce(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), F.array().cast("array<string>"))
-    parts = F.coalesce(F.split(text, CANDIDATE, -1), F.array(F.col(text)))
-    rows = docs.withColumns({"candidates": c, "parts": parts})
-    where = F.coalesce(F.col(path), F.lit("")) if path in docs.columns else F.lit("")
+    """row (a struct of the columns of docs, named c0, c1, ...), text, candidates, parts (the text around them) and found: array<struct<secret,score>>, null entries where a candidate is none."""
+    where = F.coalesce(F.col(f"`{path}`"), F.lit("")) if path in docs.columns else F.lit("")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(docs.columns))).alias("row"), F.col(f"`{text}`").alias("text"), where.alias("path"))
+    c = F.coalesce(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), F.array().cast("array<string>"))
+    parts = F.coalesce(F.split("text", CANDIDATE, -1), F.array(F.col("text")))
+    rows = rows.withColumns({"candidates": c, "parts": parts})
 
     def judge(value: Column, i: Column) -> Column:
         # what stands before may be candidates itself, such as long words: as many as BEFORE characters can hold
         back = [x for k in range(-(-BEFORE // LEAST), 0, -1) for x in (F.get("candidates", i - k), F.get("parts", i - k + 1))]
         before = F.substring(F.concat(*(F.coalesce(x, F.lit("")) for x in back)), -BEFORE, BEFORE)
         after = F.substring(F.get("parts", i + 1), 1, AFTER)
-        judged = F.transform(F.transform(F.array(before), lambda b: features(value, b, after, where)), lambda f: score(forest, f))[0]
+        judged = F.transform(F.transform(F.array(before), lambda b: features(value, b, after, F.col("path"))), lambda f: score(forest, f))[0]
         return F.transform(F.array(judged), lambda s: F.when(s >= least, F.struct(value.alias("secret"), s.alias("score"))))[0]
 
     return rows.withColumn("found", F.transform("candidates", judge))
@@ -211,16 +243,16 @@ def scan(docs: DataFrame, forest: list, text: str = "text", path: str = "source"
 
 def findings(docs: DataFrame, forest: list, key: str = "doc_id", **options) -> DataFrame:
     """One row per secret: key, number (the candidate's place among the text's candidates), length, secret_sha256, score."""
+    own = F.col(f"row.c{docs.columns.index(key)}").alias(key)
     # outer, as otherwise Spark infers a filter on the size of `found` and puts the patterns into it once for each use
-    rows = scan(docs, forest, **options).select(key, F.posexplode_outer("found").alias("number", "it")).where("it is not null")
+    rows = scan(docs, forest, **options).select(own, F.posexplode_outer("found").alias("number", "it")).where("it is not null")
     return rows.select(key, "number", F.length("it.secret").alias("length"), F.sha2(F.col("it.secret").cast("binary"), 256).alias("secret_sha256"), F.round("it.score", 6).alias("score"))
 
 
 def redacted(docs: DataFrame, forest: list, text: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
     """docs with every secret of the text replaced by `mark`."""
-    names = docs.columns
     rows = scan(docs, forest, text=text, **options)
     shown = F.zip_with("candidates", "found", lambda c, f: F.when(f.isNull(), c).otherwise(F.lit(mark)))
     whole = F.array_join(F.flatten(F.zip_with("parts", F.concat(shown, F.array(F.lit(""))), lambda p, c: F.array(p, c))), "")
-    new = F.when(F.exists("found", lambda f: f.isNotNull()), whole).otherwise(F.col(text))
-    return rows.select(*(new.alias(c) if c == text else F.col(f"`{c}`") for c in names))
+    new = F.when(F.exists("found", lambda f: f.isNotNull()), whole).otherwise(F.col("text"))
+    return rows.select(*((new if c == text else F.col(f"row.c{n}")).alias(c) for n, c in enumerate(docs.columns)))
