@@ -4,8 +4,9 @@ Each word (a run of letters, lower-cased) has affix, character n-gram and lexico
 learned transitions; forward-backward gives each word's posterior, so words of code-switched texts are labelled one by one. A
 document's language has the largest sum of posteriors, and its share is the score.
 
-The model is fitted on the driver from a bounded sample: about PER_LANGUAGE documents of each of at most LANGUAGES languages, chosen by
-a hash of the key over the whole table, none longer than LONGEST characters. Sentences of different documents are put in a row to teach
+The model is fitted on the driver from a bounded sample: about PER_LANGUAGE documents of each language, fewer where all would be more than SAMPLE, chosen by
+a hash of the key over the whole table, none longer than LONGEST characters, and of these WORDS words for each language. No label is left out; a column with more than
+LABELS different values is no column of languages and raises an error. Sentences of different documents are put in a row to teach
 switching. Prediction reads whole texts in tasks, without a shuffle.
 
 Null text or text without a letter: `und` with score 0. A sample without any language gives `und` for all. Ties go to the
@@ -15,6 +16,7 @@ travel in one struct, so that their names cannot clash.
 
 from __future__ import annotations
 
+import json
 import random
 import re
 from collections import Counter, defaultdict
@@ -24,14 +26,16 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import released, slices
 
 PER_LANGUAGE = 150
-LANGUAGES = 64
+SAMPLE = 9_600
+LABELS = 2_000
 LONGEST = 20_000
+WORDS = 40_000
 #: Features that the model keeps at most, the most frequent ones.
 FEATURES = 200_000
 #: Words of each language's lexicon.
@@ -40,8 +44,10 @@ LEXICON = 300
 SEQUENCE = 60
 SWITCH = 0.3
 STEPS = 60
+#: Least value of an exponential, so that no product of a step vanishes.
+LEAST = 1e-100
 #: Words whose emissions a worker remembers; when there are more it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 UNKNOWN = "und"
 NOT_LETTERS = r"\P{L}+"
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -69,6 +75,10 @@ class Crf:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"known": {}, "scores": None}
 
+    def forget(self) -> None:
+        """Gives the remembered words back."""
+        self.known, self.scores = {}, None
+
     def flat_features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Feature numbers of all words, and where each word's begin; number 0 is a feature that every word has."""
         flat, starts = [], []
@@ -97,8 +107,8 @@ def forward_backward(scores: np.ndarray, starts: np.ndarray, transitions: np.nda
     All sequences that still have a word at step t are handled in one operation.
     """
     scores = scores.astype(np.float64)
-    e = np.exp(scores - scores.max(axis=1, keepdims=True)) if len(scores) else scores
-    a = np.exp(transitions - transitions.max())
+    e = np.maximum(np.exp(scores - scores.max(axis=1, keepdims=True)), LEAST) if len(scores) else scores
+    a = np.maximum(np.exp(transitions - transitions.max()), LEAST)
     length = np.diff(starts)
     order = np.argsort(-length, kind="stable")
     begin, length = starts[:-1][order], length[order]
@@ -144,12 +154,12 @@ def _sequences(rows: list[tuple[str, str]], seed: int) -> list[list[tuple[str, s
     return out + ([now] if now else [])
 
 
-def fit(rows: list[tuple[str, str]], seed: int = 7, most_words: int = 150_000) -> Crf:
-    """A model from (text, language) rows by gradient ascent on the likelihood with an L2 penalty."""
+def fit(rows: list[tuple[str, str]], seed: int = 7, words_per_language: int = WORDS) -> Crf:
+    """A model from (text, language) rows by gradient ascent on the likelihood with an L2 penalty; it reads at most words_per_language words for each language."""
     labels = sorted({lang for _, lang in rows})
     sequences = _sequences(rows, seed)
     random.Random(seed).shuffle(sequences)
-    sequences = sequences[: max(1, most_words // SEQUENCE)]
+    sequences = sequences[: max(1, words_per_language * len(labels) // SEQUENCE)]
     by_lang: dict[str, Counter] = defaultdict(Counter)
     for s in sequences:
         for w, lang in s:
@@ -193,15 +203,16 @@ def fit(rows: list[tuple[str, str]], seed: int = 7, most_words: int = 150_000) -
 
 
 def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """The bounded training sample of labelled rows. Runs two jobs."""
+    """The bounded training sample of labelled rows, at most 2 * SAMPLE of them. Runs two jobs."""
     usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= LONGEST) & (F.length(text) > 0))
-    sizes = usable.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    chance: Column = F.lit(0.0)
-    for row in sizes:
-        chance = F.when(F.col(lang) == row["lang"], F.lit(per_language / row["count"])).otherwise(chance)
+    sizes = usable.groupBy(F.col(lang).alias("lang")).count().limit(LABELS + 1).collect()
+    if len(sizes) > LABELS:
+        raise ValueError(f"{lang} has more than {LABELS} values")
+    wanted = min(per_language, SAMPLE // max(1, len(sizes)))
+    chance = F.element_at(F.from_json(F.lit(json.dumps({r["lang"]: wanted / r["count"] for r in sizes})), "map<string,double>"), F.col(lang))
     drawn = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) < chance * (1 << 30)
-    # the draw has about per_language rows for each language; twice as many is the limit
-    rows = usable.where(drawn).select(F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("order"), F.col(text).alias("text"), F.col(lang).alias("lang")).orderBy("order").limit(2 * per_language * max(1, len(sizes))).collect()
+    # the draw has about `wanted` rows for each language; twice as many is the limit
+    rows = usable.where(drawn).select(F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("order"), F.col(text).alias("text"), F.col(lang).alias("lang")).orderBy("order").limit(2 * wanted * max(1, len(sizes))).collect()
     return [(r["text"], r["lang"]) for r in rows]
 
 
@@ -209,10 +220,12 @@ def predict(docs: DataFrame, model: Crf, text: str = "text", carry: list[str] |
     """The carried columns (all, if None), lang_pred, score, and with segments the runs of words of one language: array<struct<lang,first,words>>."""
 
     names = docs.columns if carry is None else carry
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(f"`{text}`").alias("text"))
+    # the text travels once, whether it is carried or not
+    rows = docs.select(F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(names) if c != text)).alias("row"), F.col(f"`{text}`").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES features
     kind = rows.schema["row"].dataType
-    out_schema = f"row {kind.simpleString()}, lang_pred string, score double, segments array<struct<lang:string,first:int,words:int>>"
+    out_schema = f"row {kind.simpleString()}, text string, lang_pred string, score double, segments array<struct<lang:string,first:int,words:int>>"
+    fields = ["row", "text", "lang_pred", "score", "segments"]
     segment_type = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("words", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +241,7 @@ def predict(docs: DataFrame, model: Crf, text: str = "text", carry: list[str] |
             n = batch.num_rows
             if not len(coded) or not crf.labels:
                 nothing = pa.array([UNKNOWN] * n), pa.array([0.0] * n), pa.array([[]] * n if segments else [None] * n, segment_type)
-                yield pa.record_batch([batch.column("row"), *nothing], names=["row", "lang_pred", "score", "segments"])
+                yield pa.record_batch([batch.column("row"), batch.column("text") if text in names else pa.nulls(n, pa.string()), *nothing], names=fields)
                 continue
             scores = crf.emissions(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
             post, _ = forward_backward(scores, starts, crf.transitions)
@@ -239,10 +252,12 @@ def predict(docs: DataFrame, model: Crf, text: str = "text", carry: list[str] |
             share = np.where(words > 0, total[np.arange(n), best] / np.maximum(words, 1), 0.0).clip(0, 1).round(9)
             langs = [crf.labels[b] if w else UNKNOWN for b, w in zip(best.tolist(), words.tolist(), strict=True)]
             parts = [_runs(post[a:b].argmax(axis=1), crf.labels) for a, b in zip(starts[:-1], starts[1:], strict=True)] if segments else [None] * n
-            yield pa.record_batch([batch.column("row"), pa.array(langs), pa.array(share), pa.array(parts, segment_type)], names=["row", "lang_pred", "score", "segments"])
+            yield pa.record_batch([batch.column("row"), batch.column("text") if text in names else pa.nulls(n, pa.string()), pa.array(langs), pa.array(share), pa.array(parts, segment_type)], names=fields)
+        crf.forget()
 
-    out = rows.mapInArrow(run, out_schema)
-    return out.select("row.*", "lang_pred", "score", *(["segments"] if segments else []))
+    out = rows.mapInArrow(released(run), out_schema)
+    own = [F.col("text" if c == text else f"row.c{n}").alias(c) for n, c in enumerate(names)]
+    return out.select(*own, "lang_pred", "score", *(["segments"] if segments else []))
 
 
 def _runs(labels: np.ndarray, names: list[str]) -> list[dict]:
