@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import expand, hash_words, mix, rolling, slices, split_words, written
+from .common import expand, hash_words, mix, released, rolling, slices, split_words, written
 from .filters import may_be_in
 from .packed import FIELDS, NAMES, pack, runs, unpack
 
@@ -85,7 +85,7 @@ def _probe(window: int, buckets: int):
                     found.append([b, 0, *pack(keys, ties, doc[ref], place[ref], low[fixed])])
             yield _rows(found)
 
-    return probe
+    return released(probe)
 
 
 def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +153,7 @@ def _extend(window: int, buckets: int):
                 found.append([int(keys[doc[rest[0]]] % buckets), 1, *pack(keys, ties, doc[rest], place[rest], None)])
             yield _rows(found)
 
-    return extend
+    return released(extend)
 
 
 def _repeats(groups: int):
@@ -194,7 +194,7 @@ def _repeats(groups: int):
                     held.append((np.frombuffer(row["hashes"], np.uint64), key, tie, place))
         yield from settle(held)
 
-    return repeats
+    return released(repeats)
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +239,7 @@ def _keep(window: int):
             digest = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
             yield pa.record_batch([batch.column("id"), pa.array(np.diff(starts)), pa.array(removed), pa.array(digest), pa.array(texts, pa.large_string()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    return keep
+    return released(keep)
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
@@ -254,12 +254,12 @@ def remove_repeats(docs: DataFrame, window: int = 20, key: str = "doc_id", text:
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("key"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("tie"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     probes = rows.select("key", "tie", "text").mapInArrow(_probe(window, n), ROW)
-    hits = probes.repartition(n, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_hits, "key long, tie int, place int")
+    hits = probes.repartition(n, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(released(_hits), "key long, tie int, place int")
     hits = written(hits.groupBy("key", "tie").agg(F.collect_list("place").alias("places")))
     near = may_be_in(rows.select("key", "tie", "text"), hits, "key").where("may").drop("may").join(hits, ["key", "tie"])
     passages = near.mapInArrow(_extend(window, 4 * n), ROW)
     repeats = passages.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeats(n), ROW)
-    repeats = written(repeats.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather, RUNS))
+    repeats = written(repeats.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(released(_gather), RUNS))
     marked = may_be_in(rows, repeats, "key")
     whole = marked.where(~F.col("may")).withColumn("runs", F.lit(None).cast("array<int>")).select("id", "text", "runs")
     cut = marked.where("may").join(repeats, ["key", "tie"], "left").select("id", "text", "runs")

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import released, slices
+
 BLANK = "▁"
 #: A pre-token: a run of blanks with what follows up to the next blank.
 PRE_TOKEN = re.compile(f"{BLANK}+[^{BLANK}]*")
@@ -35,7 +37,7 @@ class WholeTokens:
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         if any(BLANK in p.lstrip(BLANK) for p in pieces):
             raise ValueError("a piece has a blank inside, so pre-tokens do not encode separately")
-        if self.model.encode("a  bｃ", out_type=str)[:3] != [BLANK + "a", BLANK, BLANK + "b"] and self.model.encode("  a", out_type=str) == [BLANK + "a"]:
+        if self.model.encode("a  bｃ", out_type=str)[:3] != [BLANK + "a", BLANK, BLANK + "b"] or self.model.encode("  a", out_type=str) == [BLANK + "a"]:
             raise ValueError("the model removes blanks, so pre-tokens do not encode separately")
         plain = [p for i, p in enumerate(pieces) if not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_byte(i) or self.model.is_unused(i))]
         starts = [p for p in plain if p[0] == BLANK]
@@ -72,12 +74,12 @@ def token_counts(docs: DataFrame, model_file: str, key: str = "doc_id", text: st
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = WholeTokens(model_file)
-        for batch in batches:
+        for batch in slices(batches, "text"):
             texts = batch.column(1).to_pylist()
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array([tokens.count(t) for t in texts], pa.int64())], names=["key", "n_bytes", "n_tokens"])
 
     c: Column = F.coalesce(F.col(text), F.lit(""))
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), c.alias("text"), F.octet_length(c).cast("long").alias("n_bytes"))
-    out = rows.mapInArrow(count, f"key {kind}, n_bytes long, n_tokens long")
+    out = rows.mapInArrow(released(count), f"key {kind}, n_bytes long, n_tokens long")
     return out.select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
