@@ -68,21 +68,41 @@ def test_archives_of_other_programs(spark, tmp_path):
     assert spark.read.format("warc").load(str(tmp_path)).where("record_type = 'warcinfo'").count() == 2
 
 
+def test_archives_with_foreign_digests_and_heads(spark, tmp_path):
+    warc.register(spark)
+    hexed, head = hashlib.sha1(b"x").hexdigest(), "Content-Type: application/http;msgtype=response"
+
+    def member(name, digest, block):
+        lines = ["WARC/1.0", "WARC-Type: response", f"WARC-Record-ID: <urn:{name}>", *([f"WARC-Payload-Digest: {digest}"] if digest else []), head, f"Content-Length: {len(block)}"]
+        return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    ok = b"HTTP/1.1 200 OK\r\n\r\nx"
+    records = [member("a", "sha1:" + hexed.upper(), ok), member("b", "md5:9dd4e461268c8034f5c8564e155c67a6", ok), member("c", "sha256:AB", ok), member("d", None, b"HTTP/1.1 200 OK"), member("e", None, b"")]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    for payload in ("true", "false"):
+        rows = {r["record_id"]: r for r in spark.read.format("warc").option("payload", payload).load(str(tmp_path)).collect()}
+        assert [rows[f"urn:{n}"]["payload_digest"] for n in "abcde"] == [hexed, "md5:9dd4e461268c8034f5c8564e155c67a6", "sha256:AB", None, None]
+        assert [rows[f"urn:{n}"]["payload_bytes"] for n in "abcde"] == [1, 1, 1, 0, 0]
+
+
 def nearest(rows, every, k):
-    ok = {(i, tuple(v)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
+    """Every row is a candidate; queries of one id are one query."""
+    ok = [(i, v) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     q = [(i, [int(np.floor(np.float64(x) * 256)) for x in v]) for i, v in ok]
-    out = []
+    pairs = {}
     for i, a in q:
         if i % every == 0:
-            best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), j) for j, b in q if j != i and len(a) == len(b))[:k]
-            out += [(i, n, j, -s) for n, (s, j) in enumerate(best, 1)]
-    return sorted(out)
+            pairs.setdefault(i, []).extend((-sum(x * y for x, y in zip(a, b, strict=True)), j) for j, b in q if j != i and len(a) == len(b))
+    return sorted((i, n, j, -s) for i, found in pairs.items() for n, (s, j) in enumerate(sorted(found)[:k], 1))
 
 
 def test_top_k(spark, monkeypatch):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").limit(300).collect()]
     rows += [(1000 + i, rows[7][1]) for i in range(30)]  # ties
     rows += [(2000, None), (2001, []), (2002, [None] * 64), (2003, [float("nan")] * 64), (2004, [float("inf")] * 64), (None, rows[0][1]), (2006, [1.0, 2.0]), (2007, [-1.0, 0.5]), (2008, [0.0, 0.0]), rows[0], rows[0]]
+    near = list(rows[5][1])
+    near[0] += 0.01
+    rows += [(rows[5][0], near), *[rows[5]] * 8]  # rows that repeat an id, with equal and other vectors
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, block int")
     for block, queries in ((16_384, 128), (64, 5)):
         monkeypatch.setattr(bit_sliced, "BLOCK", block)
@@ -93,6 +113,12 @@ def test_top_k(spark, monkeypatch):
     assert sorted(tuple(r)[:3] for r in bit_sliced.top_k(df.where("vec_id in (2006, 2008)"), F.col("vec_id") > 0).collect()) == [(2006, 1, 2008), (2008, 1, 2006)]
 
 
+def test_top_k_keeps_rows_that_repeat_an_id(spark):
+    df = spark.createDataFrame([(50, [1.0]), (1, [0.5]), (1, [0.5]), (1, [0.25]), (2, [0.125])], "vec_id long, embedding array<float>")
+    got = bit_sliced.top_k(df, F.col("vec_id") % 50 == 0).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(50, 1, 1, 256 * 128), (50, 2, 1, 256 * 128), (50, 3, 1, 256 * 64), (50, 4, 2, 256 * 32)]
+
+
 def test_pipeline(spark):
     """Each stage on its own input, against what it has to keep and change."""
     from test_text_operators import components
