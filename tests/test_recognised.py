@@ -1,3 +1,10 @@
+import random
+import struct
+
+import pytest
+from pyspark.sql import functions as F
+
+from toponym.operators import images
 from toponym.operators import recognised as r
 
 SCHEMA = "image_id long, mode string, idx int, text string, conf string, left int, top int, width int, height int, block_num int, par_num int, line_num int"
@@ -20,3 +27,33 @@ def test_lines_documents_best(spark):
     assert {x["image_id"]: [a["mode"] for a in x["alternatives"]] for x in r.alternatives(docs).collect()} == {1: ["gray", "otsu"], 2: ["gray", "otsu"]}
     assert [x["mode"] for x in r.attempts_as_rows(spark.range(1), "auto").collect()] == ["gray", "otsu"]
     assert r.lines(r.kept_words(words.limit(0))).isEmpty()
+
+
+def test_rounding_is_by_the_binary_value(spark):
+    rnd = random.Random(1)
+    values = [k / 20000 for k in range(1, 20000, 7)] + [rnd.random() for _ in range(500)] + [0.0, 1.0, 0.87345, 0.5 / 10000, 1.5 / 10000]
+    values += [round(rnd.randrange(100005) / 1000, 3) / 100 for _ in range(2000)]
+    rows = spark.createDataFrame([(v,) for v in values if v <= 1], "x double").select("x", r.round4(F.col("x")).alias("e4")).collect()
+    assert all(x["e4"] / 10000 == round(x["x"], 4) for x in rows)
+
+
+def test_times(spark):
+    rows = spark.createDataFrame([(1, 0.1), (1, 0.2), (1, None), (2, None)], "image_id long, ocr_ms double")
+    assert {x["image_id"]: (x["ocr_ms"], x["attempts"]) for x in r.times(rows).collect()} == {1: (0.3, 3), 2: (0.0, 1)}
+
+
+def test_requests():
+    assert images.RecognitionRequest() == images.RecognitionRequest("auto", True, 11, "rus+eng", False)
+    for wrong in ({"psm": 4}, {"preprocess": "blur"}, {"lang": "x"}, {"lang": "x" * 65}):
+        with pytest.raises(ValueError):
+            images.RecognitionRequest(**wrong)
+
+
+def test_image_source(spark, tmp_path):
+    png = b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + struct.pack(">II", 8000, 6000) + b"\x08\2\0\0\0"
+    bmp = b"BM" + b"\0" * 16 + struct.pack("<ii", 640, 480)
+    for name, data in {"a.png": png, "b.bmp": bmp, "c.jpg": b"\xff\xd8\xff\xe0xx", "d.txt": b"text", "f.tif": b"II*\0" + b"x" * 1_200_000}.items():
+        (tmp_path / name).write_bytes(data)
+    status = lambda **k: {x["path"][-5:].split("/")[-1]: x["status"] for x in images.read_images(spark, str(tmp_path), **k).collect()}
+    assert status() == {"a.png": 413, "b.bmp": 200, "c.jpg": 200, "d.txt": 415, "f.tif": 200}
+    assert status(most_mb=1, most_pixels=10**9) == {"a.png": 200, "b.bmp": 200, "c.jpg": 200, "d.txt": 415, "f.tif": 413}

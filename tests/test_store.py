@@ -1,10 +1,12 @@
+import json
 import zipfile
 
 import pytest
 
 from toponym.api import CandidateRequest, candidates, health
+from toponym.cli import main
 from toponym.operators.candidates import InvalidQuery, NoActiveDataset, clamp_limit, find_address_candidates
-from toponym.sources.snapshot import SPECS, ContractError, members, newest_archive, timestamp_of
+from toponym.sources.snapshot import SPECS, ContractError, archives, members, newest_archive, timestamp_of
 from toponym.sources.store import Store
 
 ROWS = {
@@ -75,6 +77,38 @@ def test_life_of_versions(spark, tmp_path):
     assert store.prune(1) == [first] and store.active() == second and store.current("street").count() == 2
 
 
+def test_views_functions_and_health(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "root"))
+    (tmp_path / "in").mkdir()
+    store.import_archive(archive(tmp_path / "in"), activate=True, min_rows=FEW)
+    store.register_views()
+    assert health(store)["active_dataset"]["dataset_id"] == 1 and health(store)["status"] == 200
+    assert spark.sql("SELECT count(*) FROM current_address_range").first()[0] == 5 and spark.sql("SELECT status FROM active_dataset").first()[0] == "active"
+    rows = spark.sql("SELECT * FROM find_address_candidates('142100', 'Подольск', 'Кирова', '4', 2)").collect()
+    best = find_address_candidates(store.gazetteer(), "142100", "Подольск", "Кирова", "4", 2).collect()
+    assert [(r["id_address"], r["score"], r["house_match"]) for r in rows] == [(r["id_address"], r["score"], r["house_match"]) for r in best] and len(rows) == 2
+    assert spark.sql("SELECT * FROM find_address_candidates('', '', '', '4')").isEmpty()
+    told = {(r["table_name"], r["column_name"]): (r["n_rows"], r["nulls"], r["low"], r["high"]) for r in store.statistics(1).collect()}
+    assert told["address_range", "id_city"] == (5, 2, "1", "1") and told["main_city", "main_city_name"] == (2, 0, "", "ПОДОЛЬСК ГОРОД")
+    found = archives(spark, str(tmp_path / "in")).first()
+    assert found["sha256"] == store.datasets()[0]["source_sha256"] and found["source_timestamp"].isoformat() == "2024-01-02T03:04:05"
+    (tmp_path / "root" / "registry.json").write_text("{")
+    assert health(store)["status"] == 503
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    root = ["--root", str(tmp_path / "root")]
+    monkeypatch.setattr("toponym.operators.validation.MIN_ROWS", FEW)
+    assert main([*root, "update", str(tmp_path)]) == 2
+    path = archive(tmp_path)
+    assert main([*root, "import", path]) == 0 and main([*root, "import", path]) == 2 and main([*root, "activate", "1"]) == 0 and main([*root, "activate", "9"]) == 2
+    archive(tmp_path, "ADDRESS_20240302030405.zip", rows={"SR": ["1;КИРОВА;ПЕР;;", "2;ЛЕНИНА;УЛ;;"]})
+    capsys.readouterr()
+    assert main([*root, "update", str(tmp_path)]) == 0 and main([*root, "list"]) == 0
+    assert [json.loads(x)["status"] for x in capsys.readouterr().out.splitlines() if x.startswith("{")] == ["active", "retired"]
+    assert main([*root, "prune", "--keep", "0"]) == 2 and main([*root, "prune", "--keep", "1"]) == 0 and Store(spark, str(tmp_path / "root")).active() == 2
+
+
 def test_search(spark, tmp_path):
     store = Store(spark, str(tmp_path / "root"))
     store.import_archive(archive(tmp_path), activate=True, min_rows=FEW)

@@ -6,9 +6,10 @@ import re
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.errors import PySparkException
 
 from .operators.candidates import Gazetteer, InvalidQuery, NoActiveDataset, find_address_candidates
+from .sources.store import Store
 
 
 @dataclass(frozen=True)
@@ -33,17 +34,32 @@ class CandidateRequest:
             raise ValueError("postal_code, city or street is needed")
 
 
+def _ms(began: float) -> float:
+    return round((time.perf_counter() - began) * 1000, 3)
+
+
 def candidates(g: Gazetteer, request: CandidateRequest) -> dict:
-    """Status, echo of the query, count, milliseconds and rows; 503 where the search itself refuses."""
+    """Status, echo of the query, count, milliseconds of the search and of all, and rows; 503 where the search refuses or fails."""
     began = time.perf_counter()
     try:
-        rows = [r.asDict() for r in find_address_candidates(g, request.postal_code, request.city, request.street, request.house, request.limit).collect()]
-    except (InvalidQuery, NoActiveDataset) as e:
+        found = find_address_candidates(g, request.postal_code, request.city, request.street, request.house, request.limit)
+        searched = time.perf_counter()
+        rows = [r.asDict() for r in found.collect()]
+        db_ms = _ms(searched)
+    except (InvalidQuery, NoActiveDataset, PySparkException) as e:
         return {"status": 503, "detail": str(e)}
-    return {"status": 200, "query": request.__dict__, "count": len(rows), "timing": {"total_ms": round((time.perf_counter() - began) * 1000, 3)}, "candidates": rows}
+    return {"status": 200, "query": request.__dict__, "count": len(rows), "timing": {"db_ms": db_ms, "total_ms": _ms(began)}, "candidates": rows}
 
 
-def health(store) -> dict:
-    """Whether there is an active version."""
-    active = store.active()
-    return {"status": 200 if active is not None else 503, "active_dataset_id": active, "spark": SparkSession.getActiveSession().version}
+def health(store: Store) -> dict:
+    """The active version, or 503 without one, without the search function of its views, or where the store cannot be read."""
+    try:
+        chosen = next((d for d in store.datasets() if d["dataset_id"] == store.active()), None)
+        ready = store.spark.catalog.functionExists("find_address_candidates")
+    except (OSError, ValueError, PySparkException) as e:
+        return {"status": 503, "detail": str(e)}
+    if chosen is None:
+        return {"status": 503, "detail": "no active dataset"}
+    if not ready:
+        return {"status": 503, "detail": "the views and functions are not registered"}
+    return {"status": 200, "active_dataset": {k: chosen.get(k) for k in ("dataset_id", "source_filename", "status", "imported_at", "activated_at")}}

@@ -1,7 +1,7 @@
 """Post-processing of recognised words: filter, lines, documents, and the best of several attempts.
 
 Word rows: image_id, mode, idx, text, conf, left, top, width, height, block_num, par_num, line_num. Confidences are kept as whole ten-thousandths, so
-that sums do not depend on their order.
+that sums do not depend on their order; where a mean is rounded, it is rounded as the double that it is (`round4`).
 """
 
 from __future__ import annotations
@@ -15,12 +15,27 @@ LINE = ["image_id", "mode", "block_num", "par_num", "line_num"]
 MODES = ("gray", "otsu", "none", "adaptive")
 
 
+def round4(x: Column) -> Column:
+    """A double from 0 to 1, rounded to four decimals by its exact binary value, in ten-thousandths as long.
+
+    A double that is nearest to a half is mostly a little above or below it, and that decides. The test is exact: x is split into two parts whose products with 20000
+    have no rounding error.
+    """
+    down = F.floor(x * 10_000.0).cast("double")
+    odd = down * 2 + 1  # 20000 times the half above
+    carry = x * 134_217_729.0
+    high = carry - (carry - x)
+    past = (high * 20_000.0 - odd) + (x - high) * 20_000.0
+    up = (past > 0) | ((past == 0) & (down % 2 == 1))
+    return (down + F.when(up, 1.0).otherwise(0.0)).cast("long")
+
+
 def kept_words(words: DataFrame) -> DataFrame:
     """Words with text and a confidence of zero or more, trimmed; adds conf_e4 (confidence in ten-thousandths, at most 10000) and weight (characters)."""
     text = F.regexp_replace(F.coalesce("text", F.lit("")), r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "")
     conf = F.coalesce(F.col("conf").cast("string").try_cast("double"), F.lit(-1.0))
     rows = words.withColumns({"text": text, "__conf": conf}).where((F.col("text") != "") & (F.col("__conf") >= 0))
-    e4 = F.least(F.bround(F.col("__conf") * 100, 0), F.lit(10_000.0)).cast("long")
+    e4 = round4(F.least(F.col("__conf") / 100.0, F.lit(1.0)))
     return rows.withColumns({"conf_e4": e4, "weight": F.greatest(F.length("text"), F.lit(1)).cast("long")}).drop("__conf")
 
 
@@ -37,8 +52,8 @@ def lines(words: DataFrame) -> DataFrame:
 
 
 def confidence(total: str = "conf_sum", weight: str = "weight") -> Column:
-    """The mean in ten-thousandths, rounded half to even; 0 without words."""
-    return F.coalesce(F.bround(F.try_divide(F.col(total).cast("double"), F.col(weight).cast("double")), 0).cast("long"), F.lit(0))
+    """The mean in ten-thousandths, rounded as the double between 0 and 1 that it is; 0 without words."""
+    return F.coalesce(round4(F.try_divide(F.col(total).cast("double"), F.col(weight).cast("double") * 10_000.0)), F.lit(0))
 
 
 def documents(line_rows: DataFrame, attempts: DataFrame | None = None) -> DataFrame:
@@ -57,6 +72,11 @@ def best_attempt(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")
 
 
+def times(attempts: DataFrame) -> DataFrame:
+    """(image_id, ocr_ms, attempts): the milliseconds of all attempts of an image, from rows with ocr_ms; null ones add nothing. Summed as decimals, so the order does not matter."""
+    return attempts.groupBy("image_id").agg(F.round(F.coalesce(F.sum(F.col("ocr_ms").cast("decimal(18,6)")).cast("double"), F.lit(0.0)), 3).alias("ocr_ms"), F.count("*").alias("attempts"))
+
+
 def attempts_as_rows(images: DataFrame, mode: str) -> DataFrame:
     """A row per image and preprocessing mode; `auto` means gray and otsu."""
     return images.withColumn("mode", F.explode(F.array(*map(F.lit, ("gray", "otsu") if mode == "auto" else (mode,)))))

@@ -66,6 +66,14 @@ def s_cyrillic(x: str) -> str:
     return f"translate(upper({x}), '{LATIN}', '{CYRILLIC}')"
 
 
+def s_round4(x: str) -> str:
+    """Ten-thousandths of a double by its exact binary value, half to even."""
+    down, carry = f"floor({x} * 10000.0::DOUBLE)", f"({x} * 134217729.0::DOUBLE)"
+    high = f"({carry} - ({carry} - {x}))"
+    past = f"(({high} * 20000.0::DOUBLE - ({down} * 2 + 1)) + ({x} - {high}) * 20000.0::DOUBLE)"
+    return f"CAST({down} + CASE WHEN {past} > 0 OR ({past} = 0 AND {down} % 2 = 1) THEN 1 ELSE 0 END AS BIGINT)"
+
+
 # Normal forms and similarity ---------------------------------------------------------------------------------------------------
 
 
@@ -261,12 +269,12 @@ words AS (SELECT image_id, mode, idx, regexp_replace(text, '^[ \\t\\n\\x0B\\f\\r
 kept AS (SELECT *, least(CAST(conf AS BIGINT) * 100, 10000) AS e4, greatest(length(text), 1) AS w, idx // 200 AS block_num, idx // 50 AS par_num, idx // 10 AS line_num FROM words WHERE text <> '' AND conf >= 0),
 lines AS (SELECT image_id, mode, block_num, par_num, line_num, string_agg(text, ' ' ORDER BY idx) AS text, sum(e4 * w) AS conf_sum, sum(w) AS weight, min(idx % 10 * 40) AS x, min(idx // 10) AS y,
   max(idx % 10 * 40 + width) - min(idx % 10 * 40) AS width, max(idx // 10 + 12) - min(idx // 10) AS height FROM kept GROUP BY ALL),
-docs AS (SELECT image_id, mode, string_agg(text, chr(10) ORDER BY block_num, par_num, line_num) AS text, count(*) AS n_lines, round_even(sum(conf_sum)::DOUBLE / sum(weight)::DOUBLE, 0) AS conf_e4 FROM lines GROUP BY ALL),
+docs AS (SELECT image_id, mode, string_agg(text, chr(10) ORDER BY block_num, par_num, line_num) AS text, count(*) AS n_lines, {CONF} AS conf_e4 FROM lines GROUP BY ALL),
 every AS (SELECT a.image_id, a.mode, coalesce(text, '') AS text, coalesce(n_lines, 0) AS n_lines, coalesce(conf_e4, 0) AS conf_e4 FROM (SELECT DISTINCT image_id, mode FROM words) a LEFT JOIN docs d ON d.image_id = a.image_id AND d.mode = a.mode)
-"""
+""".replace("{CONF}", s_round4("(sum(conf_sum)::DOUBLE / (sum(weight)::DOUBLE * 10000.0::DOUBLE))"))
 
 
-@query(f"WITH {_WORDS} SELECT image_id, mode, CAST(line_num AS BIGINT) AS line_num, md5(text) AS text_md5, CAST(round_even(conf_sum::DOUBLE / weight::DOUBLE, 0) AS BIGINT) AS conf_e4, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(width AS BIGINT) AS width, CAST(height AS BIGINT) AS height FROM lines")
+@query(f"WITH {_WORDS} SELECT image_id, mode, CAST(line_num AS BIGINT) AS line_num, md5(text) AS text_md5, {s_round4('(conf_sum::DOUBLE / (weight::DOUBLE * 10000.0::DOUBLE))')} AS conf_e4, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(width AS BIGINT) AS width, CAST(height AS BIGINT) AS height FROM lines")
 def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = recognised.lines(recognised.kept_words(word_rows(spark, sf_dir)))
     return rows.select("image_id", "mode", F.col("line_num").cast("long").alias("line_num"), F.md5("text").alias("text_md5"), recognised.confidence().alias("conf_e4"), *(F.col(c).cast("long").alias(c) for c in ("x", "y", "width", "height")))

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,10 @@ class Spec:
     def headers(self) -> list[str]:
         return self.header.split(";")
 
+    @property
+    def names(self) -> list[str]:
+        return [c.split()[0] for c in self.columns.split(", ")]
+
     @property
     def schema(self) -> T.StructType:
         return T.StructType.fromDDL(self.columns)
@@ -77,6 +81,17 @@ def timestamp_of(name: str) -> datetime | None:
     return datetime.strptime(found[0], "%Y%m%d%H%M%S").replace(tzinfo=UTC) if found else None
 
 
+def timestamp_column(name: Column) -> Column:
+    """timestamp_of for a column of names: null without a time; an impossible date is an error."""
+    return F.to_timestamp(F.nullif(F.regexp_extract(name, r"(20\d{12})", 1), F.lit("")), "yyyyMMddHHmmss")
+
+
+def archives(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length, sha256, source_timestamp) of the archives of a folder, read as binary files."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "ADDRESS_*.zip").load(folder)
+    return rows.select("path", "length", F.sha2("content", 256).alias("sha256"), timestamp_column(F.element_at(F.split("path", "/"), -1)).alias("source_timestamp"))
+
+
 def members(archive: zipfile.ZipFile) -> dict[str, str]:
     """Prefix -> member of an archive that keeps the contract: one member for each table, with exactly its header."""
     out = {}

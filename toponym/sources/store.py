@@ -14,11 +14,13 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from datetime import UTC, datetime
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import sql
 from ..operators.candidates import Gazetteer, NoActiveDataset
 from ..operators.validation import repeated_keys, validate
 from .snapshot import SPECS, read_table, sha256_of, staged, timestamp_of
@@ -61,8 +63,9 @@ class Store:
         return sorted(self._read()["datasets"], key=lambda d: -d["dataset_id"])
 
     def registry(self) -> DataFrame:
-        rows = [(d["dataset_id"], d["status"], d["source_filename"], d["source_sha256"], json.dumps(d.get("row_counts"))) for d in self.datasets()]
-        return self.spark.createDataFrame(rows, "dataset_id long, status string, source_filename string, source_sha256 string, row_counts string")
+        told = ("source_timestamp", "imported_at", "activated_at", "error_text")
+        rows = [(d["dataset_id"], d["status"], d["source_filename"], d["source_sha256"], json.dumps(d.get("row_counts")), json.dumps(d.get("validation")), *map(d.get, told)) for d in self.datasets()]
+        return self.spark.createDataFrame(rows, "dataset_id long, status string, source_filename string, source_sha256 string, row_counts string, validation string, " + ", ".join(f"{t} string" for t in told))
 
     def _update(self, dataset_id: int, **values) -> None:
         state = self._read()
@@ -87,7 +90,10 @@ class Store:
             try:
                 for spec in SPECS:
                     rows = read_table(self.spark, spec, files[spec.table], dataset_id)
-                    rows.drop("dataset_id").sortWithinPartitions(spec.key).write.parquet(f"{self.root}/{spec.table}/dataset_id={dataset_id}")
+                    # neighbours in the order of searches, so that a filter on the postal code skips row groups
+                    order = ["postal_code", spec.key] if spec.table == "address_range" else [spec.key]
+                    rows = rows.repartitionByRange(*order) if spec.table == "address_range" else rows
+                    rows.drop("dataset_id").sortWithinPartitions(*order).write.parquet(f"{self.root}/{spec.table}/dataset_id={dataset_id}")
                 tables = {spec.table: self.table(spec.table, dataset_id) for spec in SPECS}
                 checks = validate(tables, {spec.table: spec.prefix for spec in SPECS}, min_rows)
                 for spec in SPECS:
@@ -120,9 +126,21 @@ class Store:
         return self.table(name, dataset_id)
 
     def register_views(self) -> None:
-        """Temporary views current_<table> of the active version."""
+        """Temporary views current_<table> of the active version, and active_dataset with its row of the registry; then the SQL functions, the search among them."""
         for spec in SPECS:
             self.current(spec.table).createOrReplaceTempView(f"current_{spec.table}")
+        self.registry().where(F.col("dataset_id") == self.active()).createOrReplaceTempView("active_dataset")
+        sql.register(self.spark)
+
+    def statistics(self, dataset_id: int) -> DataFrame:
+        """(table_name, column_name, n_rows, nulls, low, high) of a version's tables, lowest and highest values as text: one pass over each table."""
+        parts = []
+        for spec in SPECS:
+            rows, names = self.table(spec.table, dataset_id), spec.names
+            one = rows.agg(F.count("*").alias("n"), *(x for c in names for x in (F.count_if(F.col(c).isNull()).alias(f"n_{c}"), F.min(c).cast("string").alias(f"a_{c}"), F.max(c).cast("string").alias(f"z_{c}"))))
+            each = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col("n").alias("n_rows"), F.col(f"n_{c}").alias("nulls"), F.col(f"a_{c}").alias("low"), F.col(f"z_{c}").alias("high")) for c in names))
+            parts.append(one.select(F.lit(spec.table).alias("table_name"), F.inline(each)))
+        return reduce(DataFrame.unionByName, parts)
 
     def gazetteer(self) -> Gazetteer:
         names = ("federal_subject", "district", "main_city", "city", "street", "address_range")
