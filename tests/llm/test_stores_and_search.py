@@ -153,6 +153,32 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()} == set(after) - {9004}
 
 
+CLASHING = ("doc", "key", "row", "may", "again", "matches", "found", "comp", "c0", "n_shingles", "score", "lang_pred")
+
+
+def test_pipeline_on_odd_tables(spark):
+    """Null ids, repeated rows, clashing columns, no labels, empty tables: each stage keeps its columns and does what its docstring says."""
+    words = [f"w{i}" for i in range(60)]
+    a, b, c = (" ".join(words[k : k + 40]) for k in (0, 10, 20))
+    near = " ".join([*words[10:49], "other"])
+    texts = [(1, a), (1, a), (1, b + " x y z"), (2, b + " x y zz"), (None, c[::-1]), (5, c[::-1]), (6, None), (6, ""), (7, None), (8, near[::-1]), (9, "short"), (10, "short")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{x}` string" for x in CLASHING)
+    docs = spark.createDataFrame([(i, t, "en", None, len(t or ""), *CLASHING) for i, t in texts], schema)
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        empty = stage(spark, docs.limit(0), SF)
+        assert empty.isEmpty() and empty.columns == out.columns
+        if name != "byte_bpe":
+            assert out.columns == docs.columns and all(tuple(r)[5:] == CLASHING for r in out.collect())
+        else:
+            assert out.count() == len(texts)
+    left = sorted(((r["doc_id"] or 0, r["text"] or "") for r in stages["near_duplicates"](spark, docs, SF).collect()))
+    assert left == sorted([(1, a), (1, b + " x y z"), (0, c[::-1]), (6, ""), (6, ""), (7, ""), (8, near[::-1]), (9, "short")])
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(r["doc_id"] or 0 for r in stages["language_id"](spark, unlabelled, SF).collect()) == [0, 1, 1, 1, 2, 5, 8, 9, 10]
+
+
 def test_bitmap_filter(spark):
     from toponym.llm import filters
 
