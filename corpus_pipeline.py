@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from toponym.llm import byte_bpe, decontamination, language_id, ngram_jaccard, secret_scan
 from toponym.llm.common import written
-from toponym.llm.filters import anti_join
+from toponym.llm.filters import anti_join, may_be_in
 
 #: The least share of a language for a text to be taken as prose of that language.
 LEAST_SHARE = 0.35
@@ -20,38 +20,70 @@ LEAST_SHARE = 0.35
 NEAR = ngram_jaccard.Likeness(5, 80)
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with columns c0, c1, ..., which clash with none that an operator adds, and the name of the text's."""
+    return docs.toDF(*(f"c{n}" for n in range(len(docs.columns)))), f"c{docs.columns.index('text')}"
+
+
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or in which no language has a share of LEAST_SHARE, go."""
-    names = docs.columns
-    model = language_id.fit(language_id.sample(docs))
-    found = language_id.predict(docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc"), "text"), model, carry=["doc"])
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select("doc.*")
+    """Documents without letters, or in which no language has a share of LEAST_SHARE, go.
+
+    Null, empty and letterless texts go; long texts are read whole; of languages with equal shares the first by name counts; repeated rows are judged each by itself. Labels come from
+    `lang` of docs; where no row has one there is nothing to judge by, and all texts with a letter stay. An empty table stays empty; further columns are kept.
+    """
+    rows = language_id.sample(docs)
+    if not rows:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    plain, text = _numbered(docs)
+    found = language_id.predict(plain, language_id.fit(rows), text=text)
+    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).drop("lang_pred", "score").toDF(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays. Documents without words stay."""
-    groups = written(ngram_jaccard.jaccard_components(docs, NEAR))
-    return anti_join(docs, groups.where("doc_id <> component_id").select("doc_id"), "doc_id")
+    """Of each group of near duplicates the document with the smallest id stays.
+
+    It is decided by row: of rows that share an id, that with the smaller hash of its text comes first, and of rows that repeat id and text one stays. A null id comes before all others.
+    Documents without words (null, empty, blank) stay, repeated or not. Whole texts are compared. An empty table stays empty; further columns are kept.
+    """
+    keyed = docs.select(F.struct("*").alias("doc"), F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text")).alias("key"), F.col("text").alias("text"))
+    groups = written(ngram_jaccard.jaccard_components(keyed, NEAR, key="key").withColumnsRenamed({"component_id": "component"}))
+    gone = groups.where("n_shingles > 0 and key <> component").select("key")
+    repeated = groups.where("n_shingles > 0").groupBy("key").count().where("count > 1").select("key")
+    left = anti_join(keyed.drop("text"), gone, "key")
+    # rows that repeat id and text have equal keys; few keys are repeated
+    may = may_be_in(left, repeated, "key", "may")
+    once = may.where("may").join(repeated.withColumn("again", F.lit(True)), "key", "left")
+    twice = once.where("again").dropDuplicates(["key"])
+    return may.where("not may").select("doc.*").unionByName(once.where("again is null").select("doc.*")).unionByName(twice.select("doc.*"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    names = docs.columns
+    """Documents that hold a benchmark item go.
+
+    Null, empty and short texts stay; long texts are read whole; repeated rows are judged each by itself; ties of places do not matter. An empty table or benchmark changes nothing.
+    Further columns are kept.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    wrapped = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc"), "text")
-    return decontamination.matches(wrapped, benchmark, carry=["doc"]).where(F.size("matches") == 0).select("doc.*")
+    plain, text = _numbered(docs)
+    return decontamination.matches(plain, benchmark, text=text).where(F.size("matches") == 0).drop("matches").toDF(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the texts."""
+    """Secrets are replaced in the texts, and n_chars, where there is one, is that of the new text. No row goes.
+
+    Null texts stay null; long texts are read whole; a secret that occurs several times is replaced each time; repeated rows change alike. Further columns are kept.
+    """
     out = secret_scan.redacted(docs, secret_scan.train(secret_scan.labelled_findings(spark)))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document: doc_id, n_tokens, ids, and digests of the ids and of the text decoded from them."""
+    """Token ids of each document: doc_id, n_tokens, ids, and digests of the ids and of the text decoded from them.
+
+    Null counts as empty, with no ids; long texts are encoded whole; repeated rows are encoded each by itself. Further columns are not read.
+    """
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, whole=True).drop("decoded")
+    return byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, whole=True, at_blanks=True).drop("decoded")
 
 
 STAGES = [
