@@ -16,10 +16,12 @@ from ..functions.trigram import THRESHOLD, similarity, similarity_to, trigrams
 #: Weights of the criteria. (Fixed values.)
 WEIGHTS = {"postcode": Decimal("0.35"), "city": Decimal("0.25"), "street": Decimal("0.30"), "house": Decimal("0.10")}
 COLUMNS = (
-    "dataset_id id_address postal_code id_subject subject_name id_district district_name id_main_city main_city_name id_city city_name matched_city_name "
-    "id_street street_name street_qualifier from_house_number to_house_number from_building_number to_building_number "
-    "postcode_score city_score street_score house_score house_match score"
-).split()
+    "dataset_id", "id_address", "postal_code", "id_subject", "subject_name", "id_district", "district_name", "id_main_city", "main_city_name", "id_city", "city_name", "matched_city_name",
+    "id_street", "street_name", "street_qualifier", "from_house_number", "to_house_number", "from_building_number", "to_building_number",
+    "postcode_score", "city_score", "street_score", "house_score", "house_match", "score",
+)
+#: Names like a query's that are looked up before the search, so that the address ranges are not shuffled; with more of them they are joined as tables.
+FEW_NAMES = 20_000
 
 
 class InvalidQuery(ValueError):
@@ -47,9 +49,20 @@ def clamp_limit(limit: int | None) -> int:
     return min(max(20 if limit is None else limit, 1), 100)
 
 
+def _norm(names: DataFrame, name: str) -> Column:
+    """The normal form of a name: the stored one, where the table has it."""
+    return F.col("name_norm") if "name_norm" in names.columns else norm_text(F.col(name))
+
+
+def _looked_up(near: DataFrame) -> DataFrame:
+    """near as a small table to be broadcast, if it has at most FEW_NAMES rows; otherwise as it is. Runs a job."""
+    rows = near.limit(FEW_NAMES + 1).collect()
+    return F.broadcast(near.sparkSession.createDataFrame(rows, near.schema)) if len(rows) <= FEW_NAMES else near
+
+
 def _near(names: DataFrame, key: str, name: str, value: str) -> DataFrame:
     """(key, sim) of the names like value. Only the name admits; the key word may raise the similarity."""
-    own = similarity_to(norm_text(F.col(name)), value)
+    own = similarity_to(_norm(names, name), value)
     near = names.select(key, own.alias("own"), similarity_to(ocr_norm_text(F.col("lex_key1")), value).alias("key")).where(F.col("own") >= F.lit(THRESHOLD))
     return near.select(key, F.greatest("own", "key").alias("sim"))
 
@@ -72,7 +85,7 @@ def _named(rows: DataFrame, g: Gazetteer) -> DataFrame:
 def find_address_candidates(g: Gazetteer, postal_code: str | None = None, city: str | None = None, street: str | None = None, house: str | None = None, limit: int | None = 20) -> DataFrame:
     """The best address ranges for one query, with the columns COLUMNS.
 
-    Criteria that are not given neither filter nor count. A house alone is no query and never filters.
+    Criteria that are not given neither filter nor count. A house alone is no query and never filters. Runs a job for each name given.
     """
     if g.dataset_id is None:
         raise NoActiveDataset("no active dataset")
@@ -88,14 +101,14 @@ def find_address_candidates(g: Gazetteer, postal_code: str | None = None, city:
     if digits:
         rows = rows.where(F.col("postal_code") == digits)
     if v_city:
-        main = _near(g.main_city, "id_main_city", "main_city_name", v_city).withColumnRenamed("sim", "main_sim")
-        own = _near(g.city, "id_city", "city_name", v_city).withColumnRenamed("sim", "city_sim")
+        main = _looked_up(_near(g.main_city, "id_main_city", "main_city_name", v_city).withColumnRenamed("sim", "main_sim"))
+        own = _looked_up(_near(g.city, "id_city", "city_name", v_city).withColumnRenamed("sim", "city_sim"))
         rows = rows.join(main, "id_main_city", "left").join(own, "id_city", "left").where("main_sim is not null or city_sim is not null")
         rows = rows.withColumn("city_score", F.greatest(F.coalesce("main_sim", F.lit(0.0).cast("float")), F.coalesce("city_sim", F.lit(0.0).cast("float"))))
     else:
         rows = rows.withColumn("city_score", none)
     if v_street:
-        rows = rows.join(_near(g.street, "id_street", "street_name", v_street).withColumnRenamed("sim", "street_score"), "id_street")
+        rows = rows.join(_looked_up(_near(g.street, "id_street", "street_name", v_street).withColumnRenamed("sim", "street_score")), "id_street")
     else:
         rows = rows.withColumn("street_score", none)
     rows = rows.withColumns({"postcode_score": F.lit(1.0).cast("float") if digits else none, "house_score": house_match_score(F.lit(v_house), F.col("from_house_number"), F.col("to_house_number")) if v_house else none})
@@ -114,20 +127,24 @@ def find_address_candidates(g: Gazetteer, postal_code: str | None = None, city:
 def near_names(names: DataFrame, queries: DataFrame) -> DataFrame:
     """(query, name, sim) of distinct normalised texts from columns `query` and `name` whose trigrams are alike.
 
-    A self-contained set join: texts meet by their trigrams, the shared ones are counted, and sizes bound what can be alike. Any
-    pair with a similarity over zero shares a trigram, so none is missed. No side is broadcast.
+    A self-contained set join: texts meet by trigrams of the query, the shared ones are counted, and sizes bound what can be alike. Any
+    pair over the threshold shares one of the first n - ceil(0.3 n) + 1 trigrams of the query, in any order; with rare ones first, a stem that all names have meets nothing. No
+    side has to be broadcast.
     """
-    grams = lambda rows, c: rows.select(c).where(F.col(c) != "").distinct().withColumn("grams", trigrams(F.col(c))).select(c, F.size("grams").alias(f"{c}_size"), F.explode("grams").alias("gram"))
-    a, b = grams(queries, "query"), grams(names, "name")
+    grams = lambda rows, c: rows.select(c).where(F.col(c) != "").distinct().withColumn(f"{c}_grams", trigrams(F.col(c))).withColumn(f"{c}_size", F.size(f"{c}_grams"))
+    asked = grams(queries, "query").withColumn("gram", F.explode("query_grams"))
+    held = grams(names, "name").withColumn("gram", F.explode("name_grams"))
+    often = held.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").count()
+    rare_first = Window.partitionBy("query").orderBy(F.coalesce("count", F.lit(0)), "gram")
+    first = asked.join(often, "gram", "left").withColumn("place", F.row_number().over(rare_first)).where(F.col("place") <= F.col("query_size") - F.ceil(F.col("query_size") * 3 / 10) + 1)
     sizes = (F.col("query_size") * 3 <= F.col("name_size") * 10) & (F.col("name_size") * 3 <= F.col("query_size") * 10)
-    shared = a.join(b, "gram").where(sizes).groupBy("query", "name", "query_size", "name_size").count()
-    sim = (F.col("count") / (F.col("query_size") + F.col("name_size") - F.col("count"))).cast("float")
-    return shared.select("query", "name", sim.alias("sim")).where(F.col("sim") >= F.lit(THRESHOLD))
+    pairs = first.drop("count", "place").join(held, "gram").where(sizes).select("query", "name", similarity(F.col("query_grams"), F.col("name_grams")).alias("sim"))
+    return pairs.where(F.col("sim") >= F.lit(THRESHOLD)).dropDuplicates(["query", "name"])
 
 
 def _matches(names: DataFrame, key: str, name: str, queries: DataFrame) -> DataFrame:
     """(query, key, sim): _near for all distinct queries."""
-    listed = names.select(key, norm_text(F.col(name)).alias("name"), ocr_norm_text(F.col("lex_key1")).alias("word"))
+    listed = names.select(key, _norm(names, name).alias("name"), ocr_norm_text(F.col("lex_key1")).alias("word"))
     pairs = near_names(listed, queries).join(listed, "name")
     raised = F.greatest(F.col("sim"), similarity(trigrams(F.col("word")), trigrams(F.col("query"))))
     return pairs.select("query", key, raised.alias("sim"))

@@ -26,6 +26,11 @@ def repeated_keys(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).count().where("count > 1")
 
 
+def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, n_rows) of all tables in one job."""
+    return reduce(DataFrame.unionByName, (rows.agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows")) for name, rows in tables.items()))
+
+
 #: Row thresholds of a snapshot's tables. (Fixed values.)
 MIN_ROWS = {"federal_subject": 80, "district": 1_000, "postal_code": 50_000, "main_city": 100_000, "city": 10_000, "street": 500_000, "address_range": 1_000_000}
 #: References that are checked: name of the count -> table -> its columns, each with the table and key referred to.
@@ -40,9 +45,9 @@ REFERENCES = {
 def validate(tables: dict[str, DataFrame], prefixes: dict[str, str], min_rows: dict[str, int] | None = None) -> dict:
     """The validation record of a version: row counts, orphan counts, ok and errors. prefixes: table -> file prefix."""
     least, checks, errors = MIN_ROWS if min_rows is None else min_rows, {}, []
-    for name, rows in tables.items():
-        n = rows.count()
-        checks[f"rows_{prefixes[name]}"] = n
+    counts = {r["table_name"]: r["n_rows"] for r in row_counts(tables).collect()}
+    for name in tables:
+        checks[f"rows_{prefixes[name]}"] = n = counts[name]
         if n < least[name]:
             errors.append(f"{prefixes[name]}: row count {n} below safety threshold {least[name]}")
     for check, (name, columns) in REFERENCES.items():

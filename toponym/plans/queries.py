@@ -227,11 +227,9 @@ _SIZES = {"region": 5, "nation": 25, "supplier": 50, "customer": 1000, "part": 5
 
 @query(" UNION ALL ".join(f"SELECT '{n}' AS table_name, CAST(count(*) AS BIGINT) AS n_rows, count(*) >= {k} AS enough FROM {n}" for n, k in _SIZES.items()))
 def row_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [table(spark, sf_dir, n).agg(F.lit(n).alias("table_name"), F.count("*").alias("n_rows"), (F.count("*") >= k).alias("enough")) for n, k in _SIZES.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    counts, low = validation.row_counts({n: table(spark, sf_dir, n) for n in _SIZES}), F.col("n_rows")
+    least = F.element_at(F.create_map(*(F.lit(x) for pair in _SIZES.items() for x in pair)), F.col("table_name"))
+    return counts.select("table_name", "n_rows", (low >= least).alias("enough"))
 
 
 @query("SELECT l_returnflag AS key, CAST(count(*) AS BIGINT) AS count FROM lineitem GROUP BY 1 HAVING count(*) > 1")
@@ -239,6 +237,19 @@ def repeated_keys_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.repeated_keys(table(spark, sf_dir, "lineitem"), "l_returnflag").withColumnRenamed("l_returnflag", "key")
 
 
+@query("SELECT l_orderkey AS key, CAST(count(*) AS BIGINT) AS count FROM lineitem WHERE l_orderkey IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def repeated_keys_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with several lines, as a key that repeats."""
+    return validation.repeated_keys(table(spark, sf_dir, "lineitem").where("l_orderkey is not null"), "l_orderkey").withColumnRenamed("l_orderkey", "key")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0) o ON o_orderkey = l_orderkey WHERE l_orderkey IS NOT NULL AND o_orderkey IS NULL")
+def J4_orphans_of_removed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines whose order is missing, after every third order was taken away."""
+    kept = table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0")
+    return validation.orphans(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), {"l_orderkey": (kept, "o_orderkey")})
+
+
 @query("SELECT n_nationkey, n_name, 2 AS dataset_id FROM nation WHERE n_regionkey <> 3")
 def current_view_two_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two versions of one table, of which the active one is read by a literal filter."""
@@ -281,8 +292,8 @@ def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = word_rows(spark, sf_dir)
-    return recognised.documents(recognised.lines(recognised.kept_words(words)), words)
+    images = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("image_id"))
+    return recognised.documents(recognised.lines(recognised.kept_words(word_rows(spark, sf_dir))), recognised.attempts_as_rows(images, "auto"))
 
 
 @query(f"WITH {_WORDS} SELECT image_id, mode, md5(text) AS text_md5, CAST(n_lines AS BIGINT) AS n_lines, CAST(conf_e4 AS BIGINT) AS conf_e4 FROM every")
