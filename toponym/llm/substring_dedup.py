@@ -7,8 +7,8 @@ extended to the passages of `window` words around them, these are compared as wh
 join to maximal repeats. A passage whose words also start earlier (smaller key, or same document and smaller place) is a repeat, and
 each word that a repeat covers is removed.
 
-Entries travel as packed rows of (document, place, hash), a few bytes each. Of equal passages within one slice of a task only the
-first is sent on, so a passage that a third of all documents hold reaches its task once for each slice. A text is shuffled only if
+Entries travel as packed rows of (document, place, hash), a few bytes each. Of equal blocks, windows or passages within one slice of a task only the
+first is sent on, in either exchange, so a passage that a third of all documents hold reaches its task once for each slice; the places of the others are hits, or repeats, as they stand. A text is shuffled only if
 it has a hit. Blocks are compared by 32 bits beside their bucket (a false hit costs work only), passages by 64 bits beside an independent
 bucket.
 
@@ -58,7 +58,8 @@ def _dealt(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _probe(window: int, buckets: int):
-    """Rows of kind 0 with the reference blocks of a slice, and of kind 1 with all rolling windows of block length."""
+    """Rows of kind 0 with the reference blocks of a slice, and of kind 1 with all rolling windows of block length, each different one once; of kind 2 with places whose window the
+    slice holds several times, which are hits already."""
     block = window // 2
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,28 +75,36 @@ def _probe(window: int, buckets: int):
             h, doc = h[at], doc[at]
             place = at - starts[doc]
             keys, ties = batch.column("key").to_numpy(), batch.column("tie").to_numpy()
-            bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
             found = []
-            for b, part in _dealt(bucket.astype(np.uint16) if buckets <= 65536 else bucket):
-                low = h[part].astype(np.uint32)
-                found.append([b, 1, *pack(keys, ties, doc[part], place[part], low)])
-                fixed = place[part] % block == 0
-                if fixed.any():
-                    ref = part[fixed]
-                    found.append([b, 0, *pack(keys, ties, doc[ref], place[ref], low[fixed])])
+            _, first, group, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            several = np.flatnonzero(count[group] > 1)
+            if len(several):
+                found.append([int(h[several[0]] % np.uint64(buckets)), 2, *pack(keys, ties, doc[several], place[several], None)])
+            # a reference stands for all of its kind, and so does a probe
+            fixed = place % block == 0
+            fixed_at = np.flatnonzero(fixed)
+            _, first_fixed = np.unique(group[fixed_at], return_index=True)
+            for kind, at in ((1, np.sort(first)), (0, np.sort(fixed_at[first_fixed]))):
+                bucket = ((h[at] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+                for b, part in _dealt(bucket.astype(np.uint16) if buckets <= 65536 else bucket):
+                    own = at[part]
+                    found.append([b, kind, *pack(keys, ties, doc[own], place[own], h[own].astype(np.uint32))])
             yield _rows(found)
 
     return released(probe)
 
 
 def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, tie, place) of probes that meet a reference other than themselves. Rows come by bucket, references first."""
+    """(key, tie, place) of probes that meet a reference other than themselves, and of places that are hits already. Rows come by bucket, references first."""
     bucket, refs, index = None, [], None
     for batch in batches:
         for row in batch.to_pylist():
             if row["bucket"] != bucket:
                 bucket, refs, index = row["bucket"], [], None
             key, tie, place = unpack(row)
+            if row["kind"] == 2:
+                yield pa.record_batch([pa.array(key), pa.array(tie), pa.array(place.astype(np.int32))], names=["key", "tie", "place"])
+                continue
             h = np.frombuffer(row["hashes"], np.uint32)
             if row["kind"] == 0:
                 refs.append((h, key, tie, place))
