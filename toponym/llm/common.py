@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from ..sources.shared import shared_dir
+
+__all__ = ["expand", "hash_words", "mix", "released", "rolling", "shared_dir", "slices", "split_words", "written"]
 
 #: Words are maximal runs of characters other than blank, tab, line feed, vertical tab, form feed and carriage return.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -18,14 +21,6 @@ WORD_BREAK = r"[\x20\x09-\x0D]+"
 SLICE_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors see, under spark.checkpoint.dir or what setCheckpointDir was given."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
-    if base is None:
-        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """df as a table in the shared folder, read again: lineage ends here and a lost executor costs nothing."""
     spark = df.sparkSession
