@@ -41,7 +41,8 @@ from .common import released, slices
 
 #: Buckets of the literal rank map; a power of two.
 BUCKETS = 1 << 16
-#: Text of one chunk.
+#: Text that is cut into words at a time, and text of one chunk.
+SLICE = 4 << 20
 CHUNK_BYTES = 32 << 20
 #: Longer words are merged by a heap.
 LONG_WORD = 256
@@ -219,9 +220,13 @@ def _rows(rows: list[tuple], key_type: pa.DataType) -> pa.RecordBatch:
 def _split(pattern: str, at_blanks: bool, chunk_bytes: int, parts: int, key_type: pa.DataType):
     """Rows of kind 0 with the distinct words of a chunk, dealt by their hash, and of kind 1 with its texts as places among those words."""
 
-    def chunk_rows(number: int, batches: list[pa.RecordBatch], find) -> Iterator[pa.RecordBatch]:
-        keys = pa.concat_arrays([b.column(0) for b in batches])
-        words, codes, starts = pre_tokens(pa.concat_arrays([b.column(1) for b in batches]), find, at_blanks)
+    def chunk_rows(number: int, slices_: list[tuple]) -> Iterator[pa.RecordBatch]:
+        keys = pa.concat_arrays([k for k, _, _, _ in slices_])
+        both = pc.dictionary_encode(pa.concat_arrays([w for _, w, _, _ in slices_]))
+        words, place = both.dictionary, both.indices.to_numpy()
+        first = np.cumsum([0, *(len(w) for _, w, _, _ in slices_)])
+        codes = np.concatenate([place[lo + c] for lo, (_, _, c, _) in zip(first, slices_, strict=False)])
+        starts = np.concatenate([[0], np.cumsum(np.concatenate([n for _, _, _, n in slices_]))])
         # frequent words get small numbers, which pack well
         order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
         number_of = np.empty(len(words), np.int32)
@@ -249,14 +254,15 @@ def _split(pattern: str, at_blanks: bool, chunk_bytes: int, parts: int, key_type
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
-        for batch in slices(batches, "text", 1 << 20):
-            held.append(batch)
+        for batch in slices(batches, "text", min(SLICE, chunk_bytes)):
+            words, codes, starts = pre_tokens(batch.column(1), find, at_blanks)
+            held.append((batch.column(0), words, codes, np.diff(starts)))
             size += batch.column(1).nbytes
             if size >= chunk_bytes:
-                yield from chunk_rows(number, held, find)
+                yield from chunk_rows(number, held)
                 number, held, size = number + 1, [], 0
         if held:
-            yield from chunk_rows(number, held, find)
+            yield from chunk_rows(number, held)
 
     return released(split)
 
