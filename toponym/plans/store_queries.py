@@ -18,7 +18,7 @@ from ..sources.shared import shared_dir
 from ..sources.snapshot import SPECS, archives, timestamp_column
 from ..sources.store import Store
 from .driver_tables import gazetteer, table
-from .queries import ORACLE_SQL, _documents, _FACT, _WORDS, query, s_cyrillic, s_grams, s_house, s_house_score, s_norm, s_number, s_ocr, s_round4, s_sim
+from .queries import _WORDS, ORACLE_SQL, _documents, query, s_cyrillic, s_grams, s_house, s_house_score, s_norm, s_number, s_ocr, s_round4, s_sim
 
 #: Stores of this process: (application, folder of tables) -> folder of the store and the ids of its versions.
 _MADE: dict[tuple[str, str], tuple[str, list[int]]] = {}
