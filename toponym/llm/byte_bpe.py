@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, slices
+from .common import released, slices, small_batches
 
 #: Buckets of the literal rank map; a power of two.
 BUCKETS = 1 << 16
@@ -441,6 +441,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
     if any(bytes([b]) not in ranks for b in range(256)):
         raise ValueError("a byte has no rank")
     spark = docs.sparkSession
+    small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[key].dataType
     columns, key_type = _COLUMNS.format(kind=kind.simpleString()), to_arrow_type(kind)

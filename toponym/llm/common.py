@@ -9,14 +9,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.shared import shared_dir
 
-__all__ = ["expand", "hash_words", "mix", "released", "rolling", "shared_dir", "slices", "split_words", "written"]
+__all__ = ["expand", "hash_words", "mix", "released", "rolling", "shared_dir", "slices", "small_batches", "split_words", "written"]
 
 #: Words are maximal runs of characters other than blank, tab, line feed, vertical tab, form feed and carriage return.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 #: Bytes of text that one NumPy step handles at a time.
 SLICE_BYTES = 4 << 20
 
@@ -29,6 +31,14 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows for the session, unless it asks for fewer: rows hold whole texts here, and each worker and the JVM hold a batch or two."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def released(work: Callable) -> Callable:
     """A function over the batches of a task that gives free memory back at its end: workers are used again by other operators."""
 
@@ -45,16 +55,27 @@ def released(work: Callable) -> Callable:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that the text column of each holds about `limit` bytes; a longer single text stays whole."""
+    """The rows of the batches, cut and put together so that the text column of each new batch holds about `limit` bytes; a longer single text stays whole."""
+
+    def whole(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        # a copy: pyarrow's ascii_lower misreads arrays that begin inside another
+        return pa.concat_batches(held) if len(held) > 1 else held[0].take(pa.array(np.arange(held[0].num_rows)))
+
+    held, total = [], 0
     for batch in batches:
         if not batch.num_rows:
             continue
         size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        part = np.cumsum(size) // limit
-        at = np.flatnonzero(np.diff(part)) + 1
+        ends = np.cumsum(size)
+        at = np.flatnonzero(np.diff((ends + total) // limit)) + 1
         for lo, hi in zip([0, *at.tolist()], [*at.tolist(), batch.num_rows], strict=True):
-            # a copy: pyarrow's ascii_lower misreads arrays that begin inside another
-            yield batch.take(pa.array(np.arange(lo, hi)))
+            held.append(batch.slice(lo, hi - lo))
+            total += int(ends[hi - 1] - (ends[lo - 1] if lo else 0))
+            if total >= limit or hi < batch.num_rows:
+                yield whole(held)
+                held, total = [], 0
+    if held:
+        yield whole(held)
 
 
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:

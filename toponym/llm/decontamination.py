@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, shared_dir, slices
+from .common import released, shared_dir, slices, small_batches
 
 #: Characters of a q-gram; a power of two.
 Q = 8
@@ -210,6 +210,7 @@ def _blocks(benchmark: DataFrame, item: str, item_text: str):
 
 def matches(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None = None, text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = RATE, name: str = "matches", best: bool = False) -> DataFrame:
     """The carried columns (all, if None) and `name`: array<struct<item_id,start,past,edits>> of the items found in the text; best: one place for each item."""
+    small_batches(docs.sparkSession)
     names = docs.columns if carry is None else carry
     kind = benchmark.schema[item].dataType.simpleString()
     blocks, single = _blocks(benchmark, item, item_text)

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, slices
+from .common import released, slices, small_batches
 
 PER_LANGUAGE = 150
 SAMPLE = 9_600
@@ -47,7 +47,7 @@ STEPS = 60
 #: Least value of an exponential, so that no product of a step vanishes.
 LEAST = 1e-100
 #: Words whose emissions a worker remembers; when there are more it starts afresh.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 UNKNOWN = "und"
 NOT_LETTERS = r"\P{L}+"
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -219,6 +219,7 @@ def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 def predict(docs: DataFrame, model: Crf, text: str = "text", carry: list[str] | None = None, segments: bool = False) -> DataFrame:
     """The carried columns (all, if None), lang_pred, score, and with segments the runs of words of one language: array<struct<lang,first,words>>."""
 
+    small_batches(docs.sparkSession)
     names = docs.columns if carry is None else carry
     # the text travels once, whether it is carried or not
     rows = docs.select(F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(names) if c != text)).alias("row"), F.col(f"`{text}`").alias("text"))

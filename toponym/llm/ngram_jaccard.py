@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix, released, rolling, slices, split_words, written
+from .common import hash_words, mix, released, rolling, slices, small_batches, split_words, written
 from .components import connected_components
 from .filters import semi_join
 from .packed import FIELDS, NAMES, pack, unpack
@@ -380,6 +380,7 @@ def _joined(comps: DataFrame | None, links: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, like: Likeness = Likeness(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: key, n_shingles, component. Runs jobs; intermediate tables go to the shared folder."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     sketch = written(rows.mapInArrow(_sketch(like), f"key {kind}, node long, check long, n int, s0 long, s1 long"))

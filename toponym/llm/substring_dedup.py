@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import expand, hash_words, mix, released, rolling, slices, split_words, written
+from .common import expand, hash_words, mix, released, rolling, slices, small_batches, split_words, written
 from .filters import may_be_in
 from .packed import FIELDS, NAMES, pack, runs, unpack
 
@@ -259,6 +259,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, key: str = "doc_id", text:
     if window % 2 or not 2 <= window <= 40:
         raise ValueError("window has to be even, from 2 to 40")
     spark = docs.sparkSession
+    small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("key"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("tie"), F.coalesce(F.col(text), F.lit("")).alias("text"))
