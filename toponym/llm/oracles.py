@@ -56,4 +56,32 @@ a AS (SELECT doc_id, count(*) AS n_words, CAST(sum(cut::INT) AS BIGINT) AS n_rem
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN a ON a.doc_id = d.doc_id
 """
 
-SQL = {"op2_chat_format": OP2, "op5_ngram_jaccard": OP5, "op6_bit_sliced": OP6, "op7_warc": OP7, "op8_substring_dedup": OP8}
+# crc32 of UTF-8 bytes by its polynomial, eight steps for each byte
+_STEP = "CASE WHEN {0} % 2 = 1 THEN xor({0} // 2, 3988292384) ELSE {0} // 2 END"
+
+OP11 = f"""
+WITH tab AS (SELECT list(c ORDER BY i) AS crc FROM (SELECT i, list_reduce([i::BIGINT, 0, 1, 2, 3, 4, 5, 6, 7], lambda c, k: {_STEP.format("c")}) AS c FROM range(256) r(i))),
+words AS (SELECT 'd' AS kind, doc_id AS id, unnest(regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM documents
+  UNION ALL SELECT 'b', item_id, unnest(regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) FROM benchmark),
+bytes AS (SELECT w, list_transform(range(strlen(w)), lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::BIGINT) AS b FROM (SELECT DISTINCT w FROM words)),
+crcs AS (SELECT w, CAST(xor(list_reduce(list_concat([4294967295::BIGINT], b), lambda c, x: xor(c // 256, crc[CAST(xor(c, x) % 256 + 1 AS INT)])), 4294967295) % 10000 AS INT) AS bucket FROM bytes, tab),
+f AS (SELECT kind, id, bucket FROM words JOIN crcs USING (w)),
+counts AS (SELECT bucket, count(*) FILTER (kind = 'd') AS s, count(*) FILTER (kind = 'b') AS t FROM f GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM counts),
+sums AS (SELECT id, count(*) AS n, sum(gain)::BIGINT AS total FROM f JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY id),
+h AS (SELECT doc_id, coalesce(n, 0) AS n_features, CASE WHEN n > 0 THEN (total - (total % n + n) % n) // n ELSE 0 END AS weight,
+  ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM documents LEFT JOIN sums ON id = doc_id),
+sc AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM h),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS held FROM sc WHERE n_features >= 20)
+SELECT sc.doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CASE WHEN place <= held * 10 // 100 THEN place END AS rank FROM sc LEFT JOIN r ON r.doc_id = sc.doc_id
+"""
+
+OP13 = """
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+g AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT k.*, g.keeper IS NOT NULL AND g.keeper <> doc_id AS gone FROM k LEFT JOIN g ON g.key = k.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id
+"""
+
+SQL = {"op2_chat_format": OP2, "op5_ngram_jaccard": OP5, "op6_bit_sliced": OP6, "op7_warc": OP7, "op8_substring_dedup": OP8, "op11_importance_resampling": OP11, "op13_line_dedup": OP13}

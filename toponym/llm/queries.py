@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_sliced, byte_bpe, chat_format, decontamination, language_id, ngram_jaccard, oracles, secret_scan, substring_dedup, token_counts, warc
+from . import (
+    bit_sliced, byte_bpe, chat_format, decontamination, importance_resampling, language_id, line_dedup, ngram_jaccard, oracles, secret_scan, substring_dedup, token_counts, warc, whitening,
+)
 from .common import shared_dir
 
 
@@ -71,6 +73,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.findings(_table(spark, sf_dir, "documents"), forest)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), 4)
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_lines(_table(spark, sf_dir, "documents"), line_dedup.Rule(20, 3))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_chat_format": op2_chat_format,
@@ -82,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_secret_scan": op10_secret_scan,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_whitening": op12_whitening,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 #: Queries without an entry are tested against brute force in tests/llm.
