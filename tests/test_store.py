@@ -2,10 +2,12 @@ import json
 import zipfile
 
 import pytest
+from pyspark.errors import PySparkException
 
 from toponym.api import CandidateRequest, candidates, health
 from toponym.cli import main
-from toponym.operators.candidates import InvalidQuery, NoActiveDataset, clamp_limit, find_address_candidates
+from toponym.functions import sql
+from toponym.operators.candidates import COLUMNS, InvalidQuery, NoActiveDataset, clamp_limit, find_address_candidates
 from toponym.sources.snapshot import SPECS, ContractError, archives, members, newest_archive, timestamp_of
 from toponym.sources.store import Store
 
@@ -78,6 +80,11 @@ def test_life_of_versions(spark, tmp_path):
 
 
 def test_views_functions_and_health(spark, tmp_path):
+    for s in SPECS:
+        spark.catalog.dropTempView(f"current_{s.table}")
+    sql.register(spark)
+    with pytest.raises(PySparkException, match=sql.NO_DATASET):
+        spark.sql("SELECT * FROM find_address_candidates('12')").collect()
     store = Store(spark, str(tmp_path / "root"))
     (tmp_path / "in").mkdir()
     store.import_archive(archive(tmp_path / "in"), activate=True, min_rows=FEW)
@@ -87,7 +94,15 @@ def test_views_functions_and_health(spark, tmp_path):
     rows = spark.sql("SELECT * FROM find_address_candidates('142100', 'Подольск', 'Кирова', '4', 2)").collect()
     best = find_address_candidates(store.gazetteer(), "142100", "Подольск", "Кирова", "4", 2).collect()
     assert [(r["id_address"], r["score"], r["house_match"]) for r in rows] == [(r["id_address"], r["score"], r["house_match"]) for r in best] and len(rows) == 2
-    assert spark.sql("SELECT * FROM find_address_candidates('', '', '', '4')").isEmpty()
+    assert [tuple(r) for r in rows] == [tuple(r) for r in best] and [c.split()[0] for c in sql.RESULT.split(", ")] == list(COLUMNS)
+    assert spark.sql("SELECT * FROM find_address_candidates(street => 'Кирова', most => 1)").count() == 1
+    for wrong, said in (("'---', '', '', ''", "6 digits"), ("'12', 'Подольск'", "6 digits"), ("'', '', '', '4'", "postal code, a city or a street"), ("NULL, '!!'", "postal code, a city or a street"), ("'999999'", None)):
+        search = spark.sql(f"SELECT * FROM find_address_candidates({wrong})")
+        if said is None:
+            assert search.isEmpty()
+        else:
+            with pytest.raises(PySparkException, match=said):
+                search.collect()
     told = {(r["table_name"], r["column_name"]): (r["n_rows"], r["nulls"], r["low"], r["high"]) for r in store.statistics(1).collect()}
     assert told["address_range", "id_city"] == (5, 2, "1", "1") and told["main_city", "main_city_name"] == (2, 0, "", "ПОДОЛЬСК ГОРОД")
     found = archives(spark, str(tmp_path / "in")).first()

@@ -1,7 +1,8 @@
 """The normal forms, house scores, similarity and the address search as functions of a session's SQL.
 
-After `register(spark)`: norm_text, ocr_norm_text, norm_house, house_leading_number, house_match_score, similarity and, where the views current_<table> exist, the table function
-find_address_candidates(postal, city, street, house, most). They are temporary SQL functions, so Catalyst puts their bodies into the plan.
+After `register(spark)`: norm_text, ocr_norm_text, norm_house, house_leading_number, house_match_score, similarity and, over the views current_<table>, the table function
+find_address_candidates(postal, city, street, house, most) with the columns RESULT. They are temporary SQL functions, so Catalyst puts their bodies into the plan. The search refuses, in this order, every query while
+there is no active version, a postal code that has not six digits, and a query without postal code, city and street.
 """
 
 from __future__ import annotations
@@ -40,32 +41,53 @@ def _given(name: str, weight: str, present: str) -> tuple[str, str]:
     return f"CASE WHEN {present} THEN {weight}D * coalesce(CAST({name}_score AS DOUBLE), 0D) ELSE 0D END", f"CASE WHEN {present} THEN {weight} ELSE 0 END"
 
 
+#: Result of the search: columns and their types. (Fixed values.)
+RESULT = (
+    "dataset_id BIGINT, id_address BIGINT, postal_code STRING, id_subject INT, subject_name STRING, id_district INT, district_name STRING, id_main_city INT, main_city_name STRING, id_city INT, city_name STRING, "
+    "matched_city_name STRING, id_street INT, street_name STRING, street_qualifier STRING, from_house_number STRING, to_house_number STRING, from_building_number STRING, to_building_number STRING, "
+    "postcode_score FLOAT, city_score FLOAT, street_score FLOAT, house_score FLOAT, house_match BOOLEAN, score FLOAT"
+)
+_ARGUMENTS = "postal STRING DEFAULT NULL, city STRING DEFAULT NULL, street STRING DEFAULT NULL, house STRING DEFAULT NULL, most INT DEFAULT 20"
+_POST = "regexp_replace(coalesce(postal, ''), '[^0-9]', '')"
+NO_DATASET = "no active dataset"
+
+
+def _refusal(condition: str) -> str:
+    """A branch without rows that raises an error where the condition does; with constant arguments that are in order it is folded away."""
+    columns = ", ".join(f"CAST(NULL AS {c.split()[1]}) AS {c.split()[0]}" for c in RESULT.split(", "))
+    return f"SELECT {columns} FROM (SELECT 1) WHERE {condition}"
+
+
 def _search() -> str:
-    near = lambda table, key, name, value: f"(SELECT {key}, greatest(similarity(norm_text({name}), {value}), similarity(ocr_norm_text(lex_key1), {value})) AS sim FROM current_{table} WHERE similarity(norm_text({name}), {value}) >= CAST({THRESHOLD} AS FLOAT))"
-    post, city, street, house = "regexp_replace(coalesce(postal, ''), '[^0-9]', '')", "ocr_norm_text(city)", "ocr_norm_text(street)", "norm_house(house)"
-    parts = [_given("postcode", "0.35", f"{post} <> ''"), _given("city", "0.25", f"{city} <> ''"), _given("street", "0.30", f"{street} <> ''"), _given("house", "0.10", f"{house} <> ''")]
-    score = f"CAST(({' + '.join(['0D', *(a for a, _ in parts)])}) / CAST({' + '.join(b for _, b in parts)} AS DOUBLE) AS FLOAT)"
+    near = lambda table, key, value: f"(SELECT {key}, greatest(similarity(name_norm, {value}), similarity(ocr_norm_text(lex_key1), {value})) AS sim FROM current_{table} WHERE similarity(name_norm, {value}) >= CAST({THRESHOLD} AS FLOAT))"
+    city, street, house = "ocr_norm_text(city)", "ocr_norm_text(street)", "norm_house(house)"
+    parts = [_given("postcode", "0.35", f"{_POST} <> ''"), _given("city", "0.25", f"{city} <> ''"), _given("street", "0.30", f"{street} <> ''"), _given("house", "0.10", f"{house} <> ''")]
+    score = f"CAST(({' + '.join(['0D', *(a for a, _ in parts)])}) / nullif(CAST({' + '.join(b for _, b in parts)} AS DOUBLE), 0D) AS FLOAT)"
     order = "score DESC, coalesce(house_score, 0F) DESC, coalesce(street_score, 0F) DESC, coalesce(city_score, 0F) DESC, id_address"
+    refused = f"CASE WHEN trim(coalesce(postal, '')) <> '' AND length({_POST}) <> 6 THEN CAST(raise_error('a postal code has exactly 6 digits') AS BOOLEAN) WHEN {_POST} = '' AND {city} = '' AND {street} = '' THEN CAST(raise_error('a query needs a postal code, a city or a street') AS BOOLEAN) ELSE false END"
     return f"""
-WITH base AS (SELECT f.*, CASE WHEN {post} <> '' THEN CAST(1.0 AS FLOAT) END AS postcode_score,
+WITH base AS (SELECT f.*, CASE WHEN {_POST} <> '' THEN CAST(1.0 AS FLOAT) END AS postcode_score,
     CASE WHEN {city} <> '' THEN greatest(coalesce(m.sim, 0F), coalesce(c.sim, 0F)) END AS city_score, CASE WHEN {street} <> '' THEN s.sim END AS street_score,
     house_match_score(house, f.from_house_number, f.to_house_number) AS house_score
-  FROM current_address_range f LEFT JOIN {near("main_city", "id_main_city", "main_city_name", city)} m ON m.id_main_city = f.id_main_city
-    LEFT JOIN {near("city", "id_city", "city_name", city)} c ON c.id_city = f.id_city LEFT JOIN {near("street", "id_street", "street_name", street)} s ON s.id_street = f.id_street
-  WHERE ({post} = '' OR f.postal_code = {post}) AND ({city} = '' OR m.sim IS NOT NULL OR c.sim IS NOT NULL) AND ({street} = '' OR s.sim IS NOT NULL) AND {post} || {city} || {street} <> ''),
+  FROM current_address_range f LEFT JOIN {near("main_city", "id_main_city", city)} m ON m.id_main_city = f.id_main_city
+    LEFT JOIN {near("city", "id_city", city)} c ON c.id_city = f.id_city LEFT JOIN {near("street", "id_street", street)} s ON s.id_street = f.id_street
+  WHERE ({_POST} = '' OR f.postal_code = {_POST}) AND ({city} = '' OR m.sim IS NOT NULL OR c.sim IS NOT NULL) AND ({street} = '' OR s.sim IS NOT NULL) AND {_POST} || {city} || {street} <> ''),
 scored AS (SELECT *, {score} AS score FROM base),
 first AS (SELECT * FROM scored ORDER BY {order} LIMIT 100),
-best AS (SELECT *, row_number() OVER (ORDER BY {order}) AS place FROM first)
-SELECT id_address, postal_code, postcode_score, city_score, street_score, house_score, CAST(house_score AS DOUBLE) >= 0.95D AS house_match, score
-FROM best WHERE place <= least(greatest(coalesce(most, 20), 1), 100)"""
+placed AS (SELECT *, row_number() OVER (ORDER BY {order}) AS place FROM first),
+best AS (SELECT * FROM placed WHERE place <= least(greatest(coalesce(most, 20), 1), 100)),
+named AS (SELECT b.dataset_id, b.id_address, b.postal_code, b.id_subject, fs.subject_name, b.id_district, dt.district_name, b.id_main_city, mc.main_city_name, b.id_city, ct.city_name,
+    coalesce(ct.city_name, mc.main_city_name, b.post_office_name) AS matched_city_name, b.id_street, st.street_name, st.qualifier AS street_qualifier, b.from_house_number, b.to_house_number, b.from_building_number, b.to_building_number,
+    b.postcode_score, b.city_score, b.street_score, b.house_score, CAST(b.house_score AS DOUBLE) >= 0.95D AS house_match, b.score
+  FROM best b LEFT JOIN current_federal_subject fs ON fs.id_subject = b.id_subject LEFT JOIN current_district dt ON dt.id_district = b.id_district LEFT JOIN current_main_city mc ON mc.id_main_city = b.id_main_city
+    LEFT JOIN current_city ct ON ct.id_city = b.id_city LEFT JOIN current_street st ON st.id_street = b.id_street)
+SELECT * FROM named UNION ALL {_refusal(refused)}"""
 
 
 def register(spark: SparkSession) -> None:
-    """Registers the functions for the session; the search only where the views of an active version are there."""
+    """Registers the functions for the session. Without the views of an active version the search refuses every query."""
     for head, body in SCALARS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
-    if spark.catalog.tableExists("current_address_range"):
-        spark.sql(
-            "CREATE OR REPLACE TEMPORARY FUNCTION find_address_candidates(postal STRING, city STRING, street STRING, house STRING, most INT DEFAULT 20) RETURNS TABLE (id_address BIGINT, postal_code STRING, "
-            f"postcode_score FLOAT, city_score FLOAT, street_score FLOAT, house_score FLOAT, house_match BOOLEAN, score FLOAT) RETURN {_search()}"
-        )
+    ready = spark.catalog.tableExists("current_address_range")
+    body = _search() if ready else _refusal(f"coalesce(postal, city, street, house, CAST(most AS STRING), '') IS NOT NULL AND CAST(raise_error('{NO_DATASET}') AS BOOLEAN)")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION find_address_candidates({_ARGUMENTS}) RETURNS TABLE ({RESULT}) RETURN {body}")

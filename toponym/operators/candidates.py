@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from ctypes import c_float
 from dataclasses import dataclass
 from decimal import Decimal
+from functools import reduce
+from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.textnorm import house_match, house_match_score, norm_house, norm_text, ocr_norm_text, ocr_norm_text_value
 from ..functions.trigram import THRESHOLD, similarity, similarity_to, trigrams
+from ..sources.shared import written
 
 #: Weights of the criteria. (Fixed values.)
 WEIGHTS = {"postcode": Decimal("0.35"), "city": Decimal("0.25"), "street": Decimal("0.30"), "house": Decimal("0.10")}
@@ -20,6 +25,8 @@ COLUMNS = (
     "id_street", "street_name", "street_qualifier", "from_house_number", "to_house_number", "from_building_number", "to_building_number",
     "postcode_score", "city_score", "street_score", "house_score", "house_match", "score",
 )
+#: Columns of the address ranges that a search reads.
+FACT = ("id_address", "postal_code", "post_office_name", "id_subject", "id_district", "id_main_city", "id_city", "id_street", "from_house_number", "to_house_number", "from_building_number", "to_building_number")
 #: Names like a query's that are looked up before the search, so that the address ranges are not shuffled; with more of them they are joined as tables.
 FEW_NAMES = 20_000
 
@@ -32,9 +39,15 @@ class NoActiveDataset(RuntimeError):
     """There is no version to search in."""
 
 
+class Index(Protocol):
+    """What finds names without reading them."""
+
+    def near(self, table: str, value: str) -> DataFrame: ...
+
+
 @dataclass(frozen=True)
 class Gazetteer:
-    """The tables of one version. Ids are unique within their table."""
+    """The tables of one version, and an index of its names, if there is one. Ids are unique within their table."""
 
     federal_subject: DataFrame
     district: DataFrame
@@ -43,6 +56,7 @@ class Gazetteer:
     street: DataFrame
     address_range: DataFrame
     dataset_id: int | None = 1
+    index: Index | None = None
 
 
 def clamp_limit(limit: int | None) -> int:
@@ -54,17 +68,32 @@ def _norm(names: DataFrame, name: str) -> Column:
     return F.col("name_norm") if "name_norm" in names.columns else norm_text(F.col(name))
 
 
-def _looked_up(near: DataFrame) -> DataFrame:
-    """near as a small table to be broadcast, if it has at most FEW_NAMES rows; otherwise as it is. Runs a job."""
-    rows = near.limit(FEW_NAMES + 1).collect()
-    return F.broadcast(near.sparkSession.createDataFrame(rows, near.schema)) if len(rows) <= FEW_NAMES else near
-
-
 def _near(names: DataFrame, key: str, name: str, value: str) -> DataFrame:
-    """(key, sim) of the names like value. Only the name admits; the key word may raise the similarity."""
+    """(id, sim) of the names like value. Only the name admits; the key word may raise the similarity."""
     own = similarity_to(_norm(names, name), value)
-    near = names.select(key, own.alias("own"), similarity_to(ocr_norm_text(F.col("lex_key1")), value).alias("key")).where(F.col("own") >= F.lit(THRESHOLD))
-    return near.select(key, F.greatest("own", "key").alias("sim"))
+    near = names.select(F.col(key).cast("long").alias("id"), own.alias("own"), similarity_to(ocr_norm_text(F.col("lex_key1")), value).alias("key")).where(F.col("own") >= F.lit(THRESHOLD))
+    return near.select("id", F.greatest("own", "key").alias("sim"))
+
+
+#: Tables of names that are searched: key, name, and the criterion.
+_NAMES = {"main_city": ("id_main_city", "main_city_name", "city"), "city": ("id_city", "city_name", "city"), "street": ("id_street", "street_name", "street")}
+
+
+def _near_names(g: Gazetteer, given: dict[str, str]) -> dict[str, DataFrame | list[tuple[int, float]]]:
+    """For each table that the query names: the list of (id, sim), or with more than FEW_NAMES of them the table (id, sim). One job for all."""
+    near = {t: g.index.near(t, given[c]) if g.index else _near(getattr(g, t), key, name, given[c]) for t, (key, name, c) in _NAMES.items() if given[c]}
+    if not near:
+        return {}
+    few = reduce(DataFrame.unionByName, (rows.limit(FEW_NAMES + 1).select(F.lit(t).alias("t"), "id", "sim") for t, rows in near.items())).collect()
+    lists = {t: [(r["id"], r["sim"]) for r in few if r["t"] == t] for t in near}
+    return {t: found if len(found) <= FEW_NAMES else near[t] for t, found in lists.items()}
+
+
+def _table(spark: SparkSession, near: DataFrame | list[tuple[int, float]], key: str, sim: str) -> DataFrame:
+    """near as (key, sim): a list, which has at most FEW_NAMES entries, is broadcast."""
+    if isinstance(near, DataFrame):
+        return near.select(F.col("id").alias(key), F.col("sim").alias(sim))
+    return F.broadcast(spark.createDataFrame(near, f"{key} long, {sim} float"))
 
 
 def _ranked() -> list[Column]:
@@ -72,20 +101,96 @@ def _ranked() -> list[Column]:
     return [F.col("score").desc(), zero("house_score"), zero("street_score"), zero("city_score"), F.col("id_address").asc()]
 
 
-def _named(rows: DataFrame, g: Gazetteer) -> DataFrame:
-    """rows with the names of their ids: joins of the few chosen rows to unique ids, after the choice."""
-    rows = rows.join(g.federal_subject.select("id_subject", "subject_name"), "id_subject", "left")
-    rows = rows.join(g.district.select("id_district", "district_name"), "id_district", "left")
-    rows = rows.join(g.main_city.select("id_main_city", "main_city_name"), "id_main_city", "left")
-    rows = rows.join(g.city.select("id_city", "city_name"), "id_city", "left")
-    rows = rows.join(g.street.select("id_street", "street_name", F.col("qualifier").alias("street_qualifier")), "id_street", "left")
+def _rank(r: Row) -> tuple:
+    """_ranked for a row of the driver."""
+    return (-r["score"], *(-(r[c] or 0.0) for c in ("house_score", "street_score", "city_score")), r["id_address"])
+
+
+#: Dimensions of an address: table, key and what is shown of it.
+_DIMENSIONS = {"federal_subject": ("id_subject", ["subject_name"]), "district": ("id_district", ["district_name"]), "main_city": ("id_main_city", ["main_city_name"]), "city": ("id_city", ["city_name"]), "street": ("id_street", ["street_name", "qualifier"])}
+
+
+def _named(rows: DataFrame, g: Gazetteer, chosen: list[Row] | None = None) -> DataFrame:
+    """rows with the names of their ids. Only the names of ids that rows have are kept of a dimension: of chosen rows of the driver by a literal filter, which the scan sees, otherwise by a semi-join; then they are few."""
+    for table, (key, shown) in _DIMENSIONS.items():
+        dimension = getattr(g, table).select(key, *shown)
+        if chosen is None:
+            held = dimension.join(rows.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_semi")
+        else:
+            ids = sorted({r[key] for r in chosen} - {None})
+            held = F.broadcast(dimension.where(F.col(key).isin(ids) if ids else F.lit(False)))
+        rows = rows.join(held, key, "left")
+    rows = rows.withColumnRenamed("qualifier", "street_qualifier")
     return rows.withColumns({"matched_city_name": F.coalesce("city_name", "main_city_name", "post_office_name"), "house_match": house_match(F.col("house_score"))})
 
 
-def find_address_candidates(g: Gazetteer, postal_code: str | None = None, city: str | None = None, street: str | None = None, house: str | None = None, limit: int | None = 20) -> DataFrame:
+def _score(given: dict[str, str], value: Callable[[str], Column | float]) -> Column | float:
+    """The weighted mean of the criteria that are given, before it is made a float; value gives each one's score as a double."""
+    total = 0.0
+    for name, weight in WEIGHTS.items():
+        if given[name]:
+            total = value(name) * float(weight) + total
+    return total / float(sum(w for n, w in WEIGHTS.items() if given[n]))
+
+
+def _scored(rows: DataFrame, given: dict[str, str], city: list[DataFrame] | None, street: DataFrame | None) -> DataFrame:
+    """The address ranges that the criteria admit, with their scores. city: similarities of main cities and cities; None: not given."""
+    none, zero = F.lit(None).cast("float"), F.lit(0.0).cast("float")
+    if city:
+        rows = rows.join(city[0], "id_main_city", "left").join(city[1], "id_city", "left").where("main_sim is not null or city_sim is not null")
+        rows = rows.withColumn("city_score", F.greatest(F.coalesce("main_sim", zero), F.coalesce("city_sim", zero))).drop("main_sim", "city_sim")
+    else:
+        rows = rows.withColumn("city_score", none)
+    rows = rows.join(street, "id_street") if street is not None else rows.withColumn("street_score", none)
+    house = house_match_score(F.lit(given["house"]), F.col("from_house_number"), F.col("to_house_number")) if given["house"] else none
+    rows = rows.withColumns({"postcode_score": F.lit(1.0).cast("float") if given["postcode"] else none, "house_score": house})
+    score = _score(given, lambda n: F.coalesce(F.col(f"{n}_score").cast("double"), F.lit(0.0)))
+    return rows.withColumn("score", score.cast("float"))
+
+
+#: Names of the first tier of a search without a postal code, and how much larger each next one is.
+TIER, TIER_GROWTH = 64, 16
+
+
+def _best_first(rows: DataFrame, given: dict[str, str], near: dict, most: int, told: dict) -> list[Row]:
+    """The best rows without a postal code, by tiers of the names of one criterion from the most alike downward.
+
+    A row of a later tier has at most the similarity with which that tier begins; with the best that the other criteria can give, this bounds its score. When the worst of `most` rows found
+    beats the bound, no later tier is read. A row that is met again in a later tier, by its other city, is worse there and has been counted.
+    """
+    spark = rows.sparkSession
+    lead = sorted(((sim, t, i) for t in (("street",) if given["street"] else ("main_city", "city")) for i, sim in near[t]), reverse=True)
+    tables = {"main_city": ("id_main_city", "main_sim"), "city": ("id_city", "city_sim"), "street": ("id_street", "street_score")}
+    top = {"city": max((s for t in ("main_city", "city") if not isinstance(near.get(t, []), DataFrame) for _, s in near.get(t, [])), default=0.0), "house": 1.0}
+    if any(isinstance(near.get(t), DataFrame) for t in ("main_city", "city")):
+        top["city"] = 1.0
+    best, at, size = {}, 0, TIER
+    while at < len(lead):
+        end = min(at + size, len(lead))
+        while end < len(lead) and lead[end][0] == lead[end - 1][0]:
+            end += 1
+        tier = {t: [(i, sim) for sim, kind, i in lead[at:end] if kind == t] for t in tables}
+        use = {t: _table(spark, tier[t] if t == "street" or not given["street"] else near[t], *tables[t]) for t in tables if given["street" if t == "street" else "city"]}
+        read = Observation()
+        admitted = _scored(rows, given, [use["main_city"], use["city"]] if given["city"] else None, use.get("street")).observe(read, F.count(F.lit(1)).alias("n"))
+        for r in admitted.orderBy(*_ranked()).limit(most).collect():
+            if r["id_address"] not in best or _rank(r) < _rank(best[r["id_address"]]):
+                best[r["id_address"]] = r
+        best = {r["id_address"]: r for r in sorted(best.values(), key=_rank)[:most]}
+        told["tiers"], told["rows"] = told.get("tiers", 0) + 1, told.get("rows", 0) + read.get["n"]
+        at, size = end, size * TIER_GROWTH
+        if at < len(lead) and len(best) == most:
+            bound = top | {"street" if given["street"] else "city": lead[at][0]}
+            if min(r["score"] for r in best.values()) > c_float(_score(given, lambda n: bound[n])).value:  # noqa: B023
+                break
+    return sorted(best.values(), key=_rank)
+
+
+def find_address_candidates(g: Gazetteer, postal_code: str | None = None, city: str | None = None, street: str | None = None, house: str | None = None, limit: int | None = 20, told: dict | None = None) -> DataFrame:
     """The best address ranges for one query, with the columns COLUMNS.
 
-    Criteria that are not given neither filter nor count. A house alone is no query and never filters. Runs a job for each name given.
+    Criteria that are not given neither filter nor count. A house alone is no query and never filters. Runs one job for the names and one for the search, or one for each tier of names where no postal code is given; at most
+    100 rows come to the driver. told gets the number of tiers and of the rows that they admitted.
     """
     if g.dataset_id is None:
         raise NoActiveDataset("no active dataset")
@@ -96,80 +201,77 @@ def find_address_candidates(g: Gazetteer, postal_code: str | None = None, city:
     v_house = re.sub("[^0-9А-ЯA-Z]+", "", ocr_norm_text_value(house))
     if not (digits or v_city or v_street):
         raise InvalidQuery("a query needs a postal code, a city or a street")
-    none = F.lit(None).cast("float")
-    rows = g.address_range
-    if digits:
-        rows = rows.where(F.col("postal_code") == digits)
-    if v_city:
-        main = _looked_up(_near(g.main_city, "id_main_city", "main_city_name", v_city).withColumnRenamed("sim", "main_sim"))
-        own = _looked_up(_near(g.city, "id_city", "city_name", v_city).withColumnRenamed("sim", "city_sim"))
-        rows = rows.join(main, "id_main_city", "left").join(own, "id_city", "left").where("main_sim is not null or city_sim is not null")
-        rows = rows.withColumn("city_score", F.greatest(F.coalesce("main_sim", F.lit(0.0).cast("float")), F.coalesce("city_sim", F.lit(0.0).cast("float"))))
+    given, spark, most = {"postcode": digits, "city": v_city, "street": v_street, "house": v_house}, g.address_range.sparkSession, clamp_limit(limit)
+    near, rows = _near_names(g, given), g.address_range.select(*FACT)
+    lead = ["street"] if v_street else ["main_city", "city"]
+    if not digits and all(isinstance(near[t], list) for t in lead):
+        best = _best_first(rows, given, near, most, {} if told is None else told)
     else:
-        rows = rows.withColumn("city_score", none)
-    if v_street:
-        rows = rows.join(_looked_up(_near(g.street, "id_street", "street_name", v_street).withColumnRenamed("sim", "street_score")), "id_street")
-    else:
-        rows = rows.withColumn("street_score", none)
-    rows = rows.withColumns({"postcode_score": F.lit(1.0).cast("float") if digits else none, "house_score": house_match_score(F.lit(v_house), F.col("from_house_number"), F.col("to_house_number")) if v_house else none})
-    given = {"postcode": digits, "city": v_city, "street": v_street, "house": v_house}
-    total = F.lit(0.0)
-    for name, weight in WEIGHTS.items():
-        if given[name]:
-            total = total + F.lit(float(weight)) * F.coalesce(F.col(f"{name}_score").cast("double"), F.lit(0.0))
-    score = (total / F.lit(float(sum(w for n, w in WEIGHTS.items() if given[n])))).cast("float")
-    best = rows.withColumns({"dataset_id": F.lit(g.dataset_id).cast("long"), "score": score}).orderBy(*_ranked()).limit(clamp_limit(limit))
-    return _named(best, g).select(*COLUMNS)
-
-
+        if digits:
+            rows = rows.where(F.col("postal_code") == digits)
+        cities = [_table(spark, near["main_city"], "id_main_city", "main_sim"), _table(spark, near["city"], "id_city", "city_sim")] if v_city else None
+        best = _scored(rows, given, cities, _table(spark, near["street"], "id_street", "street_score") if v_street else None).orderBy(*_ranked()).limit(most).collect()
+    types = {f.name: f.dataType.simpleString() for f in g.address_range.schema} | {f"{n}_score": "float" for n in WEIGHTS} | {"score": "float"}
+    columns = [*FACT, *(f"{n}_score" for n in WEIGHTS), "score"]
+    chosen = spark.createDataFrame([tuple(r[c] for c in columns) for r in best], ", ".join(f"{c} {types[c]}" for c in columns))
+    return _named(chosen.withColumn("dataset_id", F.lit(g.dataset_id).cast("long")), g, best).orderBy(*_ranked()).select(*COLUMNS)
 
 
 def near_names(names: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query, name, sim) of distinct normalised texts from columns `query` and `name` whose trigrams are alike.
+    """(kind, query, name, sim) of distinct normalised texts from (kind, query) and (kind, name) of one kind whose trigrams are alike.
 
     A self-contained set join: texts meet by trigrams of the query, the shared ones are counted, and sizes bound what can be alike. Any
     pair over the threshold shares one of the first n - ceil(0.3 n) + 1 trigrams of the query, in any order; with rare ones first, a stem that all names have meets nothing. No
     side has to be broadcast.
     """
-    grams = lambda rows, c: rows.select(c).where(F.col(c) != "").distinct().withColumn(f"{c}_grams", trigrams(F.col(c))).withColumn(f"{c}_size", F.size(f"{c}_grams"))
+    grams = lambda rows, c: rows.select("kind", c).where(F.col(c) != "").distinct().withColumn(f"{c}_grams", trigrams(F.col(c))).withColumn(f"{c}_size", F.size(f"{c}_grams"))
     asked = grams(queries, "query").withColumn("gram", F.explode("query_grams"))
     held = grams(names, "name").withColumn("gram", F.explode("name_grams"))
-    often = held.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").count()
-    rare_first = Window.partitionBy("query").orderBy(F.coalesce("count", F.lit(0)), "gram")
-    first = asked.join(often, "gram", "left").withColumn("place", F.row_number().over(rare_first)).where(F.col("place") <= F.col("query_size") - F.ceil(F.col("query_size") * 3 / 10) + 1)
+    often = held.join(asked.select("kind", "gram").distinct(), ["kind", "gram"], "left_semi").groupBy("kind", "gram").count()
+    rare_first = Window.partitionBy("kind", "query").orderBy(F.coalesce("count", F.lit(0)), "gram")
+    first = asked.join(often, ["kind", "gram"], "left").withColumn("place", F.row_number().over(rare_first)).where(F.col("place") <= F.col("query_size") - F.ceil(F.col("query_size") * 3 / 10) + 1)
     sizes = (F.col("query_size") * 3 <= F.col("name_size") * 10) & (F.col("name_size") * 3 <= F.col("query_size") * 10)
-    pairs = first.drop("count", "place").join(held, "gram").where(sizes).select("query", "name", similarity(F.col("query_grams"), F.col("name_grams")).alias("sim"))
-    return pairs.where(F.col("sim") >= F.lit(THRESHOLD)).dropDuplicates(["query", "name"])
-
-
-def _matches(names: DataFrame, key: str, name: str, queries: DataFrame) -> DataFrame:
-    """(query, key, sim): _near for all distinct queries."""
-    listed = names.select(key, _norm(names, name).alias("name"), ocr_norm_text(F.col("lex_key1")).alias("word"))
-    pairs = near_names(listed, queries).join(listed, "name")
+    pairs = first.drop("count", "place").join(held, ["kind", "gram"]).where(sizes).select("kind", "query", "name", similarity(F.col("query_grams"), F.col("name_grams")).alias("sim"))
+    return pairs.where(F.col("sim") >= F.lit(THRESHOLD)).dropDuplicates(["kind", "query", "name"])
+
+
+def _matches(g: Gazetteer, q: DataFrame) -> DataFrame:
+    """(t, query, id, sim): _near for all distinct queries (q_city, q_street) and the tables of _NAMES."""
+    asked = [q.select(F.lit(c).alias("kind"), F.col(f"q_{c}").alias("query")) for c in ("city", "street")]
+    listed = reduce(DataFrame.unionByName, (
+        getattr(g, t).select(F.lit(t).alias("t"), F.lit(c).alias("kind"), F.col(key).cast("long").alias("id"), _norm(getattr(g, t), name).alias("name"), ocr_norm_text(F.col("lex_key1")).alias("word"))
+        for t, (key, name, c) in _NAMES.items()
+    ))
+    pairs = near_names(listed, asked[0].unionByName(asked[1])).join(listed, ["kind", "name"])
     raised = F.greatest(F.col("sim"), similarity(trigrams(F.col("word")), trigrams(F.col("query"))))
-    return pairs.select("query", key, raised.alias("sim"))
+    return pairs.select("t", "query", "id", raised.alias("sim"))
 
 
 def candidates_batch(g: Gazetteer, queries: DataFrame, limit: int | None = 20) -> DataFrame:
     """find_address_candidates for a table of queries (query_id, postal_code, city, street, house): query_id, rank and COLUMNS.
 
-    Queries that cannot be searched for have no rows. Addresses come through the narrowest criterion given: postal code, then street, then
-    city, by equi-joins; the other criteria test what came. The best rows of each query are chosen before names are looked up.
+    Queries that cannot be searched for have no rows. Each query leads by its narrowest criterion: postal code, then street, then city. The keys by which queries lead are joined with the address ranges in one pass over
+    them; the other criteria test what came. The best rows of each query are chosen and written before names are looked up, so that only names of their ids are.
     """
     digits = F.regexp_replace(F.coalesce("postal_code", F.lit("")), "[^0-9]", "")
     q = queries.select("query_id", digits.alias("q_post"), (F.trim(F.coalesce("postal_code", F.lit(""))) != "").alias("asked"), ocr_norm_text(F.col("city")).alias("q_city"), ocr_norm_text(F.col("street")).alias("q_street"), norm_house(F.col("house")).alias("q_house"))
     q = q.where((~F.col("asked") | (F.length("q_post") == 6)) & ((F.col("q_post") != "") | (F.col("q_city") != "") | (F.col("q_street") != ""))).drop("asked")
-    main = _matches(g.main_city, "id_main_city", "main_city_name", q.select(F.col("q_city").alias("query"))).withColumnsRenamed({"query": "q_city", "sim": "main_sim"})
-    own = _matches(g.city, "id_city", "city_name", q.select(F.col("q_city").alias("query"))).withColumnsRenamed({"query": "q_city", "sim": "city_sim"})
-    road = _matches(g.street, "id_street", "street_name", q.select(F.col("q_street").alias("query"))).withColumnsRenamed({"query": "q_street", "sim": "street_sim"})
-    fact = g.address_range
-    by_post = q.where("q_post <> ''").join(fact, F.col("q_post") == F.col("postal_code"))
-    by_street = q.where("q_post = '' and q_street <> ''").join(road.select("q_street", "id_street"), "q_street").join(fact, "id_street")
+    matched = written(_matches(g, q))
+    of = lambda t, asked, key, sim: matched.where(F.col("t") == t).select(F.col("query").alias(asked), F.col("id").alias(key), F.col("sim").alias(sim))
+    main, own, road = of("main_city", "q_city", "id_main_city", "main_sim"), of("city", "q_city", "id_city", "city_sim"), of("street", "q_street", "id_street", "street_sim")
     only_city = q.where("q_post = '' and q_street = ''")
-    by_city = only_city.join(main.select("q_city", "id_main_city"), "q_city").join(fact, "id_main_city").unionByName(
-        only_city.join(own.select("q_city", "id_city"), "q_city").join(fact, "id_city")
-    ).dropDuplicates(["query_id", "id_address"])
-    rows = by_post.unionByName(by_street).unionByName(by_city)
+    leads = [
+        q.where("q_post <> ''").select("query_id", F.col("q_post").alias("postal_code")),
+        q.where("q_post = '' and q_street <> ''").join(road, "q_street").select("query_id", "id_street"),
+        only_city.join(main, "q_city").select("query_id", "id_main_city"),
+        only_city.join(own, "q_city").select("query_id", "id_city"),
+    ]
+    rows, none = g.address_range.select(*FACT), F.array().cast("array<" + queries.schema["query_id"].dataType.simpleString() + ">")
+    for n, lead in enumerate(leads):  # what leads by one key is one row, so that an address stays one row
+        key = lead.columns[1]
+        rows = rows.join(lead.groupBy(key).agg(F.collect_set("query_id").alias(f"by{n}")), key, "left").withColumn(f"by{n}", F.coalesce(f"by{n}", none))
+    asking = F.array_distinct(F.concat(*(f"by{n}" for n in range(len(leads)))))
+    rows = rows.where(reduce(lambda a, b: a | b, (F.size(f"by{n}") > 0 for n in range(len(leads))))).select(*FACT, F.explode(asking).alias("query_id")).join(q, "query_id")
     rows = rows.join(main, ["q_city", "id_main_city"], "left").join(own, ["q_city", "id_city"], "left").join(road, ["q_street", "id_street"], "left")
     rows = rows.where("(q_city = '' or main_sim is not null or city_sim is not null) and (q_street = '' or street_sim is not null)")
     zero = F.lit(0.0).cast("float")
@@ -187,5 +289,5 @@ def candidates_batch(g: Gazetteer, queries: DataFrame, limit: int | None = 20) -
         weights = weights + F.when(there, F.lit(weight)).otherwise(F.lit(Decimal("0.00")))
     rows = rows.withColumns({"dataset_id": F.lit(g.dataset_id).cast("long"), "score": (total / weights.cast("double")).cast("float")})
     best = Window.partitionBy("query_id").orderBy(*_ranked())
-    rows = rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= clamp_limit(limit))
+    rows = written(rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= clamp_limit(limit)))
     return _named(rows, g).select("query_id", "rank", *COLUMNS)

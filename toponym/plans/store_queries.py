@@ -6,31 +6,27 @@ other street and the addresses on them; at the end version 1 is active again.
 
 from __future__ import annotations
 
-import shutil
-import zipfile
-from pathlib import Path
+import hashlib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import images, recognised
+from ..functions import sql
+from ..functions.textnorm import norm_text
+from ..operators import candidates, images, recognised
+from ..sources import name_index
 from ..sources.shared import shared_dir
-from ..sources.snapshot import SPECS, archives, timestamp_column
+from ..sources.snapshot import SPECS, checksums, timestamp_column
 from ..sources.store import Store
 from .driver_tables import gazetteer, table
-from .queries import _WORDS, ORACLE_SQL, _documents, query, s_cyrillic, s_grams, s_house, s_house_score, s_norm, s_number, s_ocr, s_round4, s_sim
+from .queries import _WORDS, ORACLE_SQL, QUERIES, SEARCHES, _documents, _shown, query, s_cyrillic, s_grams, s_house, s_house_score, s_norm, s_number, s_ocr, s_round4, s_sim
 
 #: Stores of this process: (application, folder of tables) -> folder of the store and the ids of its versions.
 _MADE: dict[tuple[str, str], tuple[str, list[int]]] = {}
 
 
-def _line(*fields: Column | str) -> Column:
-    """A record of an archive: null is an empty field."""
-    return F.concat_ws(";", *(F.coalesce((F.col(f) if isinstance(f, str) else f).cast("string"), F.lit("")) for f in fields))
-
-
-def _records(spark: SparkSession, sf_dir: str, version: int) -> dict[str, DataFrame]:
-    """The lines of each table of an archive, by its prefix."""
+def _version(spark: SparkSession, sf_dir: str, version: int) -> dict[str, DataFrame]:
+    """The tables of a version, by their names in the contract."""
     g, none = gazetteer(spark, sf_dir), F.lit(None).cast("string")
     subject, district = F.col("id_subject"), F.col("id_district")
     if version == 2:
@@ -39,52 +35,37 @@ def _records(spark: SparkSession, sf_dir: str, version: int) -> dict[str, DataFr
     if version == 3:
         street, facts = street.where("id_street % 2 = 0"), facts.where("id_street % 2 = 0")
     city_of = F.when(F.col("id_city") % 10 == 1, -5).otherwise(F.col("id_main_city")) if version == 2 else F.col("id_main_city")
-    flags = [F.lit(0)] * 6
+    words = [none.alias("lex_key1"), none.alias("lex_key2")]
+    postal = g.address_range.select("postal_code").distinct()
     return {
-        "FS": g.federal_subject.select(_line("id_subject", "subject_name", none, none)),
-        "DT": g.district.select(_line("id_district", subject, "district_name", none, none)),
-        "PC": g.address_range.select("postal_code").distinct().select(_line("postal_code", *flags)),
-        "MC": g.main_city.select(_line("id_main_city", F.col("id_district") % 5, district, "main_city_name", none, none)),
-        "CT": g.city.select(_line("id_city", city_of, "city_name", none, none)),
-        "SR": street.select(_line("id_street", "street_name", "qualifier", "lex_key1", none)),
-        "AR": facts.select(_line("id_address", "postal_code", "post_office_name", "id_subject", district, "id_main_city", "id_city", "id_street", "from_house_number", "to_house_number", none, none, none)),
-    }
-
-
-def _archive(spark: SparkSession, sf_dir: str, folder: Path, version: int) -> str:
-    """An archive on disk. Spark writes the lines of each table, the driver streams them into the ZIP file."""
-    path = folder / f"ADDRESS_2024010{version}030405.zip"
-    lines = {prefix: rows.toDF("value") for prefix, rows in _records(spark, sf_dir, version).items()}
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
-        for spec in SPECS:
-            written = folder / f"lines-{version}-{spec.prefix}"
-            lines[spec.prefix].write.text(f"file://{written}")
-            with z.open(f"{spec.prefix}_ALL_INS_2024010{version}030405.txt", "w", force_zip64=True) as to:
-                to.write(f"﻿{spec.header}\r\n".encode())
-                for part in sorted(written.glob("part-*")):
-                    with part.open("rb") as source:
-                        shutil.copyfileobj(source, to, 1 << 20)
-    return str(path)
-
-
-#: Least rows of the archives made here; version 2 has to have more districts than it has.
+        "federal_subject": g.federal_subject.select("id_subject", "subject_name", *words),
+        "district": g.district.select("id_district", subject.alias("id_subject"), "district_name", *words),
+        "postal_code": postal.select("postal_code", *(F.lit(0).alias(c) for c in SPECS[2].names[1:])),
+        "main_city": g.main_city.select("id_main_city", (F.col("id_district") % 5).alias("id_subject"), district.alias("id_district"), "main_city_name", *words),
+        "city": g.city.select("id_city", city_of.alias("id_main_city"), "city_name", *words),
+        "street": street.select("id_street", "street_name", "qualifier", "lex_key1", none.alias("lex_key2")),
+        "address_range": facts.withColumns({"id_district": district, "even_odd_indicator": none}),
+    }
+
+
+#: Least rows of the versions made here; version 2 has to have more districts than it has.
 _LEAST = dict.fromkeys([s.table for s in SPECS], 1)
 
 
 def _store(spark: SparkSession, sf_dir: str) -> tuple[Store, list[int]]:
+    """The store of a folder of tables. Its versions are imported as tables; archives are a matter of tests, where files can be made."""
     at = spark.sparkContext.applicationId, sf_dir
     if at not in _MADE:
-        folder = Path(shared_dir(spark).removeprefix("file://"))
-        (folder / "in").mkdir(parents=True)
-        store, ids = Store(spark, str(folder / "store")), []
+        root = shared_dir(spark).removeprefix("file://")
+        store, ids = Store(spark, root), []
         for version in (1, 2, 3):
-            path = _archive(spark, sf_dir, folder / "in", version)
+            name = f"ADDRESS_2024010{version}030405.zip"
             try:
-                ids.append(store.import_archive(path, activate=True, min_rows=_LEAST | ({"district": 1000} if version == 2 else {})))
+                ids.append(store.import_tables(_version(spark, sf_dir, version), name, hashlib.sha256(name.encode()).hexdigest(), activate=True, min_rows=_LEAST | ({"district": 1000} if version == 2 else {})))
             except ValueError:
                 ids.append(store.datasets()[0]["dataset_id"])
         store.activate(ids[0])
-        _MADE[at] = str(folder / "store"), ids
+        _MADE[at] = root, ids
     root, ids = _MADE[at]
     store = Store(spark, root)
     store.register_views()
@@ -102,10 +83,11 @@ def S9_active_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(" UNION ALL ".join(f"SELECT '{s.table}' AS table_name, count(*) AS n_rows FROM current_{s.table}" for s in SPECS))
 
 
-@query("SELECT CAST(1 AS BIGINT) AS dataset_id, 'ADDRESS_20240101030405.zip' AS source_filename, 'active' AS status, '2024-01-01T03:04:05+00:00' AS source_timestamp")
+@query("SELECT CAST(1 AS BIGINT) AS dataset_id, 'ADDRESS_20240101030405.zip' AS source_filename, 'active' AS status, '2024-01-01T03:04:05+00:00' AS source_timestamp, CAST(count(*) AS BIGINT) AS addresses, CAST((SELECT count(*) FROM part) AS BIGINT) AS streets FROM orders")
 def S9_active_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     _store(spark, sf_dir)
-    return spark.sql("SELECT dataset_id, source_filename, status, source_timestamp FROM active_dataset")
+    count = lambda table, name: f"CAST(get_json_object(row_counts, '$.{table}') AS BIGINT) AS {name}"
+    return spark.sql(f"SELECT dataset_id, source_filename, status, source_timestamp, {count('address_range', 'addresses')}, {count('street', 'streets')} FROM active_dataset")
 
 
 @query(f"SELECT CAST(p_partkey AS INTEGER) AS id_street, {s_cyrillic('p_name')} AS street_name, {s_norm(s_cyrillic('p_name'))} AS name_norm, p_type AS qualifier FROM part WHERE p_partkey % 2 = 0")
@@ -159,12 +141,10 @@ def V1_thresholds_and_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _m4() -> str:
-    g, parts = {"federal_subject": "region", "district": "nation", "main_city": "supplier", "city": "customer", "street": "part", "address_range": "orders"}, []
+    g, parts = {"federal_subject": "region", "district": "nation", "postal_code": "(SELECT DISTINCT lpad(CAST(o_custkey % 10 AS VARCHAR), 6, '0') AS code FROM orders)", "main_city": "supplier", "city": "customer", "street": "part", "address_range": "orders"}, []
     empty = {"lex_key1", "lex_key2", "post_office_name", "from_building_number", "to_building_number", "even_odd_indicator"}
-    keys = {"federal_subject": "r_regionkey", "district": "n_nationkey", "main_city": "s_suppkey", "city": "c_custkey", "street": "p_partkey", "address_range": "o_orderkey"}
+    keys = {"federal_subject": "r_regionkey", "district": "n_nationkey", "main_city": "s_suppkey", "city": "c_custkey", "street": "p_partkey", "address_range": "o_orderkey", "postal_code": "code"}
     for spec in SPECS:
-        if spec.table not in g:
-            continue
         for c in spec.names:
             null = c in empty and not (spec.table == "street" and c == "lex_key1")
             low, high = (f"CAST(min({keys[spec.table]}) AS VARCHAR)", f"CAST(max({keys[spec.table]}) AS VARCHAR)") if c == spec.key else ("NULL", "NULL")
@@ -178,17 +158,20 @@ def M4_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, ids = _store(spark, sf_dir)
     keys = F.create_map(*(F.lit(x) for s in SPECS for x in (s.table, s.key)))
     own = F.col("column_name") == F.element_at(keys, F.col("table_name"))
-    rows = store.statistics(ids[0]).where("table_name <> 'postal_code'")
+    rows = store.statistics(ids[0])
     return rows.select("table_name", "column_name", "n_rows", "nulls", F.when(own, F.col("low")).alias("key_low"), F.when(own, F.col("high")).alias("key_high"))
 
 
-@query("SELECT * FROM (VALUES ('ADDRESS_20240101030405.zip', TIMESTAMP '2024-01-01 03:04:05', 64, TRUE), ('ADDRESS_20240102030405.zip', TIMESTAMP '2024-01-02 03:04:05', 64, TRUE), ('ADDRESS_20240103030405.zip', TIMESTAMP '2024-01-03 03:04:05', 64, TRUE)) t(name, source_timestamp, digits, registered)")
+_AT = "TIMESTAMP '2001-02-03 04:05:06' + to_seconds(CAST(page_id * 7919 AS BIGINT))"
+
+
+@query(f"SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS length, sha256(coalesce(html, '')) AS sha256, CAST(epoch(date_trunc('second', {_AT})) AS BIGINT) AS seconds FROM pages")
 def S6_archive_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Checksum and time of each archive by columns, against those that the import registered (S1, S6, S7)."""
-    store, _ = _store(spark, sf_dir)
-    rows = archives(spark, f"file://{store.root.parent}/in").select(F.element_at(F.split("path", "/"), -1).alias("name"), "source_timestamp", "sha256")
-    told = store.registry().select(F.col("source_filename").alias("name"), "source_sha256")
-    return rows.join(told, "name", "left").select("name", F.col("source_timestamp").cast("timestamp_ntz").alias("source_timestamp"), F.length("sha256").alias("digits"), (F.col("sha256") == F.col("source_sha256")).alias("registered"))
+    """Checksum, length and time of a file for each page, whose name has a time (S6, S7)."""
+    when = F.date_format((F.lit(981_173_106) + F.col("page_id") * 7919).cast("timestamp"), "yyyyMMddHHmmss")
+    content = F.encode(F.coalesce("html", F.lit("")), "utf-8")
+    files = table(spark, sf_dir, "pages").select(F.concat(F.lit("in/"), F.col("page_id"), F.lit("/ADDRESS_"), when, F.lit(".zip")).alias("path"), F.octet_length(content).cast("long").alias("length"), content.alias("content"))
+    return checksums(files).select(F.split("path", "/")[1].cast("long").alias("page_id"), "length", "sha256", F.col("source_timestamp").cast("long").alias("seconds"))
 
 
 _NAME = "CASE WHEN o_orderkey % 3 = 0 THEN 'ADDRESS.zip' ELSE 'ADDRESS_' || {0} || '.zip' END"
@@ -213,7 +196,7 @@ _SCORE = s_house_score("p_brand", "CAST(p_size AS VARCHAR)", "CAST(p_size + 5 AS
 )
 def E1_sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E1 to E5 called by their names in SQL."""
-    _store(spark, sf_dir)
+    sql.register(spark)
     table(spark, sf_dir, "part").createOrReplaceTempView("__parts")
     return spark.sql(
         "SELECT p_partkey, norm_text(p_name) AS norm, ocr_norm_text(p_name) AS ocr, norm_house(p_brand) AS house, house_leading_number(CAST(p_size AS STRING)) AS number, "
@@ -222,17 +205,43 @@ def E1_sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _sql_search() -> str:
-    full = ORACLE_SQL["candidates_full"]
-    return f"SELECT id_address, postal_code, postcode_score_e4, city_score_e4, street_score_e4, house_score_e4, house_match, score_e4 FROM ({full})"
+_E4 = ("postcode_score", "city_score", "street_score", "house_score", "score")
+_SHOWN = "id_address, postal_code, subject_name, district_name, main_city_name, city_name, matched_city_name, street_name, street_qualifier, from_house_number, to_house_number, house_match"
 
 
-@query(_sql_search())
+@query(ORACLE_SQL["candidates_full"])
 def E8_sql_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The search as a table function over the active version."""
+    """The search as a table function over the active version, with what it shows of an address."""
     _store(spark, sf_dir)
-    e4 = ", ".join(f"CAST(round(CAST({c} AS DOUBLE) * 10000) AS BIGINT) AS {c}_e4" for c in ("postcode_score", "city_score", "street_score", "house_score", "score"))
-    return spark.sql(f"SELECT id_address, postal_code, {e4}, house_match FROM find_address_candidates('000003', 'ЦУСТОМЕР#000000003', 'СМАЛЛ РИНГГ', '4')")
+    e4 = ", ".join(f"CAST(round(CAST({c} AS DOUBLE) * 10000) AS BIGINT) AS {c}_e4" for c in _E4)
+    return spark.sql(f"SELECT {_SHOWN}, {e4} FROM find_address_candidates('000003', 'ЦУСТОМЕР#000000003', 'СМАЛЛ РИНГГ', '4')")
+
+
+# Index and bounds of the search ------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT p_partkey, CAST(round(sim::DOUBLE * 10000) AS BIGINT) AS sim_e4 FROM (SELECT p_partkey, {s_sim(s_grams(s_norm('p_name')), s_grams(chr(39) + 'RED WIDGIT' + chr(39)))} AS sim FROM part) WHERE sim >= CAST(0.3 AS FLOAT)")
+def K4_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All names like a value by an index written from the names, which the search itself does not read (P2, K4)."""
+    part = table(spark, sf_dir, "part")
+    path = shared_dir(spark)
+    name_index.write(name_index.names_of({"part": (part, "p_partkey", norm_text(F.col("p_name")), F.lit(None).cast("string"))}), path)
+    found = name_index.NameIndex(spark, path).near("part", "RED WIDGIT")
+    return found.select(F.col("id").alias("p_partkey"), F.round(F.col("sim").cast("double") * 10000).cast("long").alias("sim_e4"))
+
+
+def _store_search(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store, _ = _store(spark, sf_dir)
+        return _shown(candidates.find_address_candidates(store.gazetteer(), *SEARCHES[name]))
+
+    run.__doc__ = "The search over the active version, with the persisted index of its names and, without a postal code, tiers of names from the most alike downward (K1, P2)."
+    return run
+
+
+for _name in SEARCHES:
+    QUERIES[f"K1_store_{_name}"] = _store_search(_name)
+    ORACLE_SQL[f"K1_store_{_name}"] = ORACLE_SQL[_name]
 
 
 # Recognised text ---------------------------------------------------------------------------------------------------------------

@@ -6,10 +6,7 @@ import csv
 import hashlib
 import io
 import re
-import shutil
 import zipfile
-from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from pathlib import Path
@@ -19,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.textnorm import norm_text
+from . import archive_source
 
 
 class ContractError(ValueError):
@@ -86,10 +84,14 @@ def timestamp_column(name: Column) -> Column:
     return F.to_timestamp(F.nullif(F.regexp_extract(name, r"(20\d{12})", 1), F.lit("")), "yyyyMMddHHmmss")
 
 
+def checksums(files: DataFrame) -> DataFrame:
+    """(path, length, sha256, source_timestamp) of files (path, length, content)."""
+    return files.select("path", "length", F.sha2("content", 256).alias("sha256"), timestamp_column(F.element_at(F.split("path", "/"), -1)).alias("source_timestamp"))
+
+
 def archives(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, length, sha256, source_timestamp) of the archives of a folder, read as binary files."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", "ADDRESS_*.zip").load(folder)
-    return rows.select("path", "length", F.sha2("content", 256).alias("sha256"), timestamp_column(F.element_at(F.split("path", "/"), -1)).alias("source_timestamp"))
+    """checksums of the archives of a folder, read as binary files."""
+    return checksums(spark.read.format("binaryFile").option("pathGlobFilter", "ADDRESS_*.zip").load(folder))
 
 
 def members(archive: zipfile.ZipFile) -> dict[str, str]:
@@ -109,32 +111,17 @@ def members(archive: zipfile.ZipFile) -> dict[str, str]:
     return out
 
 
-@contextmanager
-def staged(path: str, folder: str) -> Iterator[dict[str, str]]:
-    """Table -> text file, laid out of the archive into a folder that executors can read."""
-    target = Path(folder)
-    target.mkdir(parents=True)
-    try:
-        with zipfile.ZipFile(path) as archive:
-            found, out = members(archive), {}
-            for spec in SPECS:
-                out[spec.table] = str(target / f"{spec.table}.txt")
-                with archive.open(found[spec.prefix]) as source, open(out[spec.table], "wb") as to:
-                    shutil.copyfileobj(source, to, 1 << 20)
-        yield out
-    finally:
-        shutil.rmtree(target, ignore_errors=True)
+def typed(rows: DataFrame, spec: Spec, dataset_id: int) -> DataFrame:
+    """Rows with the columns of a table, as texts or of their types, with declared types, the version, and the normal form of the name. Empty numbers are null, wrong ones an error."""
+    kept = [F.nullif(F.col(f.name).cast("string"), F.lit("")).cast(f.dataType).alias(f.name) if not isinstance(f.dataType, T.StringType) else F.col(f.name).cast("string").alias(f.name) for f in spec.schema]
+    out = rows.select(F.lit(dataset_id).cast("long").alias("dataset_id"), *kept)
+    return out.withColumn("name_norm", norm_text(F.col(spec.name))) if spec.name else out
 
 
 def read_table(spark: SparkSession, spec: Spec, path: str, dataset_id: int) -> DataFrame:
-    """A text file with its declared types, the version, and the normal form of the name.
+    """A table of an archive with its declared types, the version, and the normal form of the name.
 
     An unquoted empty field is null, a quoted one is an empty text; blank lines are skipped; a line that does not fit is an error.
     """
-    options = {"sep": ";", "quote": '"', "escape": '"', "header": True, "encoding": "UTF-8", "nullValue": "\x01N", "emptyValue": "", "mode": "FAILFAST", "enforceSchema": True}
-    # every field is read as text: empty numbers are null, wrong ones an error
-    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in spec.schema])
-    rows = spark.read.schema(texts).options(**options).csv(path)
-    kept = [F.col(f.name) if isinstance(f.dataType, T.StringType) else F.nullif(F.col(f.name), F.lit("")).cast(f.dataType).alias(f.name) for f in spec.schema]
-    out = rows.select(F.lit(dataset_id).cast("long").alias("dataset_id"), *kept)
-    return out.withColumn("name_norm", norm_text(F.col(spec.name))) if spec.name else out
+    archive_source.register(spark)
+    return typed(spark.read.format(archive_source.FORMAT).option("table", spec.table).load(path), spec, dataset_id)

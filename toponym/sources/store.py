@@ -11,19 +11,24 @@ import json
 import os
 import shutil
 import uuid
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from datetime import UTC, datetime
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sql
+from ..functions.textnorm import ocr_norm_text
 from ..operators.candidates import Gazetteer, NoActiveDataset
 from ..operators.validation import repeated_keys, validate
-from .snapshot import SPECS, read_table, sha256_of, staged, timestamp_of
+from . import name_index
+from .name_index import NameIndex
+from .snapshot import SPECS, Spec, members, read_table, sha256_of, timestamp_of, typed
 
 #: States whose versions count for retention.
 KEPT = ("active", "retired", "ready")
@@ -73,9 +78,18 @@ class Store:
         self._write(state)
 
     def import_archive(self, path: str, activate: bool = False, min_rows: dict[str, int] | None = None) -> int:
-        """Loads an archive as a new version and validates it; returns its id. The same file again is an error unless it failed before."""
-        digest = sha256_of(Path(path))
-        with self._locked(), staged(path, str(self.root / f"staging-{uuid.uuid4().hex}")) as files:
+        """Loads an archive as a new version and validates it; returns its id. The same file again is an error unless it failed before. Executors unpack the archive; nothing is staged."""
+        with zipfile.ZipFile(path) as archive:
+            members(archive)
+        read = lambda spec, dataset_id: read_table(self.spark, spec, str(Path(path).absolute()), dataset_id)
+        return self._import(read, Path(path).name, sha256_of(Path(path)), timestamp_of(Path(path).name), activate, min_rows)
+
+    def import_tables(self, tables: dict[str, DataFrame], name: str, digest: str, activate: bool = False, min_rows: dict[str, int] | None = None) -> int:
+        """Loads tables with the columns of the contract as a new version, like an archive of that name whose contents have the digest."""
+        return self._import(lambda spec, dataset_id: typed(tables[spec.table], spec, dataset_id), name, digest, timestamp_of(name), activate, min_rows)
+
+    def _import(self, read: Callable[[Spec, int], DataFrame], name: str, digest: str, when: datetime | None, activate: bool, min_rows: dict[str, int] | None) -> int:
+        with self._locked():
             state = self._read()
             same = [d for d in state["datasets"] if d["source_sha256"] == digest]
             if any(d["status"] != "failed" for d in same):
@@ -83,27 +97,21 @@ class Store:
             for d in same:
                 self._delete(d["dataset_id"])
             dataset_id = max((d["dataset_id"] for d in state["datasets"]), default=0) + 1
-            when = timestamp_of(Path(path).name)
             state["datasets"] = [d for d in state["datasets"] if d not in same]
-            state["datasets"].append({"dataset_id": dataset_id, "source_filename": Path(path).name, "source_sha256": digest, "source_timestamp": when and when.isoformat(), "status": "loading", "imported_at": datetime.now(UTC).isoformat()})
+            state["datasets"].append({"dataset_id": dataset_id, "source_filename": name, "source_sha256": digest, "source_timestamp": when and when.isoformat(), "status": "loading", "imported_at": datetime.now(UTC).isoformat()})
             self._write(state)
             try:
-                for spec in SPECS:
-                    rows = read_table(self.spark, spec, files[spec.table], dataset_id)
-                    # neighbours in the order of searches, so that a filter on the postal code skips row groups
-                    order = ["postal_code", spec.key] if spec.table == "address_range" else [spec.key]
-                    rows = rows.repartitionByRange(*order) if spec.table == "address_range" else rows
-                    rows.drop("dataset_id").sortWithinPartitions(*order).write.parquet(f"{self.root}/{spec.table}/dataset_id={dataset_id}")
+                with ThreadPoolExecutor(len(SPECS)) as pool:  # jobs of small tables fill the cores that the last tasks of large ones leave
+                    observed = dict(zip((s.table for s in SPECS), pool.map(lambda s: self._load(s, read(s, dataset_id), dataset_id), SPECS), strict=True))
                 tables = {spec.table: self.table(spec.table, dataset_id) for spec in SPECS}
-                checks = validate(tables, {spec.table: spec.prefix for spec in SPECS}, min_rows)
-                for spec in SPECS:
-                    if not repeated_keys(tables[spec.table], spec.key).isEmpty():
-                        checks["errors"].append(f"{spec.table} repeats keys")
+                checks = validate(tables, {spec.table: spec.prefix for spec in SPECS}, min_rows, {t: o["n"] for t, o in observed.items()})
+                repeated = reduce(DataFrame.unionByName, (repeated_keys(tables[s.table], s.key).limit(1).select(F.lit(s.table).alias("t")) for s in SPECS))
+                checks["errors"] += [f"{r['t']} repeats keys" for r in repeated.collect()]
                 checks["ok"] = not checks["errors"]
-                counts = {spec.table: checks[f"rows_{spec.prefix}"] for spec in SPECS}
-                self._update(dataset_id, status="ready" if checks["ok"] else "failed", validation=checks, row_counts=counts, error_text="; ".join(checks["errors"]) or None)
+                self._update(dataset_id, status="ready" if checks["ok"] else "failed", validation=checks, row_counts={t: o["n"] for t, o in observed.items()}, observed=observed, error_text="; ".join(checks["errors"]) or None)
                 if not checks["ok"]:
                     raise ValueError("validation failed: " + "; ".join(checks["errors"]))
+                self._index(dataset_id)
             except Exception as e:
                 self._update(dataset_id, status="failed", error_text=str(e)[:10_000])
                 raise
@@ -111,6 +119,26 @@ class Store:
                 self._activate(dataset_id)
         return dataset_id
 
+    def _load(self, spec: Spec, rows: DataFrame, dataset_id: int) -> dict:
+        """Writes a table of a version and returns what the write itself observed: rows, and nulls, lowest and highest value of each column, as texts."""
+        # neighbours in the order of searches, so that a filter on the postal code skips row groups
+        order = ["postal_code", spec.key] if spec.table == "address_range" else [spec.key]
+        rows = (rows.repartitionByRange(*order) if spec.table == "address_range" else rows).drop("dataset_id").sortWithinPartitions(*order)
+        seen = Observation()
+        each = [x for c in spec.names for x in (F.count_if(F.col(c).isNull()).alias(f"n_{c}"), F.min(c).cast("string").alias(f"a_{c}"), F.max(c).cast("string").alias(f"z_{c}"))]
+        writer = rows.observe(seen, F.count(F.lit(1)).alias("n"), *each).write
+        for key in ("id_street", "id_main_city", "id_city") if spec.table == "address_range" else ():
+            writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")  # a search by few ids skips row groups
+        writer.parquet(f"{self.root}/{spec.table}/dataset_id={dataset_id}")
+        told = seen.get
+        return {"n": told["n"], "columns": {c: [told[f"n_{c}"], told[f"a_{c}"], told[f"z_{c}"]] for c in spec.names}}
+
+    def _index(self, dataset_id: int) -> None:
+        """Builds the trigram index of the names that are searched."""
+        word = ocr_norm_text(F.col("lex_key1"))
+        named = {s.table: (self.table(s.table, dataset_id), s.key, F.col("name_norm"), word) for s in SPECS if s.table in ("main_city", "city", "street")}
+        name_index.write(name_index.names_of(named), f"{self.root}/name_index/{dataset_id}")
+
     def table(self, name: str, dataset_id: int) -> DataFrame:
         """A table of one version, by a literal filter that prunes partitions."""
         return self.spark.read.parquet(f"{self.root}/{name}").where(F.col("dataset_id") == dataset_id)
@@ -133,18 +161,19 @@ class Store:
         sql.register(self.spark)
 
     def statistics(self, dataset_id: int) -> DataFrame:
-        """(table_name, column_name, n_rows, nulls, low, high) of a version's tables, lowest and highest values as text: one pass over each table."""
-        parts = []
-        for spec in SPECS:
-            rows, names = self.table(spec.table, dataset_id), spec.names
-            one = rows.agg(F.count("*").alias("n"), *(x for c in names for x in (F.count_if(F.col(c).isNull()).alias(f"n_{c}"), F.min(c).cast("string").alias(f"a_{c}"), F.max(c).cast("string").alias(f"z_{c}"))))
-            each = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col("n").alias("n_rows"), F.col(f"n_{c}").alias("nulls"), F.col(f"a_{c}").alias("low"), F.col(f"z_{c}").alias("high")) for c in names))
-            parts.append(one.select(F.lit(spec.table).alias("table_name"), F.inline(each)))
-        return reduce(DataFrame.unionByName, parts)
+        """(table_name, column_name, n_rows, nulls, low, high) of a version's tables, lowest and highest values as text: what the import observed, without reading a table."""
+        observed = next((d for d in self._read()["datasets"] if d["dataset_id"] == dataset_id), {}).get("observed") or {}
+        rows = [(table, c, o["n"], *told) for table, o in observed.items() for c, told in o["columns"].items()]
+        return self.spark.createDataFrame(rows, "table_name string, column_name string, n_rows long, nulls long, low string, high string")
 
     def gazetteer(self) -> Gazetteer:
         names = ("federal_subject", "district", "main_city", "city", "street", "address_range")
-        return Gazetteer(*(self.current(n).drop("dataset_id") for n in names), dataset_id=self.active())
+        return Gazetteer(*(self.current(n).drop("dataset_id") for n in names), dataset_id=self.active(), index=self.index(self.active()))
+
+    def index(self, dataset_id: int) -> NameIndex | None:
+        """The trigram index of a version's names; versions of older imports have none."""
+        path = self.root / "name_index" / str(dataset_id)
+        return NameIndex(self.spark, str(path)) if path.exists() else None
 
     def _activate(self, dataset_id: int) -> None:
         state = self._read()
@@ -168,6 +197,7 @@ class Store:
     def _delete(self, dataset_id: int) -> None:
         for spec in SPECS:
             shutil.rmtree(self.root / spec.table / f"dataset_id={dataset_id}", ignore_errors=True)
+        shutil.rmtree(self.root / "name_index" / str(dataset_id), ignore_errors=True)
 
     def prune(self, keep: int = 2) -> list[int]:
         """Deletes the versions of `to_prune` and returns their ids."""
