@@ -48,8 +48,8 @@ REMEMBERED = 500_000
 #: Document frequencies are told apart up to this one. A token that so many documents of one slice hold is not counted further, so
 #: a token of a third of all documents does not gather in one task.
 HEAVY = 64
-#: Bits of the size of a set in the index; what is above counts clashes.
-SIZE_BITS = 24
+#: Bits of the size of a set that travels with its node; what is above counts clashes.
+SIZE_BITS = 32
 #: Text of one slice.
 SLICE = 8 << 20
 ROW = f"bucket int, slice long, kind int, {FIELDS}"
@@ -131,18 +131,14 @@ def _entries(doc: np.ndarray, place: np.ndarray, low: np.ndarray | None, what: n
 
 
 def _with_clashes(size: np.ndarray, doc: np.ndarray, token: np.ndarray) -> np.ndarray:
-    """Sizes with, above SIZE_BITS, how many tokens of each set may not be told from another one of it, as index tokens keep fewer bits."""
-    if size.max(initial=0) >> SIZE_BITS:
-        raise ValueError(f"a document has {size.max()} n-grams")
+    """Sizes with, above SIZE_BITS, how many tokens of each set may not be told from another one of it, as index tokens keep fewer bits. Both may be of any number."""
     # one sort finds the few that agree in half of their bits
     half = (doc.astype(np.uint64) << np.uint64(32)) | (token & np.uint64(0xFFFFFFFF))
     line = np.sort(half)
     may = np.isin(half, line[1:][line[1:] == line[:-1]])
     told = np.unique(np.stack([doc[may].astype(np.uint64), token[may]]), axis=1)[0].astype(np.int64)
     same = np.bincount(doc[may], minlength=len(size)) - np.bincount(told, minlength=len(size))
-    if same.max(initial=0) >> (31 - SIZE_BITS):
-        raise ValueError("too many tokens of a document have one hash")
-    return size | (same << SIZE_BITS).astype(np.int32)
+    return size.astype(np.int64) | (same.astype(np.int64) << SIZE_BITS)
 
 
 def _tokens(like: Likeness, buckets: int, groups: int):
@@ -177,8 +173,8 @@ def _tokens(like: Likeness, buckets: int, groups: int):
             found += [[b, number, 1, *_entries(doc[light[p]], np.zeros(len(p), np.int64), low[light[p]])] for b, p in _parts(bucket[light])]
             group = _group(number, groups)
             every = np.arange(len(nodes))
-            # the nodes travel as the hashes of entries, one for each document
-            found.append([group, number, 2, *_entries(every, none.repeat(len(nodes)), np.array(nodes, np.int64), _with_clashes(size, doc, token))])
+            # the nodes travel as the hashes of entries, one for each document, and their sizes after them
+            found.append([group, number, 2, *_entries(every, none.repeat(len(nodes)), np.concatenate([np.array(nodes, np.int64), _with_clashes(size, doc, token)]))])
             at = np.flatnonzero(is_heavy)
             if len(at):
                 found.append([group, number, 3, *_entries(doc[at], np.full(len(at), HEAVY), token[at])])
@@ -248,7 +244,7 @@ def _prefixes(like: Likeness):
         count = np.diff(np.append(first, len(doc)))
         place = np.arange(len(doc)) - np.repeat(first, count)
         # a token that stands for several of the set counts as shared, so that a prefix is never too short
-        n = (size[doc] & ((1 << SIZE_BITS) - 1)).astype(np.int64)
+        n = size[doc] & ((1 << SIZE_BITS) - 1)
         alone = np.maximum(n - (size[doc] >> SIZE_BITS) - np.repeat(count, count), 0)
         keep = place + alone < like.prefix(n)
         yield pa.record_batch([pa.array(token[keep].view(np.int64)), pa.array(nodes[doc[keep]]), pa.array(n[keep].astype(np.int32)), pa.array(alone[keep])], names=["token", "node", "n", "alone"])
@@ -261,7 +257,7 @@ def _prefixes(like: Likeness):
                     yield from settle(nodes, size, held)
                     now, held = row["slice"], []
                 if row["kind"] == 2:  # comes first
-                    nodes, size = np.frombuffer(row["hashes"], np.int64), np.frombuffer(row["ties"], np.int32)
+                    nodes, size = np.split(np.frombuffer(row["hashes"], np.int64), 2)
                     continue
                 doc, _, level = unpack(row)
                 if row["kind"] == 3:
