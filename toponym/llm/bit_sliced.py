@@ -138,7 +138,9 @@ def _search(k: int):
                     free[: len(ids)] = ids != item["id"]
                     at = choose(slices, np.packbits(free, bitorder="little").view(np.uint64), k)
                     bits = (slices[:, at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)
-                    score = (bits.astype(np.int64) << np.arange(len(slices))[:, None]).sum(axis=0) + offset
+                    # both parts may leave 64 bits though their sum does not: they are added modulo 2 ** 64
+                    low = bits[:64] << np.arange(min(64, len(slices)), dtype=np.uint64)[:, None]
+                    score = (low.sum(axis=0, dtype=np.uint64) + np.uint64(offset % (1 << 64))).view(np.int64)
                     for column, value in zip(out, ([item["id"]] * len(at), ids[at].tolist(), score.tolist()), strict=True):
                         column += value
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
