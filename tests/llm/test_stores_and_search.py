@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import math
 
 import numpy as np
 import public_tokenizers
@@ -113,6 +114,15 @@ def test_top_k(spark, monkeypatch):
     assert sorted(tuple(r)[:3] for r in bit_sliced.top_k(df.where("vec_id in (2006, 2008)"), F.col("vec_id") > 0).collect()) == [(2006, 1, 2008), (2008, 1, 2006)]
 
 
+def test_top_k_of_far_components(spark):
+    draw = np.random.default_rng(5).uniform(-2e6, 2e6, (50, 64))
+    rows = [(i, [float(x) for x in v], i) for i, v in enumerate(draw)]
+    whole = [[math.floor(256 * x) for x in v] for _, v, _ in rows]
+    every = [sorted(((-sum(a * b for a, b in zip(whole[q], w, strict=True)), i) for i, w in enumerate(whole) if i != q))[:5] for q in range(0, 50, 10)]
+    got = bit_sliced.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, q int"), F.col("vec_id") % 10 == 0).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(10 * n, i, -s) for n, best in enumerate(every) for s, i in best]
+
+
 def test_top_k_keeps_rows_that_repeat_an_id(spark):
     df = spark.createDataFrame([(50, [1.0]), (1, [0.5]), (1, [0.5]), (1, [0.25]), (2, [0.125])], "vec_id long, embedding array<float>")
     got = bit_sliced.top_k(df, F.col("vec_id") % 50 == 0).orderBy("rank").collect()

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -394,3 +395,19 @@ def test_secrets_without_digits_or_with_signs(spark):
     df = spark.createDataFrame([(i, t, "src0") for i, t in enumerate(texts + plain)], "doc_id long, text string, source string")
     clean = [r["text"] for r in secret_scan.redacted(df, forest).orderBy("doc_id").collect()]
     assert clean == [t.replace(x, "[SECRET]") for t, x in zip(texts, 2 * secrets, strict=True)] + plain
+
+
+def test_sample_keeps_every_language(spark):
+    rows = [(i, f"{'abcdefghij'[i % 10] * (1 + i % 7)} word of text", f"l{i % 500}") for i in range(5000)] + [(9000 + i, "long text " * 3000, "far") for i in range(3)] + [(None, None, "l1"), (1, "x", None), (2, "", "l2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    drawn = language_id.sample(df, per_language=4)
+    assert {lang for _, lang in drawn} == {*(f"l{i}" for i in range(500)), "far"} and max(len(t) for t, _ in drawn) == language_id.LONGEST
+    assert max(Counter(lang for _, lang in drawn).values()) <= 4 and sorted(drawn) == sorted(language_id.sample(df.repartition(5), per_language=4))
+    crf = language_id.fit(drawn[:200], words_per_language=1)
+    assert len(crf.labels) == len({lang for _, lang in drawn[:200]})
+
+
+def test_sizes_and_clashes_of_any_number():
+    size, tokens = np.array([3, 1000, 1 << 24], np.int32), np.concatenate([[5, 6, 7], np.full(1000, 9)]).astype(np.uint64)
+    found = ngram_jaccard._with_clashes(size, np.repeat([0, 1], [3, 1000]), tokens)
+    assert [(int(x) & 0xFFFFFFFF, int(x) >> ngram_jaccard.SIZE_BITS) for x in found] == [(3, 0), (1000, 999), (1 << 24, 0)]

@@ -5,7 +5,7 @@ learned transitions; forward-backward gives each word's posterior, so words of c
 document's language has the largest sum of posteriors, and its share is the score.
 
 The model is fitted on the driver from a bounded sample: about PER_LANGUAGE documents of each language, fewer where all would be more than SAMPLE, chosen by
-a hash of the key over the whole table, none longer than LONGEST characters, and of these WORDS words for each language. No label is left out; a column with more than
+a hash of key and text over the whole table, longer ones than LONGEST characters only where a language has too few others and by their first characters, and of these WORDS words for each language. No label is left out; a column with more than
 LABELS different values is no column of languages and raises an error. Sentences of different documents are put in a row to teach
 switching. Prediction reads whole texts in tasks, without a shuffle.
 
@@ -28,6 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import released, slices, small_batches
 
@@ -129,8 +130,9 @@ def forward_backward(scores: np.ndarray, starts: np.ndarray, transitions: np.nda
             m = active[t + 1]
             after = e[begin[:m] + t + 1] * beta[:m]
             if pairs:
-                joint = alpha[at[:m]][:, :, None] * a[None] * after[:, None, :]
-                counts += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+                # the sum of all sequences' pairs at once: no matrix for each
+                z = ((alpha[at[:m]] @ a) * after).sum(axis=1)
+                counts += a * (alpha[at[:m]].T @ (after / z[:, None]))
             back = after @ a.T
             beta[:m] = back / back.sum(axis=1, keepdims=True)
         x = alpha[at] * beta[:n]
@@ -159,7 +161,13 @@ def fit(rows: list[tuple[str, str]], seed: int = 7, words_per_language: int = WO
     labels = sorted({lang for _, lang in rows})
     sequences = _sequences(rows, seed)
     random.Random(seed).shuffle(sequences)
-    sequences = sequences[: max(1, words_per_language * len(labels) // SEQUENCE)]
+    limit = max(1, words_per_language * len(labels) // SEQUENCE)
+    sequences, beyond = sequences[:limit], sequences[limit:]
+    seen_labels = {lang for s in sequences for _, lang in s}
+    for s in beyond:  # at most one more for each label that has none yet
+        if new := {lang for _, lang in s} - seen_labels:
+            sequences.append(s)
+            seen_labels |= new
     by_lang: dict[str, Counter] = defaultdict(Counter)
     for s in sequences:
         for w, lang in s:
@@ -203,16 +211,25 @@ def fit(rows: list[tuple[str, str]], seed: int = 7, words_per_language: int = WO
 
 
 def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """The bounded training sample of labelled rows, at most 2 * SAMPLE of them. Runs two jobs."""
-    usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= LONGEST) & (F.length(text) > 0))
+    """The bounded training sample of labelled rows, at most SAMPLE of them but one for each label at least. Runs three jobs.
+
+    Of each label the rows with the smallest hashes are drawn; a text of more than LONGEST characters is drawn only where its label has too few shorter ones, and counts with its first LONGEST characters. That is for training; predictions read whole texts.
+    """
+    usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
     sizes = usable.groupBy(F.col(lang).alias("lang")).count().limit(LABELS + 1).collect()
     if len(sizes) > LABELS:
         raise ValueError(f"{lang} has more than {LABELS} values")
-    wanted = min(per_language, SAMPLE // max(1, len(sizes)))
-    chance = F.element_at(F.from_json(F.lit(json.dumps({r["lang"]: wanted / r["count"] for r in sizes})), "map<string,double>"), F.col(lang))
-    drawn = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) < chance * (1 << 30)
-    # the draw has about `wanted` rows for each language; twice as many is the limit
-    rows = usable.where(drawn).select(F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("order"), F.col(text).alias("text"), F.col(lang).alias("lang")).orderBy("order").limit(2 * wanted * max(1, len(sizes))).collect()
+    if not sizes:
+        return []
+    wanted = max(1, min(per_language, SAMPLE // len(sizes)))
+    # the length and a hash of key and text in one number: short ones come first
+    order = F.when(F.length(text) > LONGEST, F.lit(1 << 62)).otherwise(F.lit(0)) + F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string"), F.col(text)), 2)
+    keyed = usable.select(F.col(lang).alias("lang"), order.alias("order"), F.substring(text, 1, LONGEST).alias("text"))
+    first = keyed.select("lang", "order").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).where(F.col("n") <= wanted)
+    cuts = {r["lang"]: r["cut"] for r in first.groupBy("lang").agg(F.max("order").alias("cut")).collect()}  # a row for each label
+    cut = F.element_at(F.from_json(F.lit(json.dumps(cuts)), "map<string,bigint>"), F.col("lang"))
+    # rows that repeat key and text are one
+    rows = keyed.where(F.col("order") <= cut).dropDuplicates(["lang", "order"]).orderBy("order", "lang").limit(wanted * len(cuts)).collect()
     return [(r["text"], r["lang"]) for r in rows]
 
 
