@@ -57,3 +57,31 @@ def test_image_source(spark, tmp_path):
     status = lambda **k: {x["path"][-5:].split("/")[-1]: x["status"] for x in images.read_images(spark, str(tmp_path), **k).collect()}
     assert status() == {"a.png": 413, "b.bmp": 200, "c.jpg": 200, "d.txt": 415, "f.tif": 200}
     assert status(most_mb=1, most_pixels=10**9) == {"a.png": 200, "b.bmp": 200, "c.jpg": 200, "d.txt": 415, "f.tif": 413}
+
+
+def test_pixels_by_headers(spark):
+    jpeg = lambda *parts: b"\xff\xd8" + b"".join(parts)
+    frame = b"\xff\xc2\x00\x11\x08" + (300).to_bytes(2, "big") + (400).to_bytes(2, "big") + b"\x03" + b"\0" * 9
+    segment = b"\xff\xe1" + (1002).to_bytes(2, "big") + b"\xff\xc0" * 500
+    entry = lambda order, tag, kind, value: b"".join(x.to_bytes(n, order) for x, n in ((tag, 2), (kind, 2), (1, 4))) + (value.to_bytes(4, order) if kind == 4 else value.to_bytes(2, order) + b"\0\0")
+    tiff = lambda order, *entries: (b"II*\0" if order == "little" else b"MM\0*") + (12).to_bytes(4, order) + b"junk" + len(entries).to_bytes(2, order) + b"".join(entries)
+    bmp = lambda size, *n: b"BM" + b"\0" * 12 + size.to_bytes(4, "little") + b"".join(n) + b"\0" * 8
+    four = lambda n: n.to_bytes(4, "little", signed=True)
+    cases = [
+        (jpeg(segment, frame), 120_000), (jpeg(*[segment] * 300, frame), 120_000), (jpeg(b"\xff\xff\xff", frame[1:]), 120_000), (jpeg(b"\xff\xda\0\2", frame), None), (jpeg(segment), None), (jpeg(frame[:6]), None), (jpeg(b"\xff"), None),
+        (jpeg(b"\xff\xd0", b"\xff\xe0\0\0", frame), 120_000), (tiff("little", entry("little", 254, 4, 0), entry("little", 256, 3, 700), entry("little", 257, 4, 9000)), 6_300_000),
+        (tiff("big", entry("big", 256, 4, 70_000), entry("big", 257, 3, 80)), 5_600_000), (tiff("big", entry("big", 256, 3, 5)), None), (tiff("little")[:9], None), (tiff("little", entry("little", 256, 3, 5))[:20], None),
+        (bmp(40, four(7), four(-9)), 63), (bmp(12, (7).to_bytes(2, "little"), (9).to_bytes(2, "little")), 63), (b"\x89PNG\r\n\x1a\n" + b"\0" * 4, None), (b"", None), (None, None),
+    ]
+    df = spark.createDataFrame([(i, c and bytearray(c), len(c or b"")) for i, (c, _) in enumerate(cases)], "i int, content binary, length long")
+    got = df.select("i", images.pixels(F.col("content")).alias("n")).orderBy("i").collect()
+    assert [r["n"] for r in got] == [n for _, n in cases]
+    status = {r["i"]: r["status"] for r in images.checked(df.where("content is not null"), most_pixels=100_000).collect()}
+    assert status[0] == 413 and status[4] == 200 and status[13] == 200 and status[16] == 400
+
+
+def test_otsu_of_odd_images(spark):
+    rows = [(1, g) for g in [10] * 5 + [200] * 3] + [(2, 7)] * 4 + [(3, None)] + [(4, g) for g in range(256)] + [(5, 0), (5, 255), (5, None)]
+    pixels = spark.createDataFrame(rows, "image_id int, gray int")
+    assert {r["image_id"]: r["threshold"] for r in images.otsu_thresholds(pixels).collect()} == {1: 10, 2: 0, 3: 0, 4: 127, 5: 0}
+    assert {(r["gray"], r["white"]) for r in images.binarised(pixels).where("image_id in (1, 3)").collect()} == {(10, 0), (200, 255), (None, None)}

@@ -35,18 +35,92 @@ class RecognitionRequest:
             raise ValueError("lang has to have 2 to 64 characters")
 
 
-def _number(content: Column, first: int, size: int, little: bool = False) -> Column:
-    digits = F.hex(F.substring(content, first, size))
+def _number(content: Column, first: Column | int, size: int, little: bool = False) -> Column:
+    """The unsigned number in `size` bytes from the place `first`, counted from 1."""
+    digits = F.hex(F.substring(content, F.lit(first) if isinstance(first, int) else first.cast("int"), F.lit(size)))
     if little:
         digits = F.concat(*(F.substring(digits, 2 * k + 1, 2) for k in range(size - 1, -1, -1)))
     return F.conv(digits, 16, 10).cast("long")
 
 
+#: Segments of a JPEG file that are walked at first; a file with more is walked again to its end.
+SEGMENTS = 256
+#: JPEG markers without a length, markers of frames, and those after which no frame comes. (Fixed values.)
+_ALONE = (0x01, *range(0xD0, 0xD9))
+_FRAME = tuple(m for m in range(0xC0, 0xD0) if m not in (0xC4, 0xC8, 0xCC))
+_END = (0xD9, 0xDA)
+
+
+def _jpeg_pixels(content: Column) -> Column:
+    """Width times height of the first frame header, found by walking from segment to segment; null without one."""
+    length = F.octet_length(content)
+
+    def step(state: Column, _: Column) -> Column:
+        at, code = state["at"], _number(content, state["at"] + 1, 1)
+        to = lambda place, pixels, done: F.struct(place.cast("long").alias("at"), pixels.cast("long").alias("pixels"), done.alias("done"))
+        stop, go, none = F.lit(True), F.lit(False), F.lit(None)
+        frame = to(at, _number(content, at + 5, 2) * _number(content, at + 7, 2), stop)
+        walk = F.when((at + 3 > length) | (_number(content, at, 1) != 0xFF), to(at, none, stop)).when(code == 0xFF, to(at + 1, none, go)).when(code.isin(*_ALONE), to(at + 2, none, go))
+        walk = walk.when(code.isin(*_FRAME), F.when(at + 8 > length, to(at, none, stop)).otherwise(frame)).when(code.isin(*_END), to(at, none, stop))
+        return F.when(state["done"], state).otherwise(walk.otherwise(to(at + 2 + F.greatest(_number(content, at + 2, 2), F.lit(2)), none, go)))
+
+    start = F.struct(F.lit(3).cast("long").alias("at"), F.lit(None).cast("long").alias("pixels"), F.lit(False).alias("done"))
+    walked = lambda n: F.aggregate(F.sequence(F.lit(1), n), start, step)
+    short = walked(F.lit(SEGMENTS))
+    # each step goes on by a byte at least
+    return F.when(short["done"], short["pixels"]).otherwise(walked(F.greatest(length, F.lit(1)))["pixels"])
+
+
+def _tiff_pixels(content: Column, little: bool) -> Column:
+    """Width times height by the tags 256 and 257 of the first directory; null without them."""
+    at = _number(content, 5, 4, little) + 1
+    count = F.coalesce(_number(content, at, 2, little), F.lit(0))
+    entries = F.when((count > 0) & (at + 1 + 12 * count <= F.octet_length(content)), F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda i: at + 2 + 12 * i))
+    # a value of two bytes stands at the left of its field
+    value = lambda e: F.when(_number(content, e + 2, 2, little) == 3, _number(content, e + 8, 2, little)).otherwise(_number(content, e + 8, 4, little))
+    tag = lambda n: F.get(F.transform(F.filter(entries, lambda e: _number(content, e, 2, little) == n), value), F.lit(0))
+    return tag(256) * tag(257)
+
+
+def _bmp_pixels(content: Column) -> Column:
+    """Width times height; headers of 12 bytes have numbers of two bytes, later ones may have a negative height."""
+    short = _number(content, 15, 4, True) == 12
+    signed = lambda n: F.least(n, F.lit(1 << 32) - n)
+    return F.when(short, _number(content, 19, 2, True) * _number(content, 21, 2, True)).otherwise(signed(_number(content, 19, 4, True)) * signed(_number(content, 23, 4, True)))
+
+
 def pixels(content: Column) -> Column:
-    """Width times height by the header of a PNG or BMP file; null for other formats, whose size only a decoder knows."""
-    png = F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A"
-    bmp = F.substring(content, 1, 2) == F.lit(b"BM")
-    return F.when(png & (F.octet_length(content) >= 24), _number(content, 17, 4) * _number(content, 21, 4)).when(bmp & (F.octet_length(content) >= 26), _number(content, 19, 4, True) * _number(content, 23, 4, True))
+    """Width times height by the header of a JPEG, PNG, BMP or TIFF file; null where the header has none."""
+    first, length = F.hex(F.substring(content, 1, 8)), F.octet_length(content)
+    kinds = F.when(first.startswith("FFD8FF"), _jpeg_pixels(content)).when((first == "89504E470D0A1A0A") & (length >= 24), _number(content, 17, 4) * _number(content, 21, 4)).when(first.startswith("424D") & (length >= 26), _bmp_pixels(content))
+    return kinds.when(first.startswith("49492A00") & (length >= 8), _tiff_pixels(content, True)).when(first.startswith("4D4D002A") & (length >= 8), _tiff_pixels(content, False))
+
+
+def otsu_thresholds(pixels: DataFrame, key: str = "image_id", gray: str = "gray") -> DataFrame:
+    """(key, threshold) by Otsu's method from one row for each pixel, gray from 0 to 255: the level whose parting of the histogram has the largest variance between both sides, of level ones the lowest; 0 where one level is all.
+
+    Levels are counted in the tasks first, so that at most 256 rows of an image are shuffled by each; a fold over the 256 levels finds the best. Null pixels do not count; an image of null pixels only has 0.
+    """
+    counts = pixels.groupBy(key, gray).count()
+    of = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    level = F.when(F.col(gray).isNotNull(), F.struct(F.col(gray).cast("int").alias("k"), F.col("count").alias("n")))
+    image = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(level)).alias("bins"), of(F.when(F.col(gray).isNotNull(), F.col("count"))).alias("n"), of(F.col(gray).cast("long") * F.col("count")).alias("total"))
+    state = lambda w, s, best, at: F.struct(w.cast("long").alias("w"), s.cast("long").alias("s"), best.cast("double").alias("best"), at.cast("int").alias("at"))
+
+    def step(a: Column, k: Column) -> Column:
+        n = F.coalesce(F.try_element_at("bins", k), F.lit(0))
+        w, s = a["w"] + n, a["s"] + k * n
+        apart = s.cast("double") * F.col("n") - F.col("total").cast("double") * w
+        between = F.when((w > 0) & (w < F.col("n")), apart * apart / (w.cast("double") * (F.col("n") - w))).otherwise(F.lit(0.0))
+        return F.when(between > a["best"], state(w, s, between, k)).otherwise(state(w, s, a["best"], a["at"]))
+
+    found = F.aggregate(F.sequence(F.lit(0), F.lit(255)), state(F.lit(0), F.lit(0), F.lit(0.0), F.lit(0)), step)
+    return image.select(key, found["at"].alias("threshold"))
+
+
+def binarised(pixels: DataFrame, key: str = "image_id", gray: str = "gray") -> DataFrame:
+    """pixels with `white`: 255 above its image's threshold, else 0. Thresholds are one row for each image."""
+    return pixels.join(otsu_thresholds(pixels, key, gray), key, "left").withColumn("white", F.when(F.col(gray) > F.col("threshold"), 255).when(F.col(gray).isNotNull(), 0))
 
 
 def known_format(content: Column) -> Column:
@@ -56,10 +130,10 @@ def known_format(content: Column) -> Column:
 
 
 def checked(files: DataFrame, most_mb: int = MOST_MB, most_pixels: int = MOST_PIXELS) -> DataFrame:
-    """files (path, length, content and others) with `status`: 413 too large, 400 empty, 415 no image, 413 too many pixels, else 200."""
+    """files (path, length, content and others) with `status`: 413 too large, 400 empty, 415 no image, 413 too many pixels, else 200. A header without a size, which only a decoder can judge, is let through."""
     large = F.col("length") > most_mb * 1024 * 1024
-    status = F.when(large, 413).when(F.col("length") == 0, 400).when(~known_format(F.col("content")), 415).when(F.coalesce(pixels(F.col("content")) > most_pixels, F.lit(False)), 413).otherwise(200)
-    return files.withColumn("status", status.cast("int"))
+    status = F.when(large, 413).when(F.col("length") == 0, 400).when(~known_format(F.col("content")), 415).when(F.coalesce(F.col("__pixels") > most_pixels, F.lit(False)), 413).otherwise(200)
+    return files.withColumn("__pixels", F.when(~large, pixels(F.col("content")))).withColumn("status", status.cast("int")).drop("__pixels")
 
 
 def read_images(spark: SparkSession, path: str, most_mb: int = MOST_MB, most_pixels: int = MOST_PIXELS) -> DataFrame:

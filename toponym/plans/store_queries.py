@@ -282,18 +282,40 @@ def I7_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WIDE, _HIGH = "(1000 + page_id * 37 % 9000)", "(1000 + page_id * 91 % 9000)"
 
 
-@query(
-    f"SELECT page_id, CAST(CASE page_id % 5 WHEN 0 THEN CASE WHEN {_WIDE} * {_HIGH} > 40000000 THEN 413 ELSE 200 END WHEN 1 THEN 200 WHEN 2 THEN 400 WHEN 3 THEN 415 "
-    f"ELSE CASE WHEN {_WIDE} * {_HIGH} > 40000000 THEN 413 ELSE 200 END END AS INTEGER) AS status FROM pages"
-)
+@query(f"SELECT page_id, CAST(CASE WHEN page_id % 7 = 2 THEN 400 WHEN page_id % 7 = 3 THEN 415 WHEN {_WIDE} * {_HIGH} > 40000000 THEN 413 ELSE 200 END AS INTEGER) AS status FROM pages")
 def S10_image_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files with PNG, JPEG, no, other and BMP content."""
+    """Files with PNG, JPEG, no, other, BMP and TIFF content of both byte orders; a JPEG file's frame comes after a comment with the page's text."""
     wide, high = (F.lit(1000) + F.col("page_id") * k % 9000 for k in (37, 91))
-    big = lambda n: F.lpad(F.hex(n), 8, "0")
+    big = lambda n, size=8: F.lpad(F.hex(n), size, "0")
     little = lambda n: F.concat(*(F.substring(big(n), k, 2) for k in (7, 5, 3, 1)))
-    png = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(wide), big(high), F.lit("0802000000")))
-    bmp = F.unhex(F.concat(F.lit("424D"), F.lit("00" * 16), little(wide), little(high)))
-    kind = F.col("page_id") % 5
-    content = F.when(kind == 0, png).when(kind == 1, F.concat(F.unhex(F.lit("FFD8FFE0")), F.encode(F.coalesce("html", F.lit("")), "utf-8"))).when(kind == 2, F.lit(b"")).when(kind == 3, F.encode(F.concat(F.lit("x"), F.coalesce("html", F.lit(""))), "utf-8")).otherwise(bmp)
+    text = F.substring(F.hex(F.encode(F.coalesce("html", F.lit("")), "utf-8")), 1, 40_000)
+    comment = F.concat(F.lit("FFFE"), big((2 + F.length(text) / 2).cast("long"), 4), text)
+    kinds = [
+        F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(wide), big(high), F.lit("0802000000")),
+        F.concat(F.lit("FFD8FFE000104A46494600010100000100010000"), comment, F.lit("FFC4000400"), F.lit("FFFFC0001108"), big(high, 4), big(wide, 4), F.lit("03011100021101031101")),
+        F.lit(""),
+        F.concat(F.lit("78"), text),
+        F.concat(F.lit("424D" + "00" * 12 + "28000000"), little(wide), little(high)),
+        F.concat(F.lit("49492A0008000000" + "0300" + "FE00040001000000" + "00000000" + "0001040001000000"), little(wide), F.lit("0101040001000000"), little(high)),
+        F.concat(F.lit("4D4D002A"), big(F.lit(8)), F.lit("0002" + "0100000300000001"), big(wide, 4), F.lit("0000" + "0101000300000001"), big(high, 4), F.lit("0000")),
+    ]
+    content = F.unhex(F.get(F.array(*kinds), (F.col("page_id") % 7).cast("int")))
     files = table(spark, sf_dir, "pages").select("page_id", content.alias("content")).withColumn("length", F.octet_length("content").cast("long"))
     return images.checked(files).select("page_id", "status")
+
+
+_GRAY = "CAST(least(greatest(128 + floor(256 * x::DOUBLE), 0), 255) AS BIGINT)"
+
+
+@query(f"""
+WITH p AS (SELECT vec_id, {_GRAY} AS g FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings)),
+c AS (SELECT vec_id, g, count(*) AS k, sum(count(*)) OVER (PARTITION BY vec_id) AS n, sum(g * count(*)) OVER (PARTITION BY vec_id) AS total, sum(count(*)) OVER (PARTITION BY vec_id ORDER BY g) AS w, sum(g * count(*)) OVER (PARTITION BY vec_id ORDER BY g) AS s FROM p GROUP BY vec_id, g),
+d AS (SELECT vec_id, g, s::DOUBLE * n::DOUBLE - total::DOUBLE * w::DOUBLE AS apart, w::DOUBLE * (n - w)::DOUBLE AS both_sides FROM c WHERE w < n),
+t AS (SELECT vec_id, coalesce((SELECT g FROM d WHERE d.vec_id = e.vec_id ORDER BY apart * apart / both_sides DESC, g LIMIT 1), 0) AS threshold FROM embeddings e)
+SELECT t.vec_id, CAST(threshold AS INTEGER) AS threshold, CAST(count(*) FILTER (g > threshold) AS BIGINT) AS white FROM t JOIN p ON p.vec_id = t.vec_id GROUP BY t.vec_id, threshold
+""")
+def I3_otsu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Otsu's threshold of each embedding as an image of 8 x 8 pixels, and how many pixels become white."""
+    gray = F.least(F.greatest(F.lit(128) + F.floor(F.col("x").cast("double") * 256), F.lit(0)), F.lit(255)).cast("int")
+    pixels = table(spark, sf_dir, "embeddings").select("vec_id", F.explode("embedding").alias("x")).select("vec_id", gray.alias("gray"))
+    return images.binarised(pixels, "vec_id").groupBy("vec_id", "threshold").agg(F.count_if(F.col("white") == 255).alias("white"))
