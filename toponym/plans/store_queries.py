@@ -1,4 +1,4 @@
-"""Queries over the versioned store: archives made of the star-schema tables are imported, checked, activated and rolled back, and what the store then tells is a result.
+"""Queries over the versioned store: versions made of the star-schema tables are imported, checked, activated and rolled back, and what the store then tells is a result.
 
 The store of a session is made once for each folder of tables: version 1 holds all of them; version 2 breaks references and has too few districts, so it fails; version 3 has only every
 other street and the addresses on them; at the end version 1 is active again.
