@@ -1,5 +1,7 @@
+import math
 import random
 import struct
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +87,70 @@ def test_otsu_of_odd_images(spark):
     pixels = spark.createDataFrame(rows, "image_id int, gray int")
     assert {r["image_id"]: r["threshold"] for r in images.otsu_thresholds(pixels).collect()} == {1: 10, 2: 0, 3: 0, 4: 127, 5: 0}
     assert {(r["gray"], r["white"]) for r in images.binarised(pixels).where("image_id in (1, 3)").collect()} == {(10, 0), (200, 255), (None, None)}
+
+
+def _own_adaptive(image, block, darker):
+    """White or not by a double loop over whole neighbourhoods; None is a pixel without a value."""
+    half, weights = block // 2, images.gaussian_weights(block)
+    at = lambda y, x: 255 if image[y][x] is None else image[y][x]
+    inside = lambda k, n: min(max(k, 0), n - 1)
+    out = {}
+    for y, line in enumerate(image):
+        for x, g in enumerate(line):
+            total = sum(weights[half + i] * weights[half + j] * at(inside(y + i, len(image)), inside(x + j, len(line))) for i in range(-half, half + 1) for j in range(-half, half + 1))
+            out[y, x] = None if g is None else 255 if g > ((total + (1 << 31)) >> 32) - darker else 0
+    return out
+
+
+@pytest.mark.parametrize("block", [3, 7, 35])
+def test_adaptive_threshold(spark, block):
+    rnd = random.Random(block)
+    made = {1: [[rnd.choice((0, 40, 200, 255)) for _ in range(9)] for _ in range(6)], 2: [[rnd.randrange(256)]], 3: [[rnd.choice((None, 10, 240)) for _ in range(4)] for _ in range(11)], 4: [[90] * 40]}
+    rows = [(k, y, x, g) for k, image in made.items() for y, line in enumerate(image) for x, g in enumerate(line)]
+    pixels = spark.createDataFrame(rows, "image_id int, row int, col int, gray int")
+    got = {(r["image_id"], r["row"], r["col"]): r["white"] for r in images.adaptive(pixels, block=block, darker=5).collect()}
+    assert got == {(k, y, x): w for k, image in made.items() for (y, x), w in _own_adaptive(image, block, 5).items()}
+    assert images.adaptive(pixels.limit(0)).isEmpty() and sum(images.gaussian_weights(block)) == 65536
+
+
+def _own_angle(points):
+    """Smallest rectangle over all directions between two points that have all others on one side."""
+    best = None
+    for ax, ay in points:
+        for bx, by in points:
+            dx, dy = bx - ax, by - ay
+            if not (dx or dy) or any(dx * (y - ay) - dy * (x - ax) < 0 for x, y in points):
+                continue
+            along, across = [x * dx + y * dy for x, y in points], [y * dx - x * dy for x, y in points]
+            area = Fraction((max(along) - min(along)) * (max(across) - min(across)), dx * dx + dy * dy)
+            while not (dx > 0 and dy >= 0):
+                dx, dy = dy, -dx
+            best = min(best or (area, 91.0), (area, math.degrees(math.atan2(dy, dx)) or 90.0))
+    return best and best[1]
+
+
+def test_skew_angles(spark, monkeypatch):
+    monkeypatch.setattr(images, "BAND", 8)  # many bands
+    rnd = random.Random(3)
+    dark = {
+        1: {(x, y) for x in range(60) for y in range(60) if abs(10 * (y - 30) - (x - 30)) <= 60},  # about 6 degrees
+        2: {(x, y) for x in range(30) for y in range(5)},  # straight
+        3: {(x, y) for x in range(40) for y in range(40) if abs(y - 20 - (x - 20)) <= 3},  # 45 degrees
+        4: {(5, 5), (6, 7)},  # too few
+        5: {(x, 9) for x in range(120)}, 6: {(9, y) for y in range(120)},  # lines
+        8: {(x, y) for x in range(50) for y in range(50) if abs(8 * (y - 25) + (x - 25)) <= 50},  # the other way
+    }
+    dark |= {k: {(rnd.randrange(45), rnd.randrange(70)) for _ in range(150)} for k in range(10, 16)}
+    rows = [(k, y, x, 20) for k, p in dark.items() for x, y in p] + [(k, 300, 300, 250) for k in dark] + [(7, 1, 1, None), (9, None, 3, 20), (9, 1, 1, 250)]
+    rows += rows[:50]  # repeated rows count for the number only
+    pixels = spark.createDataFrame(rows, "image_id int, row int, col int, gray int")
+    got = {r["image_id"]: r["angle"] for r in images.skew_angles(pixels).collect()}
+    corners = {r["image_id"]: {(p["x"], p["y"]) for p in r["hull"]} for r in images.hulls(pixels.where("gray = 20")).collect()}
+    for k, points in dark.items():
+        assert corners[k] <= points
+        rect = _own_angle(sorted(corners[k]))
+        ends = {(f([x for x, b in points if b == y]), y) for y in {y for _, y in points} for f in (min, max)}
+        assert rect == _own_angle(sorted(ends))
+        assert got[k] == (round(-rect, 3) if len(points) >= 100 and 0.2 <= rect <= 15 else 0.0)
+    assert -6.5 < got[1] < -5 and got[2] == got[3] == got[4] == got[5] == got[6] == got[8] == got[7] == got[9] == 0.0
+    assert images.skew_angles(pixels.limit(0)).isEmpty()

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .recognised import MODES
@@ -123,6 +124,113 @@ def binarised(pixels: DataFrame, key: str = "image_id", gray: str = "gray") -> D
     return pixels.join(otsu_thresholds(pixels, key, gray), key, "left").withColumn("white", F.when(F.col(gray) > F.col("threshold"), 255).when(F.col(gray).isNotNull(), 0))
 
 
+#: Side of the neighbourhood and what a pixel may be darker than its mean by. (Fixed values.)
+BLOCK, DARKER = 35, 11
+
+
+def gaussian_weights(block: int = BLOCK) -> list[int]:
+    """Weights of the places -block // 2 .. block // 2 in 65536ths, whose sum is 65536; what rounding leaves goes to the middle."""
+    half = block // 2
+    sigma = 0.3 * (half - 1) + 0.8
+    bell = [math.exp(-d * d / (2 * sigma * sigma)) for d in range(-half, half + 1)]
+    out = [round(b / sum(bell) * 65536) for b in bell]
+    out[half] += 65536 - sum(out)
+    return out
+
+
+def adaptive(pixels: DataFrame, key: str = "image_id", row: str = "row", col: str = "col", gray: str = "gray", block: int = BLOCK, darker: int = DARKER) -> DataFrame:
+    """pixels with `white`: 255 where gray is above the weighted mean of its neighbourhood less `darker`, else 0.
+
+    One row for each pixel. The weights are a product, so lines of an image are summed along rows and then along columns: each task sorts some lines of some images, and a large image is many tasks' work.
+    Beyond the border its last pixel goes on. Sums are whole numbers, means are rounded half up. Null pixels count as 255 for their neighbours and have no `white`; a line's pixels count as neighbours in the order
+    of their places, so a missing pixel closes up; pixels that repeat a place are neighbours in no set order. Rows without an image are an image.
+    """
+    half, weights = block // 2, gaussian_weights(block)
+
+    def along(c: Column, line: str, place: str) -> Column:
+        w = Window.partitionBy(key, line).orderBy(place)
+        every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        first, last = F.first(c).over(every), F.last(c).over(every)
+        total = c * weights[half]
+        for d in range(1, half + 1):
+            total = total + (F.coalesce(F.lag(c, d).over(w), first) + F.coalesce(F.lead(c, d).over(w), last)) * weights[half + d]
+        return total
+
+    rows = pixels.withColumn("__rows", along(F.coalesce(F.col(gray).cast("long"), F.lit(255).cast("long")), row, col))
+    rows = rows.withColumn("__both", along(F.col("__rows"), col, row))
+    mean = F.shiftright(F.col("__both") + (1 << 31), 32)
+    return rows.withColumn("white", F.when(F.col(gray) > mean - darker, 255).when(F.col(gray).isNotNull(), 0)).drop("__rows", "__both")
+
+
+#: Dark pixels that an estimate needs, and degrees between which an image is turned. (Fixed values.)
+FEWEST, LEAST_ANGLE, MOST_ANGLE = 100, 0.2, 15.0
+#: Rows of an image whose hull is found by itself.
+BAND = 256
+_CHAIN = "array<struct<x:bigint,y:bigint>>"
+
+
+def _chain(points: Column, side: int) -> Column:
+    """The convex chain at the left (side -1) or right (1) of points in the order of y: of the points so far, those stay that the new one leaves on the outer side."""
+
+    def outer(before: Column, b: Column, p: Column) -> Column:
+        return ((b["x"] - before["x"]) * (p["y"] - before["y"]) - (b["y"] - before["y"]) * (p["x"] - before["x"])) * side > 0
+
+    def step(chain: Column, p: Column) -> Column:
+        # along a convex chain the turn towards p changes its sign once, so testing all of it is the same as taking away from its end
+        return F.concat(F.filter(chain, lambda b, i: (i == 0) | outer(F.get(chain, i - 1), b, p)), F.array(p))
+
+    return F.aggregate(points, F.array().cast(_CHAIN), step)
+
+
+def hulls(points: DataFrame, key: str = "image_id", row: str = "row", col: str = "col") -> DataFrame:
+    """(key, n, hull): how many points an image has, and the corners of their convex hull around it, array<struct<x, y>>.
+
+    Of each row of an image only its first and last point can be corners, so tasks send two numbers for each. Bands of BAND rows have hulls of their own, and an image's hull is the hull of those: no row of
+    the plan holds an image's points. Points without a place do not count.
+    """
+    placed = points.where(F.col(row).isNotNull() & F.col(col).isNotNull())
+    ends = placed.groupBy(key, F.col(row).cast("long").alias("y")).agg(F.min(col).cast("long").alias("lo"), F.max(col).cast("long").alias("hi"), F.count("*").alias("n"))
+    point = lambda x: F.struct(F.col(x).alias("x"), F.col("y"))
+    own = ends.groupBy(key, F.floor(F.col("y") / BAND).alias("band")).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("y", point("lo").alias("lo"), point("hi").alias("hi")))).alias("ends"))
+    bands = own.select(key, "band", "n", _chain(F.col("ends.lo"), -1).alias("left"), _chain(F.col("ends.hi"), 1).alias("right"))
+    image = bands.groupBy(key).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("band", "left", "right"))).alias("bands"))
+    sides = image.select(key, "n", _chain(F.flatten("bands.left"), -1).alias("left"), _chain(F.flatten("bands.right"), 1).alias("right"))
+    return sides.select(key, "n", F.array_distinct(F.concat("left", F.reverse("right"))).alias("hull"))
+
+
+def skew_angles(pixels: DataFrame, key: str = "image_id", row: str = "row", col: str = "col", gray: str = "gray") -> DataFrame:
+    """(key, n_dark, angle) for each image: the degrees by which it is to be turned, 0.0 for an image that stays as it is.
+
+    Dark pixels are those not above the image's threshold. The smallest rectangle around them lies along an edge of their hull; of equal ones that with the smallest angle counts, from above 0 to 90 degrees, and the
+    image is turned back by it if it is one of LEAST_ANGLE to MOST_ANGLE degrees. Images of fewer than FEWEST dark pixels, or whose dark pixels are all in one place, stay. Null pixels are not dark.
+    """
+    dark = binarised(pixels, key, gray).where("white = 0")
+    found = hulls(dark, key, row, col)
+    size = F.size("hull")
+
+    def edge(a: Column, i: Column) -> Column:
+        b = F.get("hull", (i + 1) % size)
+        return F.struct((b["x"] - a["x"]).alias("dx"), (b["y"] - a["y"]).alias("dy"))
+
+    def span(dx: Column, dy: Column) -> Column:
+        along = F.transform("hull", lambda p: p["x"] * dx + p["y"] * dy)
+        return F.array_max(along) - F.array_min(along)
+
+    def rectangle(e: Column) -> Column:
+        dx, dy = e["dx"], e["dy"]
+        area = span(dx, dy).cast("double") * span(-dy, dx) / (dx * dx + dy * dy)
+        # by quarter turns into the first quadrant, where a straight one has 90 degrees
+        u = F.when((dx > 0) & (dy >= 0), dx).when((dx <= 0) & (dy > 0), dy).when((dx < 0) & (dy <= 0), -dx).otherwise(-dy)
+        v = F.when((dx > 0) & (dy >= 0), dy).when((dx <= 0) & (dy > 0), -dx).when((dx < 0) & (dy <= 0), -dy).otherwise(dx)
+        return F.struct(area.alias("area"), F.when(v == 0, 90.0).otherwise(F.degrees(F.atan2(v.cast("double"), u.cast("double")))).alias("angle"))
+
+    edges = found.select(key, "n", "hull", F.filter(F.transform("hull", edge), lambda e: (e["dx"] != 0) | (e["dy"] != 0)).alias("edges"))
+    least = edges.select(key, "n", F.array_min(F.transform("edges", rectangle))["angle"].alias("rect"))
+    turn = F.when((F.col("n") >= FEWEST) & F.col("rect").between(LEAST_ANGLE, MOST_ANGLE), F.round(-F.col("rect"), 3)).otherwise(F.lit(0.0))
+    every = pixels.select(key).distinct()
+    return every.join(least.withColumn("angle", turn), key, "left").select(key, F.coalesce("n", F.lit(0)).cast("long").alias("n_dark"), F.coalesce("angle", F.lit(0.0)).alias("angle"))
+
+
 def known_format(content: Column) -> Column:
     """Whether the first bytes are those of a JPEG, PNG, BMP or TIFF file."""
     first = F.hex(F.substring(content, 1, 8))

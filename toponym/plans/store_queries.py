@@ -319,3 +319,52 @@ def I3_otsu(spark: SparkSession, sf_dir: str) -> DataFrame:
     gray = F.least(F.greatest(F.lit(128) + F.floor(F.col("x").cast("double") * 256), F.lit(0)), F.lit(255)).cast("int")
     pixels = table(spark, sf_dir, "embeddings").select("vec_id", F.explode("embedding").alias("x")).select("vec_id", gray.alias("gray"))
     return images.binarised(pixels, "vec_id").groupBy("vec_id", "threshold").agg(F.count_if(F.col("white") == 255).alias("white"))
+
+
+_WEIGHTS = ", ".join(f"({d - images.BLOCK // 2}, {w})" for d, w in enumerate(images.gaussian_weights()))
+_ROUND = "CAST(({0} + 2147483648) // 4294967296 AS BIGINT)"
+
+
+@query(f"""
+WITH w(d, weight) AS (VALUES {_WEIGHTS}),
+p AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, {_GRAY} AS g FROM (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding) AS x FROM embeddings)),
+h AS (SELECT p.vec_id, p.y, p.x, p.g, sum(CAST(weight AS BIGINT) * q.g) AS s FROM p CROSS JOIN w JOIN p q ON q.vec_id = p.vec_id AND q.y = p.y AND q.x = least(greatest(p.x + d, 0), 7) GROUP BY ALL),
+v AS (SELECT h.vec_id, h.y, h.x, h.g, CAST(sum(weight * q.s) AS BIGINT) AS s FROM h CROSS JOIN w JOIN h q ON q.vec_id = h.vec_id AND q.x = h.x AND q.y = least(greatest(h.y + d, 0), 7) GROUP BY ALL)
+SELECT vec_id, CAST(count(*) FILTER (white) AS BIGINT) AS white, CAST(coalesce(sum((y * 8 + x + 1) * (y * 8 + x + 1)) FILTER (white), 0) AS BIGINT) AS places
+FROM (SELECT *, g > {_ROUND.format('s')} - {images.DARKER} AS white FROM v) GROUP BY vec_id
+""")
+def I3_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The adaptive threshold on each embedding as an image of 8 x 8 pixels: how many pixels become white, and which (their squared places)."""
+    gray = F.least(F.greatest(F.lit(128) + F.floor(F.col("x").cast("double") * 256), F.lit(0)), F.lit(255)).cast("int")
+    pixels = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", F.floor(F.col("i") / 8).alias("row"), (F.col("i") % 8).alias("col"), gray.alias("gray"))
+    place, white = F.col("row") * 8 + F.col("col") + 1, F.col("white") == 255
+    return images.adaptive(pixels, "vec_id").groupBy("vec_id").agg(F.count_if(white).alias("white"), F.coalesce(F.sum(F.when(white, place * place)), F.lit(0)).cast("long").alias("places"))
+
+
+@query(f"""
+WITH p AS (SELECT vec_id // 16 AS image_id, (vec_id % 16) // 4 * 8 + i // 8 AS y, vec_id % 4 * 8 + i % 8 AS x, {_GRAY} // 2 AS g0 FROM (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding) AS x FROM embeddings)),
+g AS (SELECT image_id, y, x, CASE WHEN abs(16 * (y - 16) - (image_id % 13 - 4) * (x - 16)) <= 60 + image_id % 5 * 20 THEN g0 ELSE 255 END AS g FROM p),
+c AS (SELECT image_id, g, count(*) AS k, sum(count(*)) OVER (PARTITION BY image_id) AS n, sum(g * count(*)) OVER (PARTITION BY image_id) AS total, sum(count(*)) OVER (PARTITION BY image_id ORDER BY g) AS w, sum(g * count(*)) OVER (PARTITION BY image_id ORDER BY g) AS s FROM g GROUP BY image_id, g),
+d AS (SELECT image_id, g, s::DOUBLE * n::DOUBLE - total::DOUBLE * w::DOUBLE AS apart, w::DOUBLE * (n - w)::DOUBLE AS both_sides FROM c WHERE w < n),
+t AS (SELECT image_id, coalesce(arg_min(g, {{'a': -(apart * apart / both_sides), 'g': g}}), 0) AS threshold FROM d GROUP BY image_id),
+dark AS (SELECT g.image_id, y, x FROM g LEFT JOIN t ON t.image_id = g.image_id WHERE g <= coalesce(threshold, 0)),
+n AS (SELECT image_id, count(*) AS n_dark FROM dark GROUP BY image_id),
+ends AS (SELECT image_id, y, unnest([min(x), max(x)]) AS x FROM dark GROUP BY image_id, y),
+pts AS (SELECT DISTINCT * FROM ends),
+lines AS (SELECT a.image_id, b.x - a.x AS dx, b.y - a.y AS dy, min((b.x - a.x) * (r.y - a.y) - (b.y - a.y) * (r.x - a.x)) AS inner_least,
+  (max((b.x - a.x) * r.x + (b.y - a.y) * r.y) - min((b.x - a.x) * r.x + (b.y - a.y) * r.y))::DOUBLE * (max((b.x - a.x) * r.y - (b.y - a.y) * r.x) - min((b.x - a.x) * r.y - (b.y - a.y) * r.x))::DOUBLE AS sides
+  FROM pts a JOIN pts b ON b.image_id = a.image_id AND (b.x <> a.x OR b.y <> a.y) JOIN pts r ON r.image_id = a.image_id GROUP BY a.image_id, a.x, a.y, b.x, b.y),
+rects AS (SELECT image_id, sides / (dx * dx + dy * dy)::DOUBLE AS area, CASE WHEN dx = 0 OR dy = 0 THEN 90.0::DOUBLE WHEN dx > 0 AND dy > 0 THEN degrees(atan2(dy, dx)) WHEN dx < 0 AND dy > 0 THEN degrees(atan2(-dx, dy)) WHEN dx < 0 THEN degrees(atan2(-dy, -dx)) ELSE degrees(atan2(dx, -dy)) END AS angle FROM lines WHERE inner_least >= 0),
+best AS (SELECT image_id, arg_min(angle, {{'a': area, 'g': angle}}) AS rect FROM rects GROUP BY image_id)
+SELECT i.image_id, CAST(coalesce(n_dark, 0) AS BIGINT) AS n_dark, CAST(CASE WHEN n_dark >= {images.FEWEST} AND rect BETWEEN {images.LEAST_ANGLE} AND {images.MOST_ANGLE} THEN round(-rect * 1000) ELSE 0 END AS BIGINT) AS angle_e3
+FROM (SELECT DISTINCT image_id FROM g) i LEFT JOIN n ON n.image_id = i.image_id LEFT JOIN best ON best.image_id = i.image_id
+""")
+def I2_skew_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The angle to turn images by: 16 embeddings each are an image of 32 x 32 pixels with a tilted band of ink on white."""
+    level = F.least(F.greatest(F.lit(128) + F.floor(F.col("v").cast("double") * 256), F.lit(0)), F.lit(255)).cast("int")
+    image, tile = F.floor(F.col("vec_id") / 16), F.col("vec_id") % 16
+    cells = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    cells = cells.select(image.alias("image_id"), (F.floor(tile / 4) * 8 + F.floor(F.col("i") / 8)).alias("row"), (tile % 4 * 8 + F.col("i") % 8).alias("col"), F.floor(level / 2).alias("ink"))
+    inside = F.abs(16 * (F.col("row") - 16) - (F.col("image_id") % 13 - 4) * (F.col("col") - 16)) <= 60 + F.col("image_id") % 5 * 20
+    found = images.skew_angles(cells.select("image_id", "row", "col", F.when(inside, F.col("ink")).otherwise(255).cast("int").alias("gray")))
+    return found.select("image_id", "n_dark", F.round(F.col("angle") * 1000).cast("long").alias("angle_e3"))
