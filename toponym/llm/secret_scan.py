@@ -1,13 +1,13 @@
 """Secret scan: candidates by a pattern, false positives removed by a random forest. DataFrame functions only.
 
 Candidates are runs of at least LEAST letters, digits and signs that keys are written with; a value assigned to a word that speaks
-for a secret may hold other signs of passwords too (SIGNS); a private key with its marks, a signed token of three parts and a password in an address are one candidate each.
+for a secret may hold other signs of passwords too (SIGNS) and have 6 characters at least; a private key with its marks, a signed token of three parts and a password in an address are one candidate each.
 Whether one is a secret, with or without a digit, is left to the forest. Features are length, character
 transitions, dictionary coverage, path, neighbouring words, and the beginnings of public key formats. The forest is trained by Spark ML on labelled findings
 (before, candidate, after, path, label), on at most MOST of them, and applied as a nested CASE expression, so scanning is one projection without a shuffle.
 
-`labelled_findings` makes the standard training rows from templates and a seed: BOTH rows of either label, and a third as many of values without a digit, with signs, or of the
-formats above. A table of reviewed findings with the same columns can take their place.
+`labelled_findings` makes the standard training rows from templates and a seed: BOTH rows of either label, a third as many of values without a digit, with signs, or of the
+formats above, and half as many of short values and words after such words. A table of reviewed findings with the same columns can take their place.
 
 Null text has no candidates and stays null; a null path counts as empty. A text is cut and put together again by the same pattern,
 so all else of it is kept as it is. Equal secrets of a text are findings of their own, in order of place. Repeated rows are scanned each by itself. An empty
@@ -29,7 +29,7 @@ KEY = r"[A-Za-z0-9+/_\-]{12,}(?:={1,2}(?![A-Za-z0-9=]))?"
 SIGNS = r".$!@#%^&*~?"
 #: Characters before and after a candidate that are looked at.
 BEFORE, AFTER = 40, 12
-TREES, DEPTH, SEED = 15, 5, 5
+TREES, DEPTH, SEED = 15, 7, 5
 #: Training rows of each label that are made, and rows that the forest is trained on at most, chosen by a hash.
 BOTH = 600
 MOST = 100_000
@@ -50,11 +50,17 @@ AGAINST = r"sha-?\d*|md5|commit|checksum|digest|etag|uuid|guid|isbn|issn|card|ph
 ASSIGNED = rf"(?<=(?i:{FOR})[A-Za-z_]{{0,8}}[\"']?[ ]{{0,2}}(?::=|=>|[=:])[ ]{{0,2}}[\"'`]?)"
 #: The cheap tests of a place come first, as looking back is dear.
 SIGNED = rf"(?<![A-Za-z0-9+/_\-{SIGNS}])(?=[A-Za-z0-9+/_\-{SIGNS}]{{12}})(?=[A-Za-z0-9+/_\-]*[{SIGNS}]){ASSIGNED}"
+#: A value of 6 to 11 characters with or without signs, where it is assigned to such a word.
+SHORT = (
+    rf"(?<=[=:>\"'` ])(?<=[=:>][ ]{{0,2}}[\"'`]?)(?=[A-Za-z0-9+/_\-{SIGNS}]{{6}}){ASSIGNED}"
+    rf"[A-Za-z0-9+/_\-{SIGNS}]{{5,10}}[A-Za-z0-9+/_\-$!@#%^&*~](?![.?]?[A-Za-z0-9+/_\-$!@#%^&*~])"
+)
 #: A private key from its first to its last mark, a signed token, and the password of an address (before its host).
-PEM = r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY-----[^\-]++-----END [A-Z0-9 ]{0,30}PRIVATE KEY-----"
+#: The headers of an encrypted key have single hyphens.
+PEM = r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY-----[^\-]++(?:-{1,4}[^\-]++){0,40}-----END [A-Z0-9 ]{0,30}PRIVATE KEY-----"
 SIGNED_TOKEN = r"(?<![A-Za-z0-9+/_\-])eyJ[A-Za-z0-9_\-]{5,}\.[A-Za-z0-9_\-]{5,}\.[A-Za-z0-9_\-]{5,}"
-IN_ADDRESS = r"(?<=:)(?!//)(?<=://[^\s:/@]{1,64}:)[^\s:/@]{6,}(?=@)"
-CANDIDATE = rf"{PEM}|{SIGNED_TOKEN}|{IN_ADDRESS}|{SIGNED}[A-Za-z0-9+/_\-{SIGNS}]{{11,}}[A-Za-z0-9+/_\-$!@#%^&*~]|{KEY}"
+IN_ADDRESS = r"(?<=:)(?!//)(?<=://[^\s:/@]{0,64}:)[^\s:/@]{3,}(?=@)"
+CANDIDATE = rf"{PEM}|{SIGNED_TOKEN}|{IN_ADDRESS}|{SIGNED}[A-Za-z0-9+/_\-{SIGNS}]{{11,}}[A-Za-z0-9+/_\-$!@#%^&*~]|{SHORT}|{KEY}"
 #: How keys of public formats begin. (Fixed values.)
 KNOWN = r"^(?:gh[pousr]_|github_pat_|glpat-|npm_|[sr]k_live_|sk-|AKIA|ASIA|AIza|xox[abprs]-|eyJ[A-Za-z0-9_\-]+\.|-----BEGIN )"
 #: Parts of a path that speak for placeholders, and for settings. (Fixed values.)
@@ -176,6 +182,34 @@ def labelled_findings(spark: SparkSession, both: int = BOTH, seed: int = SEED) -
     for n in range(both // 6):
         value = rnd.choice(("sk-", "npm_", "sk_live_", "ghp_")) + rnd.choice("-_").join(rnd.choice(DICTIONARY) for _ in range(3))
         rows.append((prose(), value, " " + word(), rnd.choice(paths), 0.0))
+    # short values and what else stands after such words, short passwords of addresses, encrypted keys, tokens of chat services; drawn last too
+    for n in range(both // 2):
+        before, after = prose() + assign(keys[:-2]).rstrip(" ") + rnd.choice(("", "\"", "'")), rnd.choice(("\"", "'", "", "\n", "\";", ";", ".")) + " " + word()
+        kind, value = n % 6, ""
+        if kind in (3, 4):  # wherever they stand
+            before = prose() + (assign(keys) if rnd.random() < 0.4 else rnd.choice(("", "uses ", "key ", "\"", "Bearer ")))
+        if kind == 0:  # as people choose them
+            value = (odd_case(word())[:7] + draw("0123456789", rnd.randint(1, 4)) + draw(signs[:-2], rnd.randint(0, 1)) + draw(letters, rnd.randint(0, 2)))[:11]
+            value += draw("0123456789", max(0, 6 - len(value)))
+        elif kind == 1:
+            while not any(x in alnum[52:] + signs for x in value):
+                value = draw(alnum + 2 * signs, rnd.randint(5, 10)) + draw(alnum, 1)
+        elif kind == 2:
+            before, value = prose() + rnd.choice(("postgres", "https", "redis", "amqp", "mysql", "ftp", "mongodb")) + "://" + rnd.choice(("", "root", "admin", word())) + ":", rnd.choice((draw(alnum, rnd.randint(4, 10)), word()[:6] + draw("0123456789", 2), word()))
+            after = "@" + rnd.choice(("db", "localhost", "10.0.0.5", word(), word() + ".example.com"))
+        elif kind == 3:
+            value = "xox" + rnd.choice("abp") + "-" + "-".join(draw("0123456789", rnd.randint(10, 13)) for _ in range(rnd.randint(1, 2))) + "-" + draw(alnum, rnd.randint(12, 32))
+        elif kind == 5:
+            value = draw(rnd.choice((letters, letters[26:], letters[26:])), rnd.randint(8, 24))
+        else:
+            head = f"Proc-Type: 4,ENCRYPTED\nDEK-Info: {rnd.choice(('AES-128-CBC', 'DES-EDE3-CBC', 'AES-256-CBC'))},{draw(hexes, 32).upper()}\n\n"
+            value = "-----BEGIN RSA PRIVATE KEY-----\n" + head + "\n".join(draw(alnum + "+/", 64) for _ in range(rnd.randint(2, 12))) + "\n-----END RSA PRIVATE KEY-----"
+        rows.append((before, value, after, rnd.choice(paths), 1.0))
+    for n in range(both // 2):
+        before, kind, value = prose() + odd_case(rnd.choice(keys)) + rnd.choice((": ", ":", " = ", "=", ": \"")), n % 4, ""
+        while not 6 <= len(value) <= 11:
+            value = odd_case(word() + rnd.choice(("", word()))) if kind < 2 else rnd.choice(DICTIONARY) + rnd.choice(("", "_", "-", ".", "/")) + rnd.choice(DICTIONARY) if kind == 2 else rnd.choice(DICTIONARY)
+        rows.append((before, value, rnd.choice((" ", ", ", ". ", "\n", "\" ")) + word(), rnd.choice(paths), 0.0))
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([dict(zip(("before", "candidate", "after", "path", "label"), r, strict=True)) for r in rows])), "array<struct<before:string,candidate:string,after:string,path:string,label:double>>")))
 
 
