@@ -206,7 +206,11 @@ def labelled_findings(spark: SparkSession, both: int = BOTH, seed: int = SEED) -
             value = "-----BEGIN RSA PRIVATE KEY-----\n" + head + "\n".join(draw(alnum + "+/", 64) for _ in range(rnd.randint(2, 12))) + "\n-----END RSA PRIVATE KEY-----"
         rows.append((before, value, after, rnd.choice(paths), 1.0))
     for n in range(both // 2):
-        before, kind, value = prose() + odd_case(rnd.choice(keys)) + rnd.choice((": ", ":", " = ", "=", ": \"")), n % 4, ""
+        before, kind, value = prose() + odd_case(rnd.choice(keys)) + rnd.choice((": ", ":", " = ", "=", ": \"")), n % 5, ""
+        if kind == 4:  # the name before an address of mail
+            value = word() + draw("0123456789", rnd.randint(1, 4)) + rnd.choice(("", word(), "mail", "." + word())) + draw("0123456789", LEAST)[: rnd.randint(0, 3)]
+            rows.append((prose() if n % 2 else "mail: ", value + "0" * (LEAST - len(value)), "@" + rnd.choice((word(), "mail1", "mx")) + ".example.com", rnd.choice(paths), 0.0))
+            continue
         while not 6 <= len(value) <= 11:
             value = odd_case(word() + rnd.choice(("", word()))) if kind < 2 else rnd.choice(DICTIONARY) + rnd.choice(("", "_", "-", ".", "/")) + rnd.choice(DICTIONARY) if kind == 2 else rnd.choice(DICTIONARY)
         rows.append((before, value, rnd.choice((" ", ", ", ". ", "\n", "\" ")) + word(), rnd.choice(paths), 0.0))
