@@ -1,13 +1,17 @@
 import json
 import zipfile
+from bisect import bisect_left, bisect_right
+from collections import Counter
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from toponym.api import CandidateRequest, candidates, health
 from toponym.cli import main
 from toponym.functions import sql
 from toponym.operators.candidates import COLUMNS, InvalidQuery, NoActiveDataset, clamp_limit, find_address_candidates
+from toponym.sources import distribution
 from toponym.sources.snapshot import SPECS, ContractError, archives, members, newest_archive, timestamp_of
 from toponym.sources.store import Store
 
@@ -143,3 +147,52 @@ def test_search(spark, tmp_path):
     for wrong in ({}, {"postal_code": "12"}, {"city": " "}, {"city": "x" * 257}, {"street": "x", "limit": 0}):
         with pytest.raises(ValueError):
             CandidateRequest(**wrong)
+
+
+def test_distribution(spark, tmp_path):
+    """Skewed numbers and texts in two parts, merged by their sketches, against exact figures and the stated errors."""
+    n = 40_000
+    rows = spark.range(n, numPartitions=7).select(
+        F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 10 > 0, F.floor(F.sqrt("id"))).cast("int").alias("skewed"), F.when(F.col("id") % 2 == 0, "x").otherwise(F.concat(F.lit("v"), "id")).alias("many texts"),
+        F.lit(None).cast("string").alias("nothing"), F.when(F.col("id") < 9, F.repeat(F.lit("y"), 2000)).otherwise("z").alias("wide"),
+    )
+    parts = rows.randomSplit([0.2, 0.8], seed=5)
+    for i, p in enumerate(parts):
+        distribution.write({"t": (p, rows.columns)}, str(tmp_path / f"s{i}"))
+    found = {r["column_name"]: r for r in distribution.distribution(spark.read.parquet(*(str(tmp_path / f"s{i}") for i in (0, 1))), parts=20, common=5).collect()}
+    for c in rows.columns:
+        exact = [r[0] for r in rows.select(f"`{c}`").collect()]
+        held = [x for x in exact if x is not None]
+        assert (found[c]["n_rows"], found[c]["nulls"]) == (n, n - len(held))
+        assert abs(found[c]["n_distinct"] - len(set(held))) <= 0.05 * len(set(held))
+        counts = Counter(map(str, held))
+        for v, k in found[c]["common"]:
+            assert abs(counts[v] - k) <= 3.5 / 1024 * n
+        if c == "skewed":
+            held.sort()
+            assert found[c]["bounds"][0] == held[0] and found[c]["bounds"][-1] == held[-1] and len(found[c]["bounds"]) == 21
+            for i, b in enumerate(found[c]["bounds"]):
+                assert bisect_left(held, b) - 0.02 * len(held) <= i / 20 * len(held) <= bisect_right(held, b) + 0.02 * len(held)
+        else:
+            assert found[c]["bounds"] is None
+    assert found["skewed"]["common"][0]["value"] == "7" and found["many texts"]["common"][0]["value"] == "x" and found["nothing"]["common"] == [] and [tuple(x) for x in found["wide"]["common"]] == [("z", n - 9)]
+
+
+def test_distribution_of_versions(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "root"))
+    first = store.import_archive(archive(tmp_path), min_rows=FEW)
+    second = store.import_archive(archive(tmp_path, "ADDRESS_20240302030405.zip", rows={"SR": ["1;КИРОВА;ПЕР;;", "2;ЛЕНИНА;УЛ;;", "5;МИРА;УЛ;;"]}), min_rows=FEW)
+    both = store.distribution([first, second]).where("table_name = 'street'")
+    streets = {r["column_name"]: r for r in both.collect()}
+    assert streets["id_street"]["n_rows"] == 5 and streets["id_street"]["n_distinct"] == 3 and streets["id_street"]["bounds"][-1] == 5
+    assert [tuple(x) for x in streets["qualifier"]["common"]] == [("УЛ", 4), ("ПЕР", 1)]
+    assert {r["n_rows"] for r in store.distribution([first]).where("table_name = 'street'").collect()} == {2}
+    for wrong in ([], [first, 99]):
+        with pytest.raises(ValueError):
+            store.distribution(wrong)
+    with pytest.raises(ValueError):
+        store.distribution([first], common=1000)
+    store.activate(second)
+    assert store.prune(1) == [first]
+    with pytest.raises(ValueError):
+        store.distribution([first])

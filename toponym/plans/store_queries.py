@@ -162,6 +162,59 @@ def M4_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("table_name", "column_name", "n_rows", "nulls", F.when(own, F.col("low")).alias("key_low"), F.when(own, F.col("high")).alias("key_high"))
 
 
+def _m4_merged() -> dict[str, tuple[str, dict[str, str]]]:
+    """Table -> (its rows of versions 1 and 3 together, column -> value as text) in SQL."""
+    twice = lambda rows, kept="TRUE": f"(SELECT * FROM {rows} UNION ALL SELECT * FROM {rows} WHERE {kept})"
+    facts, none, first = "o_orderkey % (SELECT count(*) FROM part)", "CAST(NULL AS VARCHAR)", "1 + o_orderkey % 50"
+    words, no_flags = {"lex_key1": none, "lex_key2": none}, dict.fromkeys(SPECS[2].names[1:], "0")
+    postal = "lpad(CAST(o_custkey % 10 AS VARCHAR), 6, '0')"
+    return {
+        "federal_subject": (twice("region"), {"id_subject": "r_regionkey", "subject_name": s_cyrillic("r_name"), **words}),
+        "district": (twice("nation"), {"id_district": "n_nationkey", "id_subject": "n_regionkey", "district_name": s_cyrillic("n_name"), **words}),
+        "postal_code": (twice(f"(SELECT DISTINCT {postal} AS code FROM orders)"), {"postal_code": "code", **no_flags}),
+        "main_city": (twice("supplier"), {"id_main_city": "s_suppkey", "id_subject": "s_nationkey % 5", "id_district": "s_nationkey", "main_city_name": s_cyrillic("s_name"), **words}),
+        "city": (twice("customer"), {"id_city": "c_custkey", "id_main_city": "c_custkey % (SELECT count(*) FROM supplier)", "city_name": s_cyrillic("c_name"), **words}),
+        "street": (twice("part", "p_partkey % 2 = 0"), {"id_street": "p_partkey", "street_name": s_cyrillic("p_name"), "qualifier": "p_type", "lex_key1": s_cyrillic("p_brand"), "lex_key2": none}),
+        "address_range": (twice("orders", f"({facts}) % 2 = 0"), {
+            "id_address": "o_orderkey", "postal_code": postal, "post_office_name": none, "id_subject": "o_custkey % 5", "id_district": "o_custkey % 25", "id_main_city": "o_custkey % (SELECT count(*) FROM supplier)",
+            "id_city": "o_custkey", "id_street": facts, "from_house_number": first, "to_house_number": f"{first} + 6", "from_building_number": none, "to_building_number": none, "even_odd_indicator": none,
+        }),
+    }
+
+
+#: Columns with at most so many distinct values are shown value by value; for them, sketches are exact.
+FEW = 300
+
+
+def _m4_distribution() -> str:
+    numbers, parts = {c.split()[0]: c.split()[1] in ("smallint", "int", "bigint") for s in SPECS for c in s.columns.split(", ")}, []
+    for name, (rows, columns) in _m4_merged().items():
+        for c, value in columns.items():
+            low, high = (f"CAST({x} AS BIGINT)" for x in (("min(v)", "max(v)") if numbers[c] else ("NULL", "NULL")))
+            parts.append(f"SELECT '{name}' AS table_name, '{c}' AS column_name, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) - count(v) AS BIGINT) AS nulls, {low} AS low, {high} AS high, "
+                         f"CAST(CASE WHEN count(DISTINCT v) <= {FEW} THEN count(DISTINCT v) END AS BIGINT) AS n_distinct FROM (SELECT {value} AS v FROM {rows})")
+    return " UNION ALL ".join(parts)
+
+
+@query(_m4_distribution())
+def M4_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions taken together by their sketches: rows, nulls, lowest and highest number, and the number of distinct values where there are few."""
+    store, ids = _store(spark, sf_dir)
+    found = store.distribution([ids[0], ids[2]])
+    return found.select("table_name", "column_name", "n_rows", "nulls", F.try_element_at("bounds", F.lit(1)).alias("low"), F.try_element_at("bounds", F.lit(-1)).alias("high"), F.when(F.col("n_distinct") <= FEW, F.col("n_distinct")).alias("n_distinct"))
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, '{c}' AS column_name, CAST(v AS VARCHAR) AS value, n FROM (SELECT v, CAST(count(*) AS BIGINT) AS n, count(*) OVER () AS kinds FROM (SELECT {value} AS v FROM {rows}) WHERE v IS NOT NULL GROUP BY v) WHERE kinds <= {FEW}"
+    for name, (rows, columns) in _m4_merged().items() for c, value in columns.items()
+))
+def M4_common_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value and its rows of the columns of two versions that have few values, by the merged sketches of frequent values."""
+    store, ids = _store(spark, sf_dir)
+    found = store.distribution([ids[0], ids[2]], common=FEW).where(F.col("n_distinct") <= FEW)
+    return found.select("table_name", "column_name", F.inline("common"))
+
+
 _AT = "TIMESTAMP '2001-02-03 04:05:06' + to_seconds(CAST(page_id * 7919 AS BIGINT))"
 
 

@@ -26,7 +26,7 @@ from ..functions import sql
 from ..functions.textnorm import ocr_norm_text
 from ..operators.candidates import Gazetteer, NoActiveDataset
 from ..operators.validation import repeated_keys, validate
-from . import name_index
+from . import distribution, name_index
 from .name_index import NameIndex
 from .snapshot import SPECS, Spec, members, read_table, sha256_of, timestamp_of, typed
 
@@ -112,6 +112,7 @@ class Store:
                 if not checks["ok"]:
                     raise ValueError("validation failed: " + "; ".join(checks["errors"]))
                 self._index(dataset_id)
+                distribution.write({s.table: (self.table(s.table, dataset_id), s.names) for s in SPECS}, f"{self.root}/distribution/dataset_id={dataset_id}")
             except Exception as e:
                 self._update(dataset_id, status="failed", error_text=str(e)[:10_000])
                 raise
@@ -166,6 +167,14 @@ class Store:
         rows = [(table, c, o["n"], *told) for table, o in observed.items() for c, told in o["columns"].items()]
         return self.spark.createDataFrame(rows, "table_name string, column_name string, n_rows long, nulls long, low string, high string")
 
+    def distribution(self, dataset_ids: list[int], parts: int = 10, common: int = 10) -> DataFrame:
+        """The distributions of the columns of versions taken together, from the sketches of their imports; see `distribution.distribution`."""
+        missing = [i for i in dataset_ids if not (self.root / "distribution" / f"dataset_id={i}").exists()]
+        if missing or not dataset_ids:
+            raise ValueError(f"no distributions of versions {missing}")
+        sketches = self.spark.read.parquet(f"{self.root}/distribution").where(F.col("dataset_id").isin(*dataset_ids))
+        return distribution.distribution(sketches, parts, common)
+
     def gazetteer(self) -> Gazetteer:
         names = ("federal_subject", "district", "main_city", "city", "street", "address_range")
         return Gazetteer(*(self.current(n).drop("dataset_id") for n in names), dataset_id=self.active(), index=self.index(self.active()))
@@ -198,6 +207,7 @@ class Store:
         for spec in SPECS:
             shutil.rmtree(self.root / spec.table / f"dataset_id={dataset_id}", ignore_errors=True)
         shutil.rmtree(self.root / "name_index" / str(dataset_id), ignore_errors=True)
+        shutil.rmtree(self.root / "distribution" / f"dataset_id={dataset_id}", ignore_errors=True)
 
     def prune(self, keep: int = 2) -> list[int]:
         """Deletes the versions of `to_prune` and returns their ids."""
