@@ -31,6 +31,23 @@ def test_lines_documents_best(spark):
     assert r.lines(r.kept_words(words.limit(0))).isEmpty()
 
 
+def test_attempts_need_no_shuffle(spark):
+    rnd = random.Random(2)
+    rows = [
+        (i, mode, k, rnd.choice(["a", " bb\t", "", " ", None, "ccc"]), rnd.choice(["90", "12.345", "-1", "x", None, "150"]), rnd.randrange(50), rnd.randrange(50), rnd.randrange(9), rnd.randrange(9), *(rnd.choice([1, 2, None]) for _ in range(3)))
+        for i in range(12) for mode in ("gray", "otsu") for k in range(rnd.randrange(40))
+    ]
+    words = spark.createDataFrame(rows, SCHEMA)
+    attempts = words.groupBy("image_id", "mode").agg(F.collect_list(F.struct(*words.columns[2:])).alias("words")).localCheckpoint()
+    empty = spark.createDataFrame([(99, "gray")], "image_id long, mode string").withColumn("words", F.lit(None).cast(attempts.schema["words"].dataType))
+    lines, docs = r.attempt_lines(attempts.unionByName(empty)), r.attempt_documents(attempts.unionByName(empty))
+    expected = r.lines(r.kept_words(words))
+    as_set = lambda df: {tuple(x[c] for c in sorted(df.columns)) for x in df.collect()}
+    assert sorted(lines.columns) == sorted(expected.columns) and as_set(lines) == as_set(expected)
+    assert as_set(docs) == as_set(r.documents(expected, words.unionByName(empty.drop("words"), allowMissingColumns=True)))
+    assert not any("Exchange" in df._jdf.queryExecution().executedPlan().toString() for df in (lines, docs))
+
+
 def test_rounding_is_by_the_binary_value(spark):
     rnd = random.Random(1)
     values = [k / 20000 for k in range(1, 20000, 7)] + [rnd.random() for _ in range(500)] + [0.0, 1.0, 0.87345, 0.5 / 10000, 1.5 / 10000]

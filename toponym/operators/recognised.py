@@ -2,17 +2,24 @@
 
 Word rows: image_id, mode, idx, text, conf, left, top, width, height, block_num, par_num, line_num. Confidences are kept as whole ten-thousandths, so
 that sums do not depend on their order; where a mean is rounded, it is rounded as the double that it is (`round4`).
+
+`kept_words` and `lines` take word rows in any order, and shuffle them. Where each attempt's words lie together as an array, as a recognition engine gives them, `attempt_lines` and `attempt_documents`
+give the same rows without a shuffle.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 LINE = ["image_id", "mode", "block_num", "par_num", "line_num"]
 #: Order of preprocessing modes when attempts are level. (Fixed values.)
 MODES = ("gray", "otsu", "none", "adaptive")
+#: Blanks at the ends of a word, and their pattern.
+BLANKS = " \t\n\x0b\f\r"
+BLANK_ENDS = r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$"
 
 
 def round4(x: Column) -> Column:
@@ -32,13 +39,60 @@ def round4(x: Column) -> Column:
 
 def kept_words(words: DataFrame) -> DataFrame:
     """Words with text and a confidence of zero or more, trimmed; adds conf_e4 (confidence in ten-thousandths, at most 10000) and weight (characters)."""
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "")
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), BLANK_ENDS, "")
     conf = F.coalesce(F.col("conf").cast("string").try_cast("double"), F.lit(-1.0))
     rows = words.withColumns({"text": text, "__conf": conf}).where((F.col("text") != "") & (F.col("__conf") >= 0))
     e4 = round4(F.least(F.col("__conf") / 100.0, F.lit(1.0)))
     return rows.withColumns({"conf_e4": e4, "weight": F.greatest(F.length("text"), F.lit(1)).cast("long")}).drop("__conf")
 
 
+def _kept(words: Column, conf_type: T.DataType) -> Column:
+    """kept_words of an array of word structs, in the order of lines and of words within them."""
+    whole = isinstance(conf_type, T.IntegralType)
+    conf = lambda w: F.coalesce(w["conf"].cast("double") if whole else w["conf"].cast("string").try_cast("double"), F.lit(-1.0))
+    # of a whole number the rounded hundredth is itself
+    e4 = lambda w: F.least(w["conf"], F.lit(100)).cast("long") * 100 if whole else F.transform(F.array(F.least(conf(w) / 100.0, F.lit(1.0))), round4)[0]
+    trimmed = lambda w: F.btrim(F.coalesce(w["text"], F.lit("")), F.lit(BLANKS))
+    place = lambda w: (F.struct(*(w[c] for c in LINE[2:])).alias("line"), w["idx"])
+    read = lambda w: F.struct(*place(w), trimmed(w).alias("text"), e4(w).alias("conf_e4"), w["left"], w["top"], (w["left"] + w["width"]).alias("right"), (w["top"] + w["height"]).alias("bottom"))
+    return F.sort_array(F.filter(F.transform(F.filter(words, lambda w: conf(w) >= 0), read), lambda w: w["text"] != ""))
+
+
+def _with_lines(attempts: DataFrame) -> DataFrame:
+    """(image_id, mode, lines) of (image_id, mode, words): lines as an array of structs in order, each with the columns of `lines`."""
+    conf_type = attempts.schema["words"].dataType.elementType["conf"].dataType
+    rows = attempts.select("image_id", "mode", _kept(F.col("words"), conf_type).alias("__kept"))
+    n, at = F.size("__kept"), lambda i: F.get("__kept", i - 1)
+    starts = F.when(n > 0, F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | ~at(i)["line"].eqNullSafe(at(i - 1)["line"]))).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("__starts", starts)
+    weight, each = lambda w: F.greatest(F.length(w["text"]), F.lit(1)).cast("long"), lambda ws, c: F.transform(ws, lambda w: w[c])
+
+    def line(ws: Column) -> Column:
+        x, y = F.array_min(each(ws, "left")), F.array_min(each(ws, "top"))
+        return F.struct(
+            *(F.get(ws, 0)["line"][c].alias(c) for c in LINE[2:]), F.array_join(each(ws, "text"), " ").alias("text"),
+            F.aggregate(ws, F.lit(0).cast("long"), lambda a, w: a + w["conf_e4"] * weight(w)).alias("conf_sum"), F.aggregate(ws, F.lit(0).cast("long"), lambda a, w: a + weight(w)).alias("weight"),
+            x.alias("x"), y.alias("y"), (F.array_max(each(ws, "right")) - x).alias("width"), (F.array_max(each(ws, "bottom")) - y).alias("height"),
+        )
+
+    # by places: slice() copies the whole array each time
+    part = lambda start, j: F.transform(F.sequence(start, F.coalesce(F.get("__starts", j + 1) - 1, n)), at)
+    return rows.select("image_id", "mode", F.transform("__starts", lambda start, j: F.transform(F.array(part(start, j)), line)[0]).alias("lines"))
+
+
+def attempt_lines(attempts: DataFrame) -> DataFrame:
+    """`lines` of attempts (image_id, mode, words), whose words are arrays of structs with the other columns of word rows. Each row is an attempt by itself; null or empty words give no line."""
+    # not inline: the filter that Spark infers for it repeats all of the lines' work
+    return _with_lines(attempts).select("image_id", "mode", F.inline_outer("lines")).where("weight is not null")
+
+
+def attempt_documents(attempts: DataFrame) -> DataFrame:
+    """`documents` of attempts as in `attempt_lines`: a row for each attempt, also for one without words."""
+    rows, total = _with_lines(attempts).withColumn("lines", F.coalesce("lines", F.array())), lambda c: F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x[c])
+    out = rows.select("image_id", "mode", F.array_join(F.transform("lines", lambda x: x["text"]), "\n").alias("text"), F.size("lines").cast("long").alias("n_lines"), total("conf_sum").alias("conf_sum"), total("weight").alias("weight"))
+    return out.select("image_id", "mode", "text", "n_lines", confidence().alias("conf_e4"))
+
+
 def _joined(order: Column, text: str, by: str) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col(text).alias("t")))), lambda x: x["t"]), by)
 
@@ -65,10 +119,10 @@ def documents(line_rows: DataFrame, attempts: DataFrame | None = None) -> DataFr
     return out.select("image_id", "mode", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), confidence().alias("conf_e4"))
 
 
-def best_attempt(docs: DataFrame) -> DataFrame:
-    """Of each image the attempt with the largest confidence, then the longest text, then the first mode."""
+def best_attempt(docs: DataFrame, length: Column | None = None) -> DataFrame:
+    """Of each image the attempt with the largest confidence, then the longest text, then the first mode. length: the text's, where rows have it and no text."""
     place = F.array_position(F.array(*map(F.lit, MODES)), F.col("mode"))
-    best = Window.partitionBy("image_id").orderBy(F.desc("conf_e4"), F.desc(F.length("text")), place, "mode")
+    best = Window.partitionBy("image_id").orderBy(F.desc("conf_e4"), (F.length("text") if length is None else length).desc(), place, "mode")
     return docs.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")
 
 

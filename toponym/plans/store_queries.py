@@ -328,8 +328,8 @@ def A8_attempt_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_WORDS} SELECT image_id, mode, CAST(CASE mode WHEN 'gray' THEN 1 ELSE 2 END AS INTEGER) AS place, md5(text) AS text_md5, CAST(conf_e4 AS BIGINT) AS conf_e4 FROM every")
 def I7_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every attempt of an image, in the order of the modes."""
-    rows = recognised.alternatives(_documents(spark, sf_dir)).select("image_id", F.posexplode("alternatives").alias("place", "a"))
-    return rows.select("image_id", "a.mode", (F.col("place") + 1).alias("place"), F.md5("a.text").alias("text_md5"), "a.conf_e4")
+    rows = recognised.alternatives(_documents(spark, sf_dir).withColumnRenamed("text_md5", "text")).select("image_id", F.posexplode("alternatives").alias("place", "a"))
+    return rows.select("image_id", "a.mode", (F.col("place") + 1).alias("place"), F.col("a.text").alias("text_md5"), "a.conf_e4")
 
 
 _WIDE, _HIGH = "(1000 + page_id * 37 % 9000)", "(1000 + page_id * 91 % 9000)"
