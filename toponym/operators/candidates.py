@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from ctypes import c_float
 from dataclasses import dataclass
 from decimal import Decimal
 from functools import reduce
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -247,6 +250,37 @@ def _matches(g: Gazetteer, q: DataFrame) -> DataFrame:
     return pairs.select("t", "query", "id", raised.alias("sim"))
 
 
+#: Rows that a task gathers before it leaves all but the best of each query.
+GATHERED = 20_000
+
+
+def _best_of_task(most: int):
+    """Of the rows of a task the best `most` of each query, by _ranked, held in bounded memory: no sort of all rows."""
+
+    def cut(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        codes = rows["query_id"].combine_chunks().dictionary_encode(null_encoding="encode").indices
+        keys = pa.table({"q": codes, "score": rows["score"], **{c: pc.fill_null(rows[c], 0.0) for c in ("house_score", "street_score", "city_score")}, "id_address": rows["id_address"]})
+        order = pc.sort_indices(keys, sort_keys=[("q", "ascending"), *((c, "descending") for c in keys.column_names[1:-1]), ("id_address", "ascending")]).to_numpy()
+        own = codes.to_numpy(zero_copy_only=False)[order]
+        starts = np.flatnonzero(np.diff(own, prepend=-1))
+        place = np.arange(len(own)) - np.repeat(starts, np.diff([*starts, len(own)]))
+        return rows.take(pa.array(order[place < most])).combine_chunks().to_batches()
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, kept = [], 0, 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= kept + max(GATHERED, kept):
+                held = cut(held)
+                n = kept = sum(b.num_rows for b in held)
+        yield from cut(held) if held else ()
+
+    return best
+
+
 def candidates_batch(g: Gazetteer, queries: DataFrame, limit: int | None = 20) -> DataFrame:
     """find_address_candidates for a table of queries (query_id, postal_code, city, street, house): query_id, rank and COLUMNS.
 
@@ -289,5 +323,6 @@ def candidates_batch(g: Gazetteer, queries: DataFrame, limit: int | None = 20) -
         weights = weights + F.when(there, F.lit(weight)).otherwise(F.lit(Decimal("0.00")))
     rows = rows.withColumns({"dataset_id": F.lit(g.dataset_id).cast("long"), "score": (total / weights.cast("double")).cast("float")})
     best = Window.partitionBy("query_id").orderBy(*_ranked())
+    rows = rows.mapInArrow(_best_of_task(clamp_limit(limit)), rows.schema)
     rows = written(rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= clamp_limit(limit)))
     return _named(rows, g).select("query_id", "rank", *COLUMNS)
