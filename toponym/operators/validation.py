@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,11 +48,14 @@ def orphans(rows: DataFrame, references: dict[str, tuple[DataFrame, str]]) -> Da
         own = rows.schema[column].dataType
         if column in maps and type(own) in (type(table.schema[key].dataType), T.LongType, T.IntegerType) and isinstance(own, T.StringType) == isinstance(table.schema[key].dataType, T.StringType):
             value = _number(F.col(column), own)
-            held = F.broadcast(rows.sparkSession.createDataFrame(maps[column], f"__part{n} long, __map{n} binary"))
+            # a bitmap as numbers of 64 bits: one of them is read in place, where a binary would be copied for each row
+            words = [np.frombuffer(m, "<i8") for _, m in maps[column]]
+            table_of = pa.table({f"__part{n}": pa.array([p for p, _ in maps[column]], pa.int64()), f"__map{n}": pa.array(words, pa.list_(pa.int64()))})
+            held = F.broadcast(rows.sparkSession.createDataFrame(table_of))
             marked = marked.join(held, F.bitmap_bucket_number(value) == F.col(f"__part{n}"), "left")
             at = F.bitmap_bit_position(value)
-            byte = F.conv(F.hex(F.substring(F.col(f"__map{n}"), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-            broken.append(F.col(column).isNotNull() & ~F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)))
+            bit = F.getbit(F.get(F.col(f"__map{n}"), F.shiftright(at, 6).cast("int")), (at % 64).cast("int"))
+            broken.append(F.col(column).isNotNull() & ~F.coalesce(bit == 1, F.lit(False)))
         else:
             keys = table.select(F.col(key).alias(f"__key{n}")).where(F.col(f"__key{n}").isNotNull()).distinct()
             marked = marked.join(keys, F.col(column) == F.col(f"__key{n}"), "left")

@@ -14,10 +14,12 @@ import zlib
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.trigram import THRESHOLD, trigrams, trigrams_of
+from ..functions.trigram import THRESHOLD, trigrams_of
 
 #: Partitions of a kind's lists, and ids of a block.
 BUCKETS = 32
@@ -28,13 +30,32 @@ def _bucket(gram: Column) -> Column:
     return (F.crc32(gram.cast("binary")) % BUCKETS).cast("int")
 
 
+def _lists_of_block(rows: pa.Table) -> pa.Table:
+    """The lists of one block of a kind: at most BLOCK names, the trigrams of equal ones taken once."""
+    rows = rows.filter(rows["name"].is_valid()).sort_by("id")
+    coded = rows["name"].combine_chunks().dictionary_encode()
+    own = [trigrams_of(name) for name in coded.dictionary.to_pylist()]
+    sizes, number = np.array([len(g) for g in own], np.int64), {}
+    flat = np.array([number.setdefault(g, len(number)) for grams in own for g in grams], np.int64)
+    name = coded.indices.to_numpy()
+    held = sizes[name]
+    entry = np.repeat(np.arange(len(name)), held)
+    gram = flat[np.repeat((np.cumsum(sizes) - sizes)[name] - (np.cumsum(held) - held), held) + np.arange(len(entry))]
+    order = np.argsort(gram, kind="stable")
+    offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(gram, minlength=len(number)))]), pa.int32())
+    of = lambda values: pa.ListArray.from_arrays(offsets, pa.array(values[entry[order]].astype(np.int32)))
+    kind, block = (pa.repeat(rows[c][0] if len(rows) else pa.scalar(None, rows.schema.field(c).type), len(number)) for c in ("kind", "block"))
+    return pa.table({"kind": kind, "gram": pa.array(list(number), pa.string()), "block": block, "places": of(rows["id"].to_numpy() & (BLOCK - 1)), "sizes": of(held)})
+
+
 def postings(names: DataFrame) -> DataFrame:
-    """(kind, bucket, gram, block, places, sizes) of the rows (kind, id, name): null and blank names have no trigrams. Ids are unique within a kind."""
-    grams = names.select("kind", F.col("id").cast("long").alias("id"), trigrams(F.col("name")).alias("grams")).withColumn("size", F.size("grams"))
-    placed = grams.withColumns({"block": F.shiftright("id", 16), "place": F.col("id").bitwiseAND(BLOCK - 1).cast("int")})
-    each = placed.select("kind", F.explode("grams").alias("gram"), "block", F.struct("place", "size").alias("held"))
-    lists = each.groupBy("kind", "gram", "block").agg(F.sort_array(F.collect_list("held")).alias("held"))  # at most BLOCK entries
-    return lists.select("kind", _bucket(F.col("gram")).alias("bucket"), "gram", "block", F.col("held.place").alias("places"), F.col("held.size").alias("sizes"))
+    """(kind, bucket, gram, block, places, sizes) of the rows (kind, id, name), names as normal forms: null and blank names have no trigrams. Ids are unique within a kind.
+
+    Names are dealt by kind and block, however few files hold them, and a block's lists are made where its names meet: what is shuffled is the names, not their trigrams.
+    """
+    placed = names.select("kind", F.col("id").cast("long").alias("id"), "name").withColumn("block", F.shiftright("id", 16))
+    lists = placed.groupBy("kind", "block").applyInArrow(_lists_of_block, "kind string, gram string, block long, places array<int>, sizes array<int>")
+    return lists.select("kind", _bucket(F.col("gram")).alias("bucket"), "gram", "block", "places", "sizes")
 
 
 def write(names: DataFrame, path: str) -> None:
@@ -62,11 +83,6 @@ class NameIndex:
         rows = self.spark.read.parquet(f"{self.path}/frequencies").where((F.col("kind") == kind) & F.col("gram").isin(grams)).select("gram", "held").collect()
         return [r["gram"] for r in sorted(rows, key=lambda r: (r["held"], r["gram"]))]
 
-    @staticmethod
-    def _entries(lists: DataFrame) -> DataFrame:
-        held = lists.select("block", F.explode(F.arrays_zip("places", "sizes")).alias("e"))
-        return held.select("block", (F.shiftleft("block", 16) + F.col("e.places")).alias("id"), F.col("e.sizes").alias("size"))
-
     def near(self, table: str, value: str) -> DataFrame:
         """(id, sim) of the names of a table that are like value, a normal form: sim is raised by the key word's similarity, which admits no name. Reads the frequencies of value's trigrams (a job)."""
         grams = trigrams_of(value)
@@ -77,19 +93,34 @@ class NameIndex:
         rare, frequent = found[: max(n - need + 1 - (n - len(found)), 0)], found[max(n - need + 1 - (n - len(found)), 0) :]
         if not rare:
             return self.spark.createDataFrame([], "id long, sim float")
-        alike = lambda shared, size: shared / (F.lit(n) + size - shared)
-        fits = (F.col("size") * 3 <= n * 10) & (F.lit(n * 3) <= F.col("size") * 10)
-        first = self._entries(self._lists(asked, rare)).where(fits).groupBy("block", "id", "size").agg(F.count("*").alias("shared"))
-        # what the frequent ones can add at most has to be enough
-        first = first.where(alike(F.least(F.col("shared") + len(frequent), F.col("size")), F.col("size")) >= THRESHOLD)
-        if frequent:
-            blocks = first.select("block").distinct()
-            more = self._entries(self._lists(asked, frequent).join(blocks, "block", "left_semi")).groupBy("id").agg(F.count("*").alias("more"))
-            first = first.join(more, "id", "left").withColumn("shared", F.col("shared") + F.coalesce("more", F.lit(0)))
-        own = first.select("block", "id", alike(F.col("shared"), F.col("size")).cast("float").alias("own")).where(F.col("own") >= F.lit(THRESHOLD))
-        words = self._lists(f"{table}.word", grams).join(own.select("block").distinct(), "block", "left_semi")
-        word = self._entries(words).groupBy("id", "size").agg(F.count("*").alias("shared")).select("id", alike(F.col("shared"), F.col("size")).cast("float").alias("word"))
-        return own.join(word, "id", "left").select("id", F.greatest("own", F.coalesce("word", F.lit(0.0).cast("float"))).alias("sim"))
+        first = self._lists(asked, rare)
+        blocks = first.select("block").distinct()
+        lists = [(first, 0), *((self._lists(kind, own).join(blocks, "block", "left_semi"), k) for kind, own, k in ((asked, frequent, 1), (f"{table}.word", grams, 2)) if own)]
+        every = reduce(DataFrame.unionByName, (rows.select("block", F.lit(k).alias("of"), "places", "sizes") for rows, k in lists))
+        return every.groupBy("block").applyInArrow(_near_of_block(n), "id long, sim float")
+
+
+def _near_of_block(n: int):
+    """The lists of a block as (id, sim) of the names that are like a value of n trigrams. of: 0 rare trigrams, which give candidates, 1 frequent ones, 2 those of the key words."""
+
+    def counted(rows: pa.Table, of: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """How many of the lists hold each place, and the size of what is there."""
+        rows = rows.filter(np.isin(rows["of"].to_numpy(), of))
+        place = rows["places"].combine_chunks().flatten().to_numpy()
+        size = np.zeros(BLOCK, np.int64)
+        size[place] = rows["sizes"].combine_chunks().flatten().to_numpy()
+        return np.bincount(place, minlength=BLOCK), size
+
+    def near(rows: pa.Table) -> pa.Table:
+        alike = lambda shared, size: (shared / (n + size - shared)).astype(np.float32)
+        candidate, size = counted(rows, [0])
+        shared, _ = counted(rows, [0, 1])
+        own = alike(shared, size)
+        found = np.flatnonzero((candidate > 0) & (size * 3 <= n * 10) & (n * 3 <= size * 10) & (own >= np.float32(THRESHOLD)))
+        sim = np.maximum(own, alike(*counted(rows, [2])))[found]
+        return pa.table({"id": rows["block"][0].as_py() * BLOCK + found, "sim": sim})
+
+    return near
 
 
 def names_of(tables: dict[str, tuple[DataFrame, str, Column, Column]]) -> DataFrame:

@@ -23,13 +23,15 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sql
-from ..functions.textnorm import ocr_norm_text
+from ..functions.textnorm import norm_text, ocr_norm_text
 from ..operators.candidates import Gazetteer, NoActiveDataset
 from ..operators.validation import repeated_keys, validate
 from . import distribution, name_index
 from .name_index import NameIndex
 from .snapshot import SPECS, Spec, members, read_table, sha256_of, timestamp_of, typed
 
+#: Tables that may be large.
+_SPREAD = ("main_city", "city", "street", "address_range")
 #: States whose versions count for retention.
 KEPT = ("active", "retired", "ready")
 
@@ -124,7 +126,12 @@ class Store:
         """Writes a table of a version and returns what the write itself observed: rows, and nulls, lowest and highest value of each column, as texts."""
         # neighbours in the order of searches, so that a filter on the postal code skips row groups
         order = ["postal_code", spec.key] if spec.table == "address_range" else [spec.key]
-        rows = (rows.repartitionByRange(*order) if spec.table == "address_range" else rows).drop("dataset_id").sortWithinPartitions(*order)
+        rows = rows.drop("dataset_id")
+        if spec.table in _SPREAD:
+            # a table may come as one split: its names are made where its rows are dealt to
+            rows = rows.drop("name_norm").repartitionByRange(*order)
+            rows = rows.withColumn("name_norm", norm_text(F.col(spec.name))) if spec.name else rows
+        rows = rows.sortWithinPartitions(*order)
         seen = Observation()
         each = [x for c in spec.names for x in (F.count_if(F.col(c).isNull()).alias(f"n_{c}"), F.min(c).cast("string").alias(f"a_{c}"), F.max(c).cast("string").alias(f"z_{c}"))]
         writer = rows.observe(seen, F.count(F.lit(1)).alias("n"), *each).write
