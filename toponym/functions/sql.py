@@ -59,7 +59,10 @@ def _refusal(condition: str) -> str:
 
 
 def _search() -> str:
-    near = lambda table, key, value: f"(SELECT {key}, greatest(similarity(name_norm, {value}), similarity(ocr_norm_text(lex_key1), {value})) AS sim FROM current_{table} WHERE similarity(name_norm, {value}) >= CAST({THRESHOLD} AS FLOAT))"
+    # each distinct name is judged once, behind a shuffle: a table may come as one split. The count, which is always over 0, keeps conditions on a similarity from being moved below the grouping
+    names = lambda table: f"(SELECT name_norm, lex_key1, count(*) AS held FROM current_{table} GROUP BY name_norm, lex_key1)"
+    alike = lambda table, value: f"(SELECT name_norm, lex_key1, CASE WHEN held > 0 THEN greatest(similarity(name_norm, {value}), similarity(ocr_norm_text(lex_key1), {value})) END AS sim FROM {names(table)} WHERE CASE WHEN held > 0 THEN similarity(name_norm, {value}) >= CAST({THRESHOLD} AS FLOAT) END)"
+    near = lambda table, key, value: f"(SELECT t.{key}, n.sim FROM current_{table} t JOIN {alike(table, value)} n ON n.name_norm = t.name_norm AND n.lex_key1 <=> t.lex_key1)"
     city, street, house = "ocr_norm_text(city)", "ocr_norm_text(street)", "norm_house(house)"
     parts = [_given("postcode", "0.35", f"{_POST} <> ''"), _given("city", "0.25", f"{city} <> ''"), _given("street", "0.30", f"{street} <> ''"), _given("house", "0.10", f"{house} <> ''")]
     score = f"CAST(({' + '.join(['0D', *(a for a, _ in parts)])}) / nullif(CAST({' + '.join(b for _, b in parts)} AS DOUBLE), 0D) AS FLOAT)"

@@ -73,9 +73,14 @@ def _norm(names: DataFrame, name: str) -> Column:
 
 def _near(names: DataFrame, key: str, name: str, value: str) -> DataFrame:
     """(id, sim) of the names like value. Only the name admits; the key word may raise the similarity."""
-    own = similarity_to(_norm(names, name), value)
-    near = names.select(F.col(key).cast("long").alias("id"), own.alias("own"), similarity_to(ocr_norm_text(F.col("lex_key1")), value).alias("key")).where(F.col("own") >= F.lit(THRESHOLD))
-    return near.select("id", F.greatest("own", "key").alias("sim"))
+    held = "name_norm" if "name_norm" in names.columns else name
+    listed = names.select(F.col(key).cast("long").alias("id"), F.col(held).alias("name"), F.col("lex_key1").alias("word"))
+    # each distinct name is judged once, behind a shuffle: a table may come as one split. The count, which is always over 0, keeps conditions on a similarity from being moved below the grouping
+    each = listed.groupBy("name", "word").agg(F.count(F.lit(1)).alias("held"))
+    own = similarity_to(F.col("name") if held == "name_norm" else norm_text(F.col("name")), value)
+    near = each.select("name", "word", *(F.when(F.col("held") > 0, sim).alias(c) for c, sim in (("own", own), ("key", similarity_to(ocr_norm_text(F.col("word")), value))))).where(F.col("own") >= F.lit(THRESHOLD))
+    near = near.select(F.col("name").alias("n"), F.col("word").alias("w"), F.greatest("own", "key").alias("sim"))
+    return listed.join(near, F.col("name").eqNullSafe(F.col("n")) & F.col("word").eqNullSafe(F.col("w"))).select("id", "sim")
 
 
 #: Tables of names that are searched: key, name, and the criterion.
