@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,8 +18,9 @@ __all__ = ["expand", "hash_words", "mix", "released", "rolling", "shared_dir", "
 
 #: Words are maximal runs of characters other than blank, tab, line feed, vertical tab, form feed and carriage return.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
-#: Rows of an Arrow batch.
+#: Rows of an Arrow batch, and bytes.
 BATCH_ROWS = 1000
+BATCH_BYTES = 2 << 20
 #: Bytes of text that one NumPy step handles at a time.
 SLICE_BYTES = 4 << 20
 
@@ -32,11 +34,14 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_ROWS rows for the session, unless it asks for fewer: rows hold whole texts here, and each worker and the JVM hold a batch or two."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Arrow batches of at most BATCH_ROWS rows and about BATCH_BYTES bytes for the session, unless it asks for less: rows hold whole texts or packed entries here, and each worker and
+    the JVM hold a batch or two."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)i?b?", spark.conf.get(name).strip().lower()).groups()
+        now = int(number) << 10 * " kmgtp".index(unit or " ")
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))
 
 
 def released(work: Callable) -> Callable:

@@ -35,8 +35,8 @@ Q = 8
 RATE = 0.1
 #: Bytes of benchmark text that are held at once.
 BLOCK = 4 << 20
-#: Texts handled together, in bytes; more where there are several blocks, as each is read again for every slice.
-SLICE = 2 << 20
+#: Texts handled together, in bytes, as hashes and hits take some 50 times as much; more where there are several blocks, as each is read again for every slice.
+SLICE = 1 << 19
 WIDE_SLICE = 16 << 20
 MATCH = "array<struct<item_id:{kind},start:int,past:int,edits:int>>"
 

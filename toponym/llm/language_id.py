@@ -107,8 +107,10 @@ def forward_backward(scores: np.ndarray, starts: np.ndarray, transitions: np.nda
 
     All sequences that still have a word at step t are handled in one operation.
     """
-    scores = scores.astype(np.float64)
-    e = np.maximum(np.exp(scores - scores.max(axis=1, keepdims=True)), LEAST) if len(scores) else scores
+    e = scores.astype(np.float64)  # a copy, changed in place
+    if len(e):
+        e -= e.max(axis=1, keepdims=True)
+        np.maximum(np.exp(e, out=e), LEAST, out=e)
     a = np.maximum(np.exp(transitions - transitions.max()), LEAST)
     length = np.diff(starts)
     order = np.argsort(-length, kind="stable")

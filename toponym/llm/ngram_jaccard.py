@@ -51,7 +51,7 @@ HEAVY = 64
 #: Bits of the size of a set that travels with its node; what is above counts clashes.
 SIZE_BITS = 32
 #: Text of one slice.
-SLICE = 8 << 20
+SLICE = 4 << 20
 ROW = f"bucket int, slice long, kind int, {FIELDS}"
 
 
