@@ -18,6 +18,8 @@ from toponym.llm.filters import anti_join, may_be_in
 LEAST_SHARE = 0.35
 #: Near duplicates: five-word shingles, similarity 0.8 or more.
 NEAR = ngram_jaccard.Likeness(5, 80)
+#: Text of a chunk of byte_bpe. Smaller than its own: executors come with the memory that the stages before have taken; it shuffles more instead.
+CHUNK_BYTES = 8 << 20
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -83,7 +85,7 @@ def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null counts as empty, with no ids; long texts are encoded whole; repeated rows are encoded each by itself. Further columns are not read.
     """
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, whole=True, at_blanks=True).drop("decoded")
+    return byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, whole=True, at_blanks=True, chunk_bytes=CHUNK_BYTES).drop("decoded")
 
 
 STAGES = [

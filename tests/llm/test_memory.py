@@ -5,9 +5,10 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from toponym.llm import common, decontamination, language_id
+from toponym.llm import byte_bpe, common, decontamination, language_id
 
 
 def peak(work):
@@ -65,3 +66,36 @@ def test_posteriors_hold_few_arrays():
     before, out = scores.copy(), []
     assert peak(lambda: out.append(language_id.forward_backward(scores, starts, ties)[0])) < 2.9 * once
     assert (scores == before).all() and np.allclose(out[0].sum(axis=1), 1)
+
+
+def test_chunks_of_byte_bpe_are_split_slice_by_slice(monkeypatch):
+    class Task:
+        get = classmethod(lambda cls: cls)
+        partitionId = classmethod(lambda cls: 3)  # noqa: N815
+
+    monkeypatch.setattr(byte_bpe, "TaskContext", Task)
+    rnd = random.Random(6)
+    common_words = ["".join(rnd.choices("abcdefghij", k=rnd.randint(2, 8))) for _ in range(3000)]
+    texts = [" ".join([*rnd.choices(common_words, k=490), *(str(rnd.random()) for _ in range(10))]) for _ in range(4000)]  # 12 MB
+    texts[5], texts[6] = "", "a  b\tc "
+    batches = [pa.record_batch([pa.array(range(i, i + 500)), pa.array(texts[i : i + 500])], names=["key", "text"]) for i in range(0, 4000, 500)]
+    rows = []
+
+    def work():
+        for b in byte_bpe._split(public_tokenizers.PATTERN, True, 32 << 20, 7, pa.int64())(iter(batches)):
+            rows.extend(b.to_pylist())
+
+    assert peak(work) < 24 << 20
+    words = {}
+    for r in rows:
+        if not r["kind"]:
+            words |= dict(zip(byte_bpe._unpacked(r["a"], np.int32).tolist(), byte_bpe._words_of(r["b"]), strict=True))
+    got = {}
+    for r in rows:
+        if r["kind"]:
+            places, sizes = byte_bpe._unpacked(r["b"], np.int32).tolist(), byte_bpe._unpacked(r["a"], np.int64).tolist()
+            assert len(places) < 500_000
+            for key, n in zip(r["keys"], sizes, strict=True):
+                got[key], places = b"".join(words[x] for x in places[:n]), places[n:]
+    assert {r["chunk"] for r in rows} == {3 << 32} and len(set(words.values())) == len(words)
+    assert got == {i: t.encode() for i, t in enumerate(texts)}

@@ -29,7 +29,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -37,18 +36,20 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, slices, small_batches
+from .common import give_back, released, slices, small_batches
 
 #: Buckets of the literal rank map; a power of two.
 BUCKETS = 1 << 16
-#: Text that is cut into words at a time, and text of one chunk.
-SLICE = 4 << 20
+#: Text that is cut into words and put together at a time, and text of one chunk.
+SLICE = 1 << 20
 CHUNK_BYTES = 32 << 20
 #: Longer words are merged by a heap.
 LONG_WORD = 256
 #: Input partitions whose equal words are folded once.
 GROUP = 4096
-#: Places of words, and references to words, in one packed row.
+#: Words of slices that wait to be merged with the other words of their chunk, at least.
+MERGED = 1 << 17
+#: References to words that are packed at a time.
 PACKED = 1 << 20
 #: A rank above any other, for pairs that do not merge.
 NEVER = 2**31 - 1
@@ -220,49 +221,58 @@ def _rows(rows: list[tuple], key_type: pa.DataType) -> pa.RecordBatch:
 def _split(pattern: str, at_blanks: bool, chunk_bytes: int, parts: int, key_type: pa.DataType):
     """Rows of kind 0 with the distinct words of a chunk, dealt by their hash, and of kind 1 with its texts as places among those words."""
 
-    def chunk_rows(number: int, slices_: list[tuple]) -> Iterator[pa.RecordBatch]:
-        keys = pa.concat_arrays([k for k, _, _, _ in slices_])
-        both = pc.dictionary_encode(pa.concat_arrays([w for _, w, _, _ in slices_]))
-        words, place = both.dictionary, both.indices.to_numpy()
-        first = np.cumsum([0, *(len(w) for _, w, _, _ in slices_)])
-        codes = np.concatenate([place[lo + c] for lo, (_, _, c, _) in zip(first, slices_, strict=False)])
-        starts = np.concatenate([[0], np.cumsum(np.concatenate([n for _, _, _, n in slices_]))])
+    def merged(words: pa.Array, new: list[list]) -> pa.Array:
+        """The distinct words, with those of the new slices. The slices' codes become places among them."""
+        both = pc.dictionary_encode(pa.concat_arrays([words, *(x[1] for x in new)]))
+        place, lo = both.indices.to_numpy(), len(words)
+        for x in new:
+            n = len(x[1])
+            x[1:3] = None, place[lo : lo + n][x[2]]
+            lo += n
+        return both.dictionary
+
+    def chunk_rows(number: int, words: pa.Array, held: list[list]) -> Iterator[pa.RecordBatch]:
+        """held: keys, nothing, words of the texts as places, and their number in each text, by slice: an array over a whole chunk would take most of what a task needs."""
+        often = np.zeros(len(words), np.int64)
+        for x in held:
+            often += np.bincount(x[2], minlength=len(words))
         # frequent words get small numbers, which pack well
-        order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+        order = np.argsort(-often, kind="stable")
         number_of = np.empty(len(words), np.int32)
         number_of[order] = np.arange(len(words))
-        words, codes = words.take(pa.array(order)).cast(pa.large_binary()), number_of[codes]
-        data = words.to_numpy(zero_copy_only=False).astype(object)
-        dealt = (pd.util.hash_array(data, categorize=False) % np.uint64(parts)).astype(np.int32) if len(words) else np.zeros(0, np.int32)
+        words = words.take(pa.array(order)).cast(pa.large_binary())
+        dealt = np.array([zlib.crc32(w) % parts for w in words.to_pylist()], np.int32)
         by_part = np.argsort(dealt, kind="stable")
-        out = []
         for at in np.split(by_part, np.flatnonzero(np.diff(dealt[by_part])) + 1):
             if len(at):
-                own = data[at].tolist()
+                own = words.take(pa.array(at)).to_pylist()
                 sizes = _packed(np.array([len(w) for w in own], np.int32))
                 joined = b"".join(own)
                 blob = np.array([len(sizes), len(joined)], np.int64).tobytes() + sizes + pa.Codec("zstd", 3).compress(joined, asbytes=True)
-                out.append((int(dealt[at[0]]), number, 0, None, _packed(at.astype(np.int32)), blob))
-        yield _rows(out, key_type)
-        lo = 0
-        while lo < len(keys):
-            hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + PACKED, side="right")) - 1)
-            sizes, own = np.diff(starts[lo : hi + 1]), codes[starts[lo] : starts[hi]]
-            yield _rows([(_target(number, parts), number, 1, keys[lo:hi].to_pylist(), _packed(sizes.astype(np.int64)), _packed(own))], key_type)
-            lo = hi
+                yield _rows([(int(dealt[at[0]]), number, 0, None, _packed(at.astype(np.int32)), blob)], key_type)
+        for keys, _, codes, sizes in held:
+            yield _rows([(_target(number, parts), number, 1, keys.to_pylist(), _packed(sizes.astype(np.int64)), _packed(number_of[codes]))], key_type)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
-        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+        none = pa.array([], pa.large_string())
+        number, words, held, size, new = TaskContext.get().partitionId() << 32, none, [], 0, 0
         for batch in slices(batches, "text", min(SLICE, chunk_bytes)):
-            words, codes, starts = pre_tokens(batch.column(1), find, at_blanks)
-            held.append((batch.column(0), words, codes, np.diff(starts)))
+            own, codes, starts = pre_tokens(batch.column(1), find, at_blanks)
+            held.append([batch.column(0), own, codes, np.diff(starts)])
             size += batch.column(1).nbytes
+            new += len(own)
+            # at doubled sizes, so that all merges together take a few times the last one
+            if new >= max(len(words), MERGED) or size >= chunk_bytes:
+                words, new = merged(words, [x for x in held if x[1] is not None]), 0
+            give_back()  # of the parts and tables of this slice, which are more than all that is held
             if size >= chunk_bytes:
-                yield from chunk_rows(number, held)
-                number, held, size = number + 1, [], 0
+                yield from chunk_rows(number, words, held)
+                number, words, held, size = number + 1, none, [], 0
         if held:
-            yield from chunk_rows(number, held)
+            words = merged(words, [x for x in held if x[1] is not None])
+            give_back()
+            yield from chunk_rows(number, words, held)
 
     return released(split)
 
@@ -453,4 +463,5 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
     back = coded.mapInArrow(_back(n, key_type), columns)
     made = f"key {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * whole
     out = back.repartitionById(n, F.col("part")).sortWithinPartitions("chunk", "kind").mapInArrow(_assemble(tokens_of(ranks), whole), made)
+    give_back()  # of the literal, as the driver's Python holds it no more
     return out.withColumnRenamed("key", key)

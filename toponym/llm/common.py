@@ -7,14 +7,13 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.shared import shared_dir
 
-__all__ = ["expand", "hash_words", "mix", "released", "rolling", "shared_dir", "slices", "small_batches", "split_words", "written"]
+__all__ = ["expand", "give_back", "hash_words", "mix", "released", "rolling", "shared_dir", "slices", "small_batches", "split_words", "written"]
 
 #: Words are maximal runs of characters other than blank, tab, line feed, vertical tab, form feed and carriage return.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -44,6 +43,14 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(most))
 
 
+def give_back() -> None:
+    """Free memory of this process goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def released(work: Callable) -> Callable:
     """A function over the batches of a task that gives free memory back at its end: workers are used again by other operators."""
 
@@ -51,10 +58,7 @@ def released(work: Callable) -> Callable:
         try:
             yield from work(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-            if trim:
-                trim(0)
+            give_back()
 
     return run
 
@@ -98,6 +102,8 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndar
 
 def hash_words(words: pa.Array) -> np.ndarray:
     """A 64-bit hash of each word; equal words have equal hashes in every task."""
+    import pandas as pd  # here, as it takes 25 MB of each worker
+
     coded = pc.dictionary_encode(words)
     unique = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False).astype(object), categorize=False)
     return unique[coded.indices.to_numpy()] if len(unique) else np.zeros(0, np.uint64)
