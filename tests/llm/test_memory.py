@@ -99,3 +99,12 @@ def test_chunks_of_byte_bpe_are_split_slice_by_slice(monkeypatch):
                 got[key], places = b"".join(words[x] for x in places[:n]), places[n:]
     assert {r["chunk"] for r in rows} == {3 << 32} and len(set(words.values())) == len(words)
     assert got == {i: t.encode() for i, t in enumerate(texts)}
+
+
+def test_plans_of_byte_bpe_do_not_hold_the_ranks(spark):
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    out = byte_bpe.encode(spark.createDataFrame([(1, "plans are short")], "doc_id long, text string"), ranks, public_tokenizers.PATTERN, whole=True)
+    assert out.first()["decoded"] == b"plans are short"
+    assert len(out._jdf.queryExecution().toString()) < 200_000
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS ranks#" not in plan  # no row carries the table

@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with ranked merges folded by Spark's higher-order functions.
 
 `bpe_ids` is the merge itself: a Column that folds over the bytes of a word. Its state is an array of binary pieces; each step joins the adjacent pair
-whose concatenation has the lowest rank in a literal map, which is cut into buckets so that a look-up compares a few keys.
+whose concatenation has the lowest rank in a map, which is cut into buckets so that a look-up compares a few keys.
 `decoded` concatenates the binary pieces of ids by a literal vocabulary.
 
 `encode` applies it to a table and folds each distinct word once for every GROUP input partitions, however often and in however many texts it occurs:
@@ -33,7 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import give_back, released, slices, small_batches
@@ -63,12 +63,21 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """array<map<string,int>>: the ranks by the hexadecimal form of their tokens, in the bucket that CRC-32 of the token gives."""
+def _rank_json(ranks: dict[bytes, int]) -> str:
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for token, rank in ranks.items():
         buckets[zlib.crc32(token) & (BUCKETS - 1)][token.hex().upper()] = rank
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+    return json.dumps(buckets)
+
+
+def rank_map(ranks: dict[bytes, int]) -> Column:
+    """array<map<string,int>>: the ranks by the hexadecimal form of their tokens, in the bucket that CRC-32 of the token gives."""
+    return F.from_json(F.lit(_rank_json(ranks)), "array<map<string,int>>")
+
+
+def rank_table(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
+    """`rank_map` as a scalar subquery over one row: a literal is written out in each text of a plan, several times for each step of the driver."""
+    return spark.createDataFrame(pa.table({"ranks": [_rank_json(ranks)]})).select(F.from_json("ranks", "array<map<string,int>>")).scalar()
 
 
 def vocabulary(ranks: dict[bytes, int]) -> Column:
@@ -459,9 +468,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
     parts = rows.mapInArrow(_split(pattern, at_blanks, chunk_bytes, n, key_type), columns)
     shared = spark.sparkContext.broadcast(ranks)  # as large as the vocabulary
     words = parts.repartitionById(n, F.col("part")).sortWithinPartitions("part", "kind", "chunk").mapInArrow(_distinct(shared, key_type), columns + ", word binary, known array<int>, chunks array<long>, places array<int>")
-    coded = words.select("part", "chunk", "kind", "keys", "a", "b", F.coalesce("known", F.when(F.col("word").isNotNull(), bpe_ids(F.col("word"), rank_map(ranks)))).alias("ids"), "chunks", "places")
+    # Spark refuses subqueries within higher-order functions as they are written; the two projections become one, so that no row carries the table
+    coded = words.withColumn("ranks", rank_table(spark, ranks)).select("part", "chunk", "kind", "keys", "a", "b", F.coalesce("known", F.when(F.col("word").isNotNull(), bpe_ids(F.col("word"), F.col("ranks")))).alias("ids"), "chunks", "places")
     back = coded.mapInArrow(_back(n, key_type), columns)
     made = f"key {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * whole
     out = back.repartitionById(n, F.col("part")).sortWithinPartitions("chunk", "kind").mapInArrow(_assemble(tokens_of(ranks), whole), made)
-    give_back()  # of the literal, as the driver's Python holds it no more
+    give_back()  # of the text of the ranks, which the driver's Python holds no more
     return out.withColumnRenamed("key", key)
